@@ -99,3 +99,30 @@ def exact_quantiles(
         share = F.max(position - low)
         out.append((at_low + (at_high - at_low) * share).alias(f"{prefix}{round(q * 100)}"))
     return joined.groupBy(*keys).agg(*out)
+
+
+def previous_row(
+    df: DataFrame, keys: list[str], order: str, columns: list[str], chunk: int = 4096
+) -> DataFrame:
+    """Add ``prev_<column>`` from the row before in the group, for groups of any size.
+
+    ``order`` is a whole-number position. The lag runs inside chunks of it; the first row of a chunk
+    takes the last row of the chunk before, from a table with one row per chunk.
+    """
+    carried = F.struct(*[F.col(c) for c in columns])
+    staged = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_row", carried)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    staged = staged.withColumn("_lag", F.lag("_row").over(inside))
+    tails = staged.groupBy(*keys, "_chunk").agg(F.max_by("_row", order).alias("_tail"))
+    chain = Window.partitionBy(*keys).orderBy("_chunk")
+    heads = tails.select(*keys, "_chunk", F.lag("_tail").over(chain).alias("_before"))
+    joined = staged.join(heads, [*keys, "_chunk"], "left")
+    previous = F.coalesce(F.col("_lag"), F.col("_before"))
+    return joined.select(*df.columns, *[previous[c].alias(f"prev_{c}") for c in columns])
+
+
+def positions(df: DataFrame, order: str, name: str = "position", chunk: int = 4096) -> DataFrame:
+    """0-based position of every row by a whole-number ``order``, without one global sort task."""
+    return running_before(
+        df, [], F.floor(F.col(order) / chunk), [F.col(order)], {name: F.lit(1).cast("bigint")}
+    )
