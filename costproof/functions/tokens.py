@@ -19,18 +19,19 @@ def token_pieces(text: Column) -> Column:
 
 
 def _piece_tokens(piece: Column) -> Column:
-    bare = F.regexp_replace(piece, r"(?U)^\s+|\s+$", "")
+    """Tokens of one piece. Cased letters and ASCII digits are told apart without a pattern; only
+    what is left (white space, punctuation, caseless letters) is matched."""
+    bare = F.ltrim(piece)
+    first, size = F.substring(bare, 1, 1), F.length(bare)
+    word = F.greatest(F.lit(1.0), F.bround(size / F.lit(fixed.ALPHA_CHARS_PER_TOKEN)))
+    gap = F.greatest(F.lit(1.0), F.bround(F.length(piece) / F.lit(fixed.SPACES_PER_TOKEN)))
     return (
-        F.when(
-            F.length(bare) == 0,
-            F.greatest(F.lit(1.0), F.bround(F.length(piece) / F.lit(fixed.SPACES_PER_TOKEN))),
-        )
-        .when(bare.rlike(r"(?U)^\d+$"), F.lit(1.0))
-        .when(
-            bare.rlike(r"^[\p{L}']"),
-            F.greatest(F.lit(1.0), F.bround(F.length(bare) / F.lit(fixed.ALPHA_CHARS_PER_TOKEN))),
-        )
-        .otherwise(F.length(bare).cast("double"))
+        F.when(F.upper(first) != F.lower(first), word)
+        .when(first.between("0", "9"), F.lit(1.0))
+        .when(first.rlike(r"(?U)^\s|^$"), gap)
+        .when(first.rlike(r"(?U)^\d"), F.lit(1.0))
+        .when(first.rlike(r"^[\p{L}']"), word)
+        .otherwise(size.cast("double"))
     )
 
 

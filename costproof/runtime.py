@@ -57,3 +57,13 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if small(df, limit) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few large input splits over all cores, for per-row text work.
+
+    A table that already has as many partitions as cores is returned as it is, so nothing is
+    shuffled where the input is large.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
