@@ -1,42 +1,75 @@
 """Reading and grading answers as columns.
 
-Everything here stays in the JVM except the accent folding of non-ASCII text, which needs Unicode
-decomposition and runs as an Arrow UDF that only receives the rows that need it.
+Everything here stays in the JVM, accent folding included.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from costproof import fixed
 
 _EDGES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(text, _EDGES, "")
 
 
-@F.pandas_udf(StringType())
-def _fold_accents(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda t: None
-        if t is None
-        else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(),
-        na_action="ignore",
-    )
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Compatibility folding to ASCII, generated from the Unicode database.
+
+    Characters with a one-letter fold as two aligned strings, and the few with a longer one as a map.
+    """
+    source, target, longer = [], [], {}
+    for point in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= point <= 0xDFFF:
+            continue
+        char = chr(point)
+        folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            source.append(char)
+            target.append(folded)
+        elif folded:
+            longer[char] = folded
+    return "".join(source), "".join(target), longer
+
+
+def _fold_text(text: Column) -> Column:
+    source, target, longer = _folding()
+    entries = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    several = "[" + "".join(longer) + "]"
+
+    def expand(t: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.split(t, ""), lambda c: F.coalesce(F.try_element_at(entries, c), c)
+            ),
+            "",
+        )
+
+    single = F.translate(text, source, target)
+    spelled = let(single, lambda t: F.when(t.rlike(several), expand(t)).otherwise(t))
+    return F.regexp_replace(spelled, r"[^\x00-\x7f]", "")
 
 
 def ascii_fold(text: Column) -> Column:
-    """NFKD to ASCII; pure ASCII text never leaves the JVM."""
-    plain = text.rlike(r"^\p{ASCII}*$")
-    return F.when(plain, text).otherwise(_fold_accents(F.when(~plain, text)))
+    """NFKD to ASCII; pure ASCII text passes through."""
+    return let(
+        text, lambda t: F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(_fold_text(t))
+    )
 
 
 def normalize_ascii(text: Column) -> Column:
@@ -52,13 +85,24 @@ def normalize_text(text: Column) -> Column:
 
 def json_text(output: Column) -> Column:
     """The JSON object inside a reply as text, or null when there is none."""
-    fenced = F.regexp_extract(strip(output), fixed.CODE_FENCE, 1)
-    text = F.when(fenced != "", strip(fenced)).otherwise(strip(output))
-    start = F.locate("{", text)
-    end = F.length(text) - F.locate("}", F.reverse(text)) + 1
-    has_end = F.locate("}", text) > 0
-    body = F.when((start > 0) & has_end & (end > start), F.substring(text, start, end - start + 1))
-    return F.when(F.json_object_keys(body).isNotNull(), body)
+
+    def object_in(text: Column) -> Column:
+        start = F.locate("{", text)
+        end = F.length(text) - F.locate("}", F.reverse(text)) + 1
+        body = F.when(
+            (start > 0) & text.contains("}") & (end > start),
+            F.substring(text, start, end - start + 1),
+        )
+        return let(body, lambda j: F.when(F.json_object_keys(j).isNotNull(), j))
+
+    def inside(text: Column) -> Column:
+        fenced = F.regexp_extract(text, fixed.CODE_FENCE, 1)
+        chosen = F.when(
+            text.contains("```"), let(fenced, lambda f: F.when(f != "", strip(f)).otherwise(text))
+        ).otherwise(text)
+        return F.when(text.contains("{"), let(chosen, object_in))
+
+    return let(strip(output), inside)
 
 
 def _json_has(body: Column, key: str) -> Column:
@@ -68,19 +112,26 @@ def _json_has(body: Column, key: str) -> Column:
 def extract_answer(output: Column) -> Column:
     """The answer of a reply: JSON ``answer``, else the last ``Final answer:`` line, else a short
     one-line reply as it stands. JSON without ``answer`` is no answer."""
-    body = json_text(output)
-    lines = F.regexp_extract_all(output, F.lit(fixed.FINAL_ANSWER), F.lit(1))
-    stated = strip(F.regexp_replace(strip(F.element_at(lines, -1)), r"\.+$", ""))
-    whole = strip(output)
-    return (
-        F.when(output.isNull() | (whole == ""), F.lit(None).cast("string"))
-        .when(
-            body.isNotNull(),
-            F.when(_json_has(body, "answer"), strip(F.get_json_object(body, "$.answer"))),
+
+    def read(p: Column) -> Column:
+        whole, body, line = p["whole"], p["body"], p["line"]
+        return (
+            F.when(whole.isNull() | (whole == ""), F.lit(None).cast("string"))
+            .when(
+                body.isNotNull(),
+                F.when(_json_has(body, "answer"), strip(F.get_json_object(body, "$.answer"))),
+            )
+            .when(line.isNotNull(), strip(F.regexp_replace(strip(line), r"\.+$", "")))
+            .when((F.length(whole) <= 80) & ~whole.contains("\n"), whole)
         )
-        .when(F.size(lines) > 0, stated)
-        .when((F.length(whole) <= 80) & ~whole.contains("\n"), whole)
+
+    lines = F.regexp_extract_all(output, F.lit(fixed.FINAL_ANSWER), F.lit(1))
+    parts = F.struct(
+        strip(output).alias("whole"),
+        json_text(output).alias("body"),
+        F.try_element_at(lines, F.lit(-1)).alias("line"),
     )
+    return let(parts, read)
 
 
 def parse_number(text: Column) -> Column:
@@ -91,19 +142,24 @@ def parse_number(text: Column) -> Column:
 
 
 def _yes_no(normalized: Column) -> Column:
-    bare = F.regexp_replace(normalized, r"^[ .]+|[ .]+$", "")
-    first = F.regexp_replace(F.substring_index(bare, " ", 1), r"^\.+|\.+$", "")
-    refusal = F.lit(False)
-    for phrase in fixed.NO_WORDS:
-        refusal = refusal | bare.startswith(phrase)
-    return (
-        F.when(bare == "", F.lit(None).cast("string"))
-        .when(bare.isin(*fixed.YES_WORDS), F.lit("yes"))
-        .when(bare.isin(*fixed.NO_WORDS), F.lit("no"))
-        .when(first.isin(*fixed.YES_WORDS), F.lit("yes"))
-        .when(first.isin(*fixed.NO_WORDS), F.lit("no"))
-        .when(refusal, F.lit("no"))
-    )
+    refusals = F.array(*[F.lit(w) for w in fixed.NO_WORDS])
+
+    def read(p: Column) -> Column:
+        bare, first = p["bare"], p["first"]
+        return (
+            F.when(bare == "", F.lit(None).cast("string"))
+            .when(bare.isin(*fixed.YES_WORDS), F.lit("yes"))
+            .when(bare.isin(*fixed.NO_WORDS), F.lit("no"))
+            .when(first.isin(*fixed.YES_WORDS), F.lit("yes"))
+            .when(first.isin(*fixed.NO_WORDS), F.lit("no"))
+            .when(F.exists(refusals, lambda w: F.startswith(bare, w)), F.lit("no"))
+        )
+
+    def split(bare: Column) -> Column:
+        first = F.regexp_replace(F.substring_index(bare, " ", 1), r"^\.+|\.+$", "")
+        return let(F.struct(bare.alias("bare"), first.alias("first")), read)
+
+    return let(F.regexp_replace(normalized, r"^[ .]+|[ .]+$", ""), split)
 
 
 def parse_yes_no(text: Column) -> Column:
@@ -131,51 +187,66 @@ def grade(
     set is wrong then, not the answer.
     """
     answer = extract_answer(output)
-    value, expected = parse_number(answer), parse_number(gold)
-    folded = normalize_text(answer)
-    said, wanted = _yes_no(folded), parse_yes_no(gold)
     accepted = F.array(normalize_text(gold))
     if aliases is not None:
-        # Aliases are folded in the JVM (ASCII part); a non-ASCII alias is matched lower-cased.
         accepted = F.concat(
-            accepted, F.transform(F.coalesce(aliases, F.array()), lambda a: normalize_ascii(a))
+            accepted,
+            F.transform(
+                F.coalesce(aliases, F.array().cast("array<string>")), lambda a: normalize_text(a)
+            ),
         )
-    exact = F.array_contains(accepted, folded)
-    inside = (F.length(folded) <= 60) & F.exists(accepted, lambda a: _word_bounded(a, folded))
+    parts = F.struct(
+        answer.alias("answer"),
+        normalize_text(answer).alias("folded"),
+        parse_number(gold).alias("expected"),
+        parse_yes_no(gold).alias("wanted"),
+        accepted.alias("accepted"),
+        gold.alias("gold"),
+        answer_type.alias("type"),
+    )
+    return let(parts, _judge)
 
-    def result(correct: Column, parsed: Column, reason: Column | str) -> Column:
-        text = F.lit(reason) if isinstance(reason, str) else reason
-        return F.struct(
-            F.coalesce(correct, F.lit(False)).cast("int").alias("correct"),
-            parsed.cast("string").alias("parsed"),
-            text.alias("reason"),
-        )
+
+def _result(correct: Column, parsed: Column, reason: str) -> Column:
+    return F.struct(
+        F.coalesce(correct, F.lit(False)).cast("int").alias("correct"),
+        parsed.cast("string").alias("parsed"),
+        F.lit(reason).alias("reason"),
+    )
+
+
+def _judge(p: Column) -> Column:
+    """Grade one reply from its parts."""
+    none, folded = F.lit(None).cast("string"), p["folded"]
+    tolerance = F.lit(str(fixed.NUMBER_TOLERANCE)).cast("decimal(3,2)")
 
     def stop(text: str) -> Column:
-        return F.raise_error(F.concat(F.lit(text), F.coalesce(gold, F.lit("null"))))
-
-    none = F.lit(None).cast("string")
-    number = F.when(value.isNull(), result(F.lit(False), none, "no number")).when(
-        expected.isNull(), stop("gold is not a number: ")
-    ).otherwise(
-        result(
-            F.abs(value - expected) <= F.lit(str(fixed.NUMBER_TOLERANCE)).cast("decimal(3,2)"),
-            value,
-            "number compared within tolerance",
-        )
+        return F.raise_error(F.concat(F.lit(text), F.coalesce(p["gold"], F.lit("null"))))
+
+    number = let(
+        parse_number(p["answer"]),
+        lambda v: F.when(v.isNull(), _result(F.lit(False), none, "no number"))
+        .when(p["expected"].isNull(), stop("gold is not a number: "))
+        .otherwise(_result(F.abs(v - p["expected"]) <= tolerance, v, "number within tolerance")),
+    )
+    yes_no = let(
+        _yes_no(folded),
+        lambda said: F.when(said.isNull(), _result(F.lit(False), none, "neither yes nor no"))
+        .when(p["wanted"].isNull(), stop("gold is not a yes/no answer: "))
+        .otherwise(_result(said == p["wanted"], said, "yes/no compared")),
     )
-    yes_no = F.when(said.isNull(), result(F.lit(False), none, "neither yes nor no")).when(
-        wanted.isNull(), stop("gold is not a yes/no answer: ")
-    ).otherwise(result(said == wanted, said, "yes/no compared"))
-    text = F.when(folded == "", result(F.lit(False), none, "empty after normalization")).otherwise(
-        result(exact | inside, folded, F.when(exact, "matched gold or an alias").otherwise("text"))
+    hit = F.array_contains(p["accepted"], folded) | (
+        (F.length(folded) <= 60) & F.exists(p["accepted"], lambda a: _word_bounded(a, folded))
     )
+    text = F.when(
+        folded == "", _result(F.lit(False), none, "empty after normalization")
+    ).otherwise(_result(hit, folded, "text compared with gold and aliases"))
     return (
-        F.when(answer.isNull(), result(F.lit(False), none, "no answer could be parsed"))
-        .when(answer_type.isin("number", "money"), number)
-        .when(answer_type == "yes_no", yes_no)
-        .when(answer_type.isin("enum", "string"), text)
-        .otherwise(F.raise_error(F.concat(F.lit("unknown answer type "), answer_type)))
+        F.when(p["answer"].isNull(), _result(F.lit(False), none, "no answer could be parsed"))
+        .when(p["type"].isin("number", "money"), number)
+        .when(p["type"] == "yes_no", yes_no)
+        .when(p["type"].isin("enum", "string"), text)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown answer type "), p["type"])))
     )
 
 
@@ -185,15 +256,20 @@ def answer_key(output: Column) -> Column:
     Computed once per reply so that comparing k samples costs k parses and not k squared.
     """
     answer = extract_answer(output)
-    bare_number = F.when(
-        answer.rlike(r"(?U)^\s*-?\$?\s*\d[\d,]*\.?\d*\s*%?\s*$"), parse_number(answer)
-    )
-    folded = normalize_text(answer)
-    return F.struct(
-        answer.alias("answer"),
-        bare_number.alias("number"),
-        _yes_no(folded).alias("yes_no"),
-        folded.alias("text"),
+
+    def read(p: Column) -> Column:
+        bare_number = F.when(
+            p["answer"].rlike(r"(?U)^\s*-?\$?\s*\d[\d,]*\.?\d*\s*%?\s*$"), parse_number(p["answer"])
+        )
+        return F.struct(
+            p["answer"].alias("answer"),
+            bare_number.alias("number"),
+            _yes_no(p["folded"]).alias("yes_no"),
+            p["folded"].alias("text"),
+        )
+
+    return let(
+        F.struct(answer.alias("answer"), normalize_text(answer).alias("folded")), read
     )
 
 
@@ -243,18 +319,7 @@ def parse_verdict(reply: Column) -> Column:
 
     An unreadable reply is wrong with maximal uncertainty, never skipped.
     """
-    body = json_text(reply)
-    stated = F.when(
-        _json_has(body, "correct"),
-        _word_bool(F.get_json_object(body, "$.correct"), fixed.VERDICT_TRUE, fixed.VERDICT_FALSE),
-    )
-    confidence = F.get_json_object(body, "$.confidence").try_cast("double")
-    usable = F.when((confidence >= 0) & (confidence <= 1), confidence)
     unsure = F.lit(fixed.UNPARSEABLE_CONFIDENCE)
-    line = _word_bool(
-        F.regexp_extract(reply, fixed.VERDICT_LINE, 1), fixed.VERDICT_TRUE, fixed.VERDICT_FALSE
-    )
-    why = F.substring(strip(F.coalesce(F.get_json_object(body, "$.why"), F.lit(""))), 1, 400)
 
     def verdict(correct: Column, sure: Column, reason: Column, parsed: bool) -> Column:
         return F.struct(
@@ -264,23 +329,50 @@ def parse_verdict(reply: Column) -> Column:
             F.lit(parsed).alias("parsed"),
         )
 
-    return (
-        F.when(stated.isNotNull(), verdict(stated, F.coalesce(usable, unsure), why, True))
-        .when(line.isNotNull(), verdict(line, unsure, F.lit("a Verdict: line"), True))
-        .otherwise(verdict(F.lit(0), unsure, F.lit("unreadable reply"), False))
+    def parts(p: Column) -> Column:
+        body = p["body"]
+        stated = F.when(
+            _json_has(body, "correct"),
+            _word_bool(F.get_json_object(body, "$.correct"), fixed.VERDICT_TRUE, fixed.VERDICT_FALSE),
+        )
+        return F.struct(
+            stated.alias("stated"),
+            F.get_json_object(body, "$.confidence").try_cast("double").alias("sure"),
+            F.substring(
+                strip(F.coalesce(F.get_json_object(body, "$.why"), F.lit(""))), 1, 400
+            ).alias("why"),
+            _word_bool(p["line"], fixed.VERDICT_TRUE, fixed.VERDICT_FALSE).alias("line"),
+        )
+
+    def read(v: Column) -> Column:
+        usable = F.when((v["sure"] >= 0) & (v["sure"] <= 1), v["sure"]).otherwise(unsure)
+        return (
+            F.when(v["stated"].isNotNull(), verdict(v["stated"], usable, v["why"], True))
+            .when(v["line"].isNotNull(), verdict(v["line"], unsure, F.lit("a Verdict: line"), True))
+            .otherwise(verdict(F.lit(0), unsure, F.lit("unreadable reply"), False))
+        )
+
+    seen = F.struct(
+        json_text(reply).alias("body"),
+        F.regexp_extract(reply, fixed.VERDICT_LINE, 1).alias("line"),
     )
+    return let(let(seen, parts), read)
 
 
 def parse_entailment(reply: Column) -> Column:
     """True, false, or null when the reply cannot be read; never false by default."""
-    body = json_text(reply)
-    stated = F.when(
-        _json_has(body, "entails"),
-        _word_bool(F.get_json_object(body, "$.entails"), fixed.ENTAILS_TRUE, fixed.ENTAILS_FALSE),
-    )
     line = _word_bool(
         F.regexp_extract(reply, fixed.ENTAILS_LINE, 1), fixed.ENTAILS_TRUE, fixed.ENTAILS_FALSE
     )
+    stated = let(
+        json_text(reply),
+        lambda body: F.when(
+            _json_has(body, "entails"),
+            _word_bool(
+                F.get_json_object(body, "$.entails"), fixed.ENTAILS_TRUE, fixed.ENTAILS_FALSE
+            ),
+        ),
+    )
     return F.coalesce(stated, line).cast("boolean")
 
 
