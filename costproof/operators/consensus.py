@@ -149,15 +149,13 @@ def consensus_labels(
                 penal.alias("penalized"),
                 top["rep"]["answer"].alias("reference"),
                 F.col(f"_rs{i}.margin").alias("margin"),
+                excluded.alias("excluded"),
+                F.col("_shape.support").alias("support"),
+                F.col("_shape.uniformity").alias("uniformity"),
             )
         )
-    return shapes.select(
-        "task_id",
-        excluded.alias("excluded"),
-        F.col("_shape.support").alias("support"),
-        F.col("_shape.uniformity").alias("uniformity"),
-        F.explode(F.array(*out)).alias("_o"),
-    ).select("task_id", "_o.*", "excluded", "support", "uniformity")
+    # Flags come out of the explode, so a filter on them is not copied below the folds.
+    return shapes.select("task_id", F.explode(F.array(*out)).alias("_o")).select("task_id", "_o.*")
 
 
 def label_agreement(labels: DataFrame, truth: DataFrame) -> DataFrame:
