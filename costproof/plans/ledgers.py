@@ -66,12 +66,12 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "daily_budget",
     f"""{PRICED_SQL}, d AS (SELECT day, CAST(sum(cost) AS BIGINT) AS spent FROM priced GROUP BY 1)
-SELECT day, spent, round(spent/500000000.0, 6) AS fraction, CASE WHEN spent/500000000.0 >= 1 THEN 'stopped' WHEN spent/500000000.0 >= 0.8 THEN 'warning' ELSE 'ok' END AS state,
+SELECT day, spent, CAST(spent AS DOUBLE)/CAST(500000000 AS DOUBLE) AS fraction, CASE WHEN CAST(spent AS DOUBLE)/500000000 >= 1 THEN 'stopped' WHEN CAST(spent AS DOUBLE)/500000000 >= 0.8 THEN 'warning' ELSE 'ok' END AS state,
   greatest(0, 500000000 - spent) AS remaining FROM d""",
 )
 def daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap = F.lit(500000000).cast("bigint")
-    return S.daily_budget(priced(spark, sf_dir), cap).withColumn("fraction", r6("fraction"))
+    return S.daily_budget(priced(spark, sf_dir), cap)
 
 
 LISTS_SQL = """(SELECT * FROM (VALUES ('frontier', DATE '1990-01-01', 5000), ('frontier', DATE '1997-06-01', 4000), ('frontier', DATE '2000-01-01', 3000),

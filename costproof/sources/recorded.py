@@ -92,7 +92,8 @@ def rehydrate(slim: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     """
     salt = 16
     left = slim.withColumn("_salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salt)))
-    right = blobs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))
+    right = blobs.withColumn("_salt", F.explode(copies))
     plain = left.where(F.col("blob").isNull()).withColumn("body", F.col("text"))
     filled = left.where(F.col("blob").isNotNull()).join(right, ["blob", "_salt"], "left")
     body = F.coalesce(
