@@ -5,6 +5,7 @@ Everything here stays in the JVM, accent folding included.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -49,7 +50,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 
 def _fold_text(text: Column) -> Column:
     source, target, longer = _folding()
-    entries = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    entries = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     several = "[" + "".join(longer) + "]"
 
     def expand(t: Column) -> Column:

@@ -109,15 +109,15 @@ def previous_row(
     ``order`` is a whole-number position. The lag runs inside chunks of it; the first row of a chunk
     takes the last row of the chunk before, from a table with one row per chunk.
     """
-    carried = F.struct(*[F.col(c) for c in columns])
-    staged = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_row", carried)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    staged = staged.withColumn("_lag", F.lag("_row").over(inside))
-    tails = staged.groupBy(*keys, "_chunk").agg(F.max_by("_row", order).alias("_tail"))
-    chain = Window.partitionBy(*keys).orderBy("_chunk")
-    heads = tails.select(*keys, "_chunk", F.lag("_tail").over(chain).alias("_before"))
-    joined = staged.join(heads, [*keys, "_chunk"], "left")
-    previous = F.coalesce(F.col("_lag"), F.col("_before"))
+    part, row = "_prev_part", F.struct(*[F.col(c) for c in columns])
+    staged = df.withColumn(part, F.floor(F.col(order) / chunk)).withColumn("_prev_row", row)
+    inside = Window.partitionBy(*keys, part).orderBy(order)
+    staged = staged.withColumn("_prev_lag", F.lag("_prev_row").over(inside))
+    tails = staged.groupBy(*keys, part).agg(F.max_by("_prev_row", order).alias("_prev_tail"))
+    chain = Window.partitionBy(*keys).orderBy(part)
+    heads = tails.select(*keys, part, F.lag("_prev_tail").over(chain).alias("_prev_head"))
+    joined = staged.join(heads, [*keys, part], "left")
+    previous = F.coalesce(F.col("_prev_lag"), F.col("_prev_head"))
     return joined.select(*df.columns, *[previous[c].alias(f"prev_{c}") for c in columns])
 
 
