@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 
-_EDGES = r"(?U)^\s+|\s+$"
+# Every character that counts as white space at the ends of a text.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def let(value: Column, body) -> Column:
@@ -25,7 +26,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 @cache
@@ -196,16 +197,16 @@ def grade(
                 F.coalesce(aliases, F.array().cast("array<string>")), lambda a: normalize_text(a)
             ),
         )
-    parts = F.struct(
-        answer.alias("answer"),
-        normalize_text(answer).alias("folded"),
+    parts = lambda a: F.struct(
+        a.alias("answer"),
+        normalize_text(a).alias("folded"),
         parse_number(gold).alias("expected"),
         parse_yes_no(gold).alias("wanted"),
         accepted.alias("accepted"),
         gold.alias("gold"),
         answer_type.alias("type"),
     )
-    return let(parts, _judge)
+    return let(let(answer, parts), _judge)
 
 
 def _result(correct: Column, parsed: Column, reason: str) -> Column:
@@ -270,7 +271,8 @@ def answer_key(output: Column) -> Column:
         )
 
     return let(
-        F.struct(answer.alias("answer"), normalize_text(answer).alias("folded")), read
+        answer,
+        lambda a: let(F.struct(a.alias("answer"), normalize_text(a).alias("folded")), read),
     )
 
 

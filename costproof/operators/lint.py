@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from costproof import fixed
 from costproof.functions import blocks as B
 from costproof.functions import tokens as T
+from costproof.runtime import cut
 
 # Where a text breaks into lines.
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
@@ -377,8 +378,13 @@ def duplicate_instructions(requests: DataFrame) -> DataFrame:
     Lines with equal 3-gram sets are one class, and pairs are counted from positions inside and
     across classes, so a line repeated many times never becomes all of its pairs.
     """
-    lines = instruction_lines(requests).withColumn(
-        "set_id", F.xxhash64(F.concat_ws("\u0001", "grams"))
+    # Read by five branches below and costly to build: written once.
+    lines = cut(
+        instruction_lines(requests).select(
+            "*",
+            F.xxhash64(F.concat_ws("\u0001", "grams")).alias("set_id"),
+            T.approx_tokens(F.col("line")).alias("tokens"),
+        )
     )
     prefix = requests.select(
         "request_id", B.static_prefix(F.concat(F.col("system"), F.col("user"))).alias("_prefix")
@@ -387,7 +393,7 @@ def duplicate_instructions(requests: DataFrame) -> DataFrame:
         "request_id",
         "pos",
         "set_id",
-        T.approx_tokens(F.col("line")).alias("tokens"),
+        "tokens",
         ((F.col("_prefix") != "") & F.col("_prefix").contains(F.col("line"))).alias("inside"),
     )
     inside = Window.partitionBy("request_id", "set_id").orderBy("pos")

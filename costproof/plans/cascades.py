@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costproof import fixed
 from costproof.bindings import bind, ctes
 from costproof.operators import cascade as C
 from costproof.operators import ties as T
 from costproof.operators.scoring import auroc
 from costproof.plans.registry import query, r6
+from costproof.runtime import cut
 
 TIERS = ["cheap", "mid", "frontier"]
 SCARCE = [False, False, True]
@@ -116,9 +118,12 @@ FROM (SELECT * FROM f ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN
 )
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operating point chosen on the calibration split, for both objectives."""
-    m = matrix(spark, sf_dir, "calibration")
+    wide = C.wide_matrix(matrix(spark, sf_dir, "calibration"), 3)
+    # A table of fixed size that both objectives read.
+    table = cut(C.settings(C.cells(wide, 3), 3, SCARCE))
+    floor = F.col("dearest_accuracy") - fixed.ACCURACY_SLACK
     parts = [
-        C.search(m, TIERS, SCARCE, objective=goal).select(
+        C.choose(table, floor, goal).select(
             F.lit(goal).alias("objective"),
             F.col("t0").cast("bigint").alias("t0"), F.col("t1").cast("bigint").alias("t1"),
             "n", "successes", "total_cost", "scarce_cost", "feasible", "evaluated",

@@ -112,7 +112,7 @@ def token_ratio_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider payloads in four shapes rebuilt from the calls, some of them inconsistent."""
-    c = bind(spark, sf_dir, "calls")
+    c = spread(bind(spark, sf_dir, "calls"))
     n = lambda name: F.col(name).cast("string")
     one = F.concat(
         F.lit('{"input_tokens": '), n("input_uncached"), F.lit(', "cache_read_input_tokens": '), n("cache_read"),
