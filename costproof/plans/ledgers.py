@@ -437,3 +437,27 @@ def cost_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     gap = pricing.cost_disagreement(F.col("cost"), F.col("provider_cost"))
     return p.select("task_id", "attempt", r6(gap).alias("gap")).where(F.col("gap").isNotNull())
+
+
+@query(
+    "model_cost_sheet",
+    f"""{ctes('calls', 'prices', 'prompts')}, b AS (SELECT model, input_uncached AS base, input_uncached + cache_read//7 AS prov FROM calls),
+f AS (SELECT model, CAST(sum(base*prov) FILTER (base > 0 AND prov > 0) AS DOUBLE)/CAST(sum(base*base) FILTER (base > 0 AND prov > 0) AS DOUBLE) AS ratio FROM b GROUP BY 1),
+r AS (SELECT request_id, n_chars//4 AS base_tokens, n_chars//8 AS prefix_tokens, request_id % 10 = 0 AS has_tools FROM prompts),
+m AS (SELECT r.request_id, p.model, CAST(round_even(r.base_tokens*f.ratio, 0) AS BIGINT) + CASE WHEN has_tools THEN 300 ELSE 0 END AS input_tokens,
+  CAST(round_even(r.prefix_tokens*f.ratio, 0) AS BIGINT) AS prefix_tokens, p.input, p.output FROM r CROSS JOIN prices p JOIN f ON f.model = p.model)
+SELECT request_id, model, input_tokens, prefix_tokens, prefix_tokens > 0 AND prefix_tokens >= 1024 AS clears_minimum, input_tokens*input + 512*output AS cost_per_call FROM m""",
+)
+def model_cost_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request priced at every model, in that model's own tokens."""
+    c = bind(spark, sf_dir, "calls").select(
+        "model", F.col("input_uncached").alias("base_tokens"),
+        (F.col("input_uncached") + F.floor(F.col("cache_read") / 7)).alias("provider_tokens"),
+    )
+    requests = bind(spark, sf_dir, "prompts").select(
+        "request_id", F.floor(F.col("n_chars") / 4).alias("base_tokens"),
+        F.floor(F.col("n_chars") / 8).alias("prefix_tokens"), F.lit(512).alias("max_tokens"),
+        (F.col("request_id") % 10 == 0).alias("has_tools"),
+    )
+    prices = bind(spark, sf_dir, "prices").withColumn("min_cacheable_tokens", F.lit(1024))
+    return S.model_costs(requests, prices, S.fit_ratios(c), 300).drop("cost_per_1k")
