@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costproof.llm import exact_dedup
+from costproof.llm import exact_dedup, simhash
 from costproof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_exact_dedup",
     r"""
