@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costproof.llm import exact_dedup, simhash
+from costproof.llm import exact_dedup, packing, simhash, token_files
 from costproof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,20 @@ FROM d WINDOW w AS (PARTITION BY t)
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the document of its equal texts that stays."""
     return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written in seekable files and read back."""
+    path = token_files.write(table(spark, sf_dir, "documents"))
+    return token_files.read(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op10_harmonic_packing")
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

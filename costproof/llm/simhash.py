@@ -14,7 +14,6 @@ members of different components are compared, the largest component of a cell ag
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -26,27 +25,21 @@ from pyspark.sql.types import LongType
 
 from costproof.llm.common import stored, unused
 from costproof.llm.components import components
-from costproof.llm.texts import utf8
+from costproof.llm.texts import chunks, utf8
 
 # The seed of the shingle hashes.
 SEED = 42
 WORDS = 4
 BITS = 4
-CHUNK = 1 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOW = 0x5555555555555555
 
 
 def _word_runs(text: bytes, words: int):
     """Runs of lower-cased words that overlap by ``words - 1``, so that a long text is never split whole."""
     tail: list[bytes] = []
-    at = 0
-    while at < len(text):
-        cut = _SPACE.search(text, at + CHUNK)
-        end = cut.start() if cut else len(text)
-        tail += text[at:end].lower().split()
-        at = end
-        yield tail, at >= len(text)
+    for part in chunks(text):
+        tail += part.lower().split()
+        yield tail
         tail = tail[max(0, len(tail) - words + 1) :]
 
 
@@ -64,7 +57,7 @@ def _shingle_hashes(run: list[bytes], words: int) -> np.ndarray:
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     """The signed 64-bit SimHash of a text: a bit is set if it is set in over half the shingle hashes."""
     total, ones, short = 0, np.zeros(64, np.int64), []
-    for run, last in _word_runs(text or b"", words):
+    for run in _word_runs(text or b"", words):
         if len(run) < words:
             short = run
             continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,3 +18,17 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
     nulls = column.is_null().to_pylist() if column.null_count else None
     for i in range(len(column)):
         yield None if nulls and nulls[i] else bytes(view[ends[i] : ends[i + 1]])
+
+
+CHUNK = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def chunks(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about a megabyte, cut at white space only."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + CHUNK)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
