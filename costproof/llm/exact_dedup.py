@@ -120,6 +120,7 @@ def groups(
     rows = base.join(named, "uid")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     kept = rows.groupBy("depth", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    kept = stored(kept, "groups")  # so that both sides of the join are dealt anew and a hot group can be split
     return rows.join(kept, ["depth", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
