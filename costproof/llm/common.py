@@ -49,3 +49,16 @@ def sha256_hex(text: Column) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def key_of(doc_id: str, text: str) -> Column:
+    """What rows are found again by: their id, which may be null, and 128 bits of their text."""
+    halves = [F.xxhash64(F.lit(seed), F.col(text)).alias(f"h{seed}") for seed in (1, 2)]
+    return F.struct(F.col(doc_id).alias("id"), *halves)
+
+
+def only(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in the single column of ``keys``; of rows with equal keys one."""
+    (key,) = unused(docs, "key")
+    keyed = docs.withColumn(key, key_of(doc_id, text))
+    return keyed.join(keys.toDF(key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costproof.llm.common import sha256_hex, stored, unused
+from costproof.llm.common import key_of, only, sha256_hex, stored
 
 BLOCK_BYTES = 4096
 SPACES = r"[\x20\x09-\x0D]+"
@@ -139,17 +139,9 @@ def dedup(
     The same row stays as in :func:`groups`. Rows go back to their text by id and text hash, so rows
     that agree in both are one row.
     """
-    i, a, b = unused(docs, "id", "h1", "h2")
-    key = lambda: (
-        F.col(doc_id).alias(i),
-        F.xxhash64(F.lit(1), F.col(text)).alias(a),
-        F.xxhash64(F.lit(2), F.col(text)).alias(b),
-    )
     rows, named = identities(
-        docs, normalised(F.col(text)).cast("binary"), *key(), block_bytes=block_bytes
+        docs, normalised(F.col(text)).cast("binary"), key_of(doc_id, text).alias("key"), block_bytes=block_bytes
     )
-    first = F.min(F.struct(F.col(i).isNull().alias("none"), i, "uid", a, b))
-    stay = rows.join(named, "uid").groupBy("depth", "name").agg(first.alias("f")).select("f.*")
-    keyed = docs.select("*", *key())
-    same = keyed[i].eqNullSafe(stay[i]) & (keyed[a] == stay[a]) & (keyed[b] == stay[b])
-    return keyed.join(stay, same, "left_semi").dropDuplicates([i, a, b]).select(*docs.columns)
+    first = F.min(F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id"), "uid", "key"))
+    stay = rows.join(named, "uid").groupBy("depth", "name").agg(first.alias("f")).select("f.key")
+    return only(docs, stay, doc_id, text)

@@ -14,6 +14,7 @@ members of different components are compared, the largest component of a cell ag
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,9 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from costproof.llm.common import stored, unused
+from costproof.llm.common import key_of, only, stored
 from costproof.llm.components import components
 from costproof.llm.texts import chunks, utf8
 
@@ -31,6 +32,9 @@ from costproof.llm.texts import chunks, utf8
 SEED = 42
 WORDS = 4
 BITS = 4
+# For removing near-duplicates: longer shingles, and so many fingerprints that one of them is near.
+DEDUP_WORDS = 5
+TURNS = 4
 _LOW = 0x5555555555555555
 
 
@@ -54,31 +58,45 @@ def _shingle_hashes(run: list[bytes], words: int) -> np.ndarray:
     )
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """The signed 64-bit SimHash of a text: a bit is set if it is set in over half the shingle hashes."""
-    total, ones, short = 0, np.zeros(64, np.int64), []
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes of the same shingles for a further fingerprint; the first takes them as they are."""
+    if turn:
+        hashes = hashes ^ (hashes >> np.uint64(31)) ^ np.uint64(turn)
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+    return hashes
+
+
+def fingerprint(text: bytes | None, words: int = WORDS, turns: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of a text: a bit is set if it is set in over half the shingle hashes."""
+    total, ones, short = 0, np.zeros((turns, 64), np.int64), []
+
+    def count(hashes: np.ndarray) -> None:
+        nonlocal total
+        total += len(hashes)
+        for i in range(0, len(hashes), 1 << 15):
+            for turn in range(turns):
+                part = _mixed(hashes[i : i + (1 << 15)], turn).view(np.uint8).reshape(-1, 8)
+                ones[turn] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
     for run in _word_runs(text or b"", words):
         if len(run) < words:
             short = run
-            continue
-        hashes = _shingle_hashes(run, words)
-        total += len(hashes)
-        for i in range(0, len(hashes), 1 << 15):
-            part = hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        else:
+            count(_shingle_hashes(run, words))
     if not total and short:
-        total = 1
-        whole = np.array([xxhash.xxh64_intdigest(b" ".join(short), SEED)], np.uint64)
-        ones += np.unpackbits(whole.view(np.uint8), bitorder="little")
-    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.int64)[0]) if total else 0
+        count(_shingle_hashes(short, len(short)))
+    bits = np.packbits(ones * 2 > total, axis=1, bitorder="little")
+    return bits.view(np.int64).ravel().tolist() if total else [0] * turns
 
 
-def fingerprints(text: Column, words: int = WORDS) -> Column:
-    """Fingerprints of a text column; a text without words, or null, has zero."""
+def fingerprints(text: Column, words: int = WORDS, turns: int = 1) -> Column:
+    """Fingerprints of a text column, as an array; a text without words, or null, has zeros."""
 
-    @F.arrow_udf(LongType())
+    @F.arrow_udf(ArrayType(LongType()))
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, words) for t in utf8(column)], pa.int64())
+        return pa.array([fingerprint(t, words, turns) for t in utf8(column)], pa.list_(pa.int64()))
 
     return of(text)
 
@@ -168,7 +186,7 @@ def near_groups(
     have equal fingerprints, hence one component. An empty table gives no rows.
     """
     prints = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words).alias("fp")), "fingerprints"
+        docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), words)[0].alias("fp")), "fingerprints"
     )
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     roots = stored(linked(points, bits), "fingerprint-roots")
@@ -178,3 +196,40 @@ def near_groups(
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def near_dedup(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = DEDUP_WORDS,
+    bits: int = BITS,
+    turns: int = TURNS,
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; every column stays as it was.
+
+    Rows link when any of ``turns`` fingerprints, each with its own hashes of the shingles, differs in ``bits``
+    or fewer bits. Of a group the smallest id stays (null ids come last; of repeated ids the first row read).
+    Null, empty and word-free texts are one group. An empty table stays empty.
+    """
+    rows = stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("uid"),
+            key_of(doc_id, text).alias("key"),
+            fingerprints(F.col(text), words, turns).alias("fps"),
+        ),
+        "fingerprints",
+    )
+    edges = []
+    for turn in range(turns):
+        prints = rows.select("uid", F.col("fps")[turn].alias("fp"))
+        points = stored(prints.groupBy("fp").agg(F.min("uid").alias("first")), "points")
+        roots = stored(linked(points, bits), "fingerprint-roots")
+        heads = points.join(roots, "fp").groupBy("root").agg(F.min("first").alias("head"))
+        heads = stored(roots.join(heads, "root").select("fp", "head"), "heads")
+        edges.append(prints.join(heads, "fp").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")))
+    groups = components(reduce(DataFrame.unionByName, edges))
+    grouped = rows.select("uid", "key").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
+    first = F.min(F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id"), "uid", "key"))
+    stay = grouped.groupBy(F.coalesce("root", "uid").alias("group")).agg(first.alias("f")).select("f.key")
+    return only(docs, stay, doc_id, text)
