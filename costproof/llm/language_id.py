@@ -20,8 +20,8 @@ from costproof.llm.texts import chunks, utf8
 SAMPLE_ROWS = 1000
 DICTIONARY_BYTES = 1 << 15
 LANGUAGES = 200
-# The level from which zstandard looks for the short matches that tell languages apart.
-LEVEL = 5
+# A level that looks for the short matches which tell languages apart.
+LEVEL, MIN_MATCH = 6, 3
 PART_BYTES = 2048
 MIN_MARGIN = 0.002
 UNDETERMINED = "und"
@@ -69,10 +69,16 @@ class Classifier:
         self.packers = {}
         for name, words in model.items():
             learned = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            learned.precompute_compress(level=LEVEL)
-            self.packers[name] = zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=learned, write_content_size=False, write_dict_id=False
+            way = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL,
+                source_size=PART_BYTES,
+                dict_size=len(words),
+                min_match=MIN_MATCH,
+                write_content_size=False,
+                write_dict_id=False,
             )
+            learned.precompute_compress(compression_params=way)
+            self.packers[name] = zstandard.ZstdCompressor(compression_params=way, dict_data=learned)
 
     def sizes(self, text: bytes) -> dict[str, int]:
         """Bytes of the whole text, encoded in parts so that the dictionary counts in each of them."""
