@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costproof.llm import decontamination, exact_dedup, language_id, packing, simhash, token_files
+from costproof.llm import (
+    chat,
+    decontamination,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    simhash,
+    token_files,
+    url_filter,
+)
 from costproof.llm.common import sha256_hex, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +42,40 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op2_line_dedup",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS page, doc_id, coalesce(source, chr(0)) AS source, string_split(text, chr(10)) AS lines
+  FROM documents),
+seen AS (
+  SELECT source, line, count(DISTINCT page) AS n
+  FROM (SELECT page, source, unnest(lines) AS line FROM d) WHERE line <> '' GROUP BY source, line),
+drops AS (
+  SELECT source, line FROM seen JOIN (SELECT source, count(*) AS pages FROM d GROUP BY source) USING (source)
+  WHERE n >= 3 AND n > pages * CAST(0.1 AS DOUBLE)),
+lists AS (SELECT source, list(line) AS drops FROM drops GROUP BY source),
+k AS (
+  SELECT doc_id, lines, [x FOR x IN lines IF x = '' OR NOT list_contains(coalesce(drops, []), x)] AS kept
+  FROM d LEFT JOIN lists USING (source))
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
+FROM k
+""",
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that most pages of a site repeat, dropped from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    return line_dedup.marked(docs, "kept").select(
+        "doc_id",
+        F.greatest(lines, F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(lines - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        sha256_hex(F.coalesce(F.array_join("kept", "\n"), F.lit(""))).alias("kept_sha256"),
+    )
+
+
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
@@ -63,6 +107,70 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+# Two turns whose texts look like control strings.
+LOOKALIKE = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op5_chat_formatting",
+    r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text,
+    '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])', '\1\\\2\3', 'g')) AS n
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + length(role) + 33) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+)
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation folded from its log, rendered, and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(LOOKALIKE).alias("text"),
+    )
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.unionByName(extra).repartition("conv_id").withColumn("seq", F.row_number().over(order))
+    log = rows.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    shown = chat.render(chat.fold(log)).withColumn("turns", chat.parse(F.col("formatted")))
+    shown = shown.withColumn("loss", chat.masked(F.col("formatted"), F.col("loss_mask")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return shown.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha256_hex(whole).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        sha256_hex(F.col("loss")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+# The rules of the registered query.
+URL_RULES: url_filter.Rules = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page's url."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query(
     "op7_benchmark_decontamination",
     r"""
