@@ -15,6 +15,7 @@ from costproof.llm import (
     line_dedup,
     packing,
     simhash,
+    suffix_dedup,
     token_files,
     url_filter,
 )
@@ -225,6 +226,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under strings of 200 bytes that occur elsewhere."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_harmonic_packing")
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in the packed sequences."""
