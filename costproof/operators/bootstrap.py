@@ -2,67 +2,114 @@
 
 Each task gets a Poisson(1) weight per replicate. A weight is a function of (seed, task key,
 replicate) and never of the partition layout, so a retried or repartitioned job gives the same
-interval. Weighted sums are combined before the shuffle: what is shuffled is replicates x groups per
-map task, whatever the number of tasks. The statistic is a column over the replicate sums.
+interval. A task of the job multiplies the weights of a batch of rows with their values and adds the
+products up; what leaves it is one row per group and replicate, however many rows it has read.
 
-Weights come from a mixing permutation modulo the prime 2^31 - 1 (fifth powers permute its residues),
-which is plain 64-bit arithmetic and stays inside code generation.
+Weights are a public 32-bit integer mixer applied to both halves of the key: plain arithmetic, so that any
+engine can check them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from costproof import fixed
 
-PRIME = 2147483647
-STEP = 362437069
-ROUND = 521288629
+# The mixer's shifts and odd factors, and the step between replicates.
+SHIFTS, FACTORS = (16, 15, 15), (0x21F0AAAD, 0x735A2D97)
+STEP = 0x61C88647
+# Weights are resolved to this many bits of a draw.
+DRAW_BITS = 16
+ROWS_AT_ONCE = 256
+GROUPS_HELD = 64
 
 
-def _poisson_cuts(limit: int = 12) -> list[float]:
-    total, term, cuts = 0.0, math.exp(-1), []
-    for k in range(limit):
+def _poisson_cuts() -> list[int]:
+    """Cumulative Poisson(1) probabilities as thresholds on draws, as far as they differ."""
+    size, total, term, cuts = 1 << DRAW_BITS, 0.0, math.exp(-1), []
+    while not cuts or cuts[-1] < size:
         total += term
-        cuts.append(total)
-        term /= k + 1
-    return cuts
+        cuts.append(round(total * size))
+        term /= len(cuts)
+    return cuts[:-1]
 
 
-# Cumulative Poisson(1) probabilities as thresholds on [0, PRIME).
-CUTS = [math.floor(c * PRIME) for c in _poisson_cuts()]
+CUTS = _poisson_cuts()
 
 
-def _fifth(df: DataFrame, name: str) -> DataFrame:
-    """Replace a residue column by its fifth power.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The mixer on unsigned 32-bit integers."""
+    for shift, factor in zip(SHIFTS, FACTORS, strict=False):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x ^ (x >> np.uint32(SHIFTS[-1]))
 
-    One column per step: written as a single expression the operand would be copied five times.
-    """
-    x, sq, quad = F.col(name), F.col("_sq"), F.col("_quad")
-    squared = df.withColumn("_sq", x * x % PRIME)
-    fourth = squared.withColumn("_quad", sq * sq % PRIME)
-    return fourth.withColumn(name, quad * x % PRIME).drop("_sq", "_quad")
 
+def key_halves(keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit states of 64-bit keys; distinct keys have distinct pairs."""
+    bits = keys.astype(np.int64).view(np.uint64)
+    low, high = (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32), (bits >> np.uint64(32)).astype(np.uint32)
+    first = mixed(low ^ np.uint32(seed & 0xFFFFFFFF))
+    return first, mixed(high ^ first)
 
-def task_key(task: Column) -> Column:
-    """A task id as a residue: whole numbers directly, anything else through a 64-bit hash."""
-    return F.pmod(task, F.lit(PRIME)).cast("bigint")
 
+def weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights: a row per key, a column per replicate."""
+    first, second = key_halves(keys, seed)
+    table = np.searchsorted(CUTS, np.arange(1 << DRAW_BITS), side="right").astype(np.int8)
+    steps = np.arange(resamples, dtype=np.uint32) * np.uint32(STEP)
+    draws = mixed(mixed(first[:, None] + steps[None, :]) ^ second[:, None])
+    return table[draws >> np.uint32(32 - DRAW_BITS)]
 
-def text_key(task: Column) -> Column:
-    """A non-numeric task id as a residue."""
-    return F.pmod(F.xxhash64(task), F.lit(PRIME)).cast("bigint")
+
+def task_key(task: Column) -> Column:
+    """A whole-number task id as a key."""
+    return task.cast("bigint")
 
 
-def _weight(draw: Column) -> Column:
-    value = F.when(draw < CUTS[0], 0)
-    for k, cut in enumerate(CUTS[1:], start=1):
-        value = value.when(draw < cut, k)
-    return value.otherwise(len(CUTS)).cast("bigint")
+def text_key(task: Column) -> Column:
+    """A non-numeric task id as a key."""
+    return F.xxhash64(task)
+
+
+def _summed(keys: int, sums: int, resamples: int, seed: int, schema: pa.Schema):
+    """Partial weighted sums per group and replicate of the rows a task reads."""
+
+    def emit(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        turns = pa.array(np.arange(-1, resamples, dtype=np.int32))
+        for group, totals in held.items():
+            own = [pa.array([v] * (resamples + 1), f.type) for v, f in zip(group, schema, strict=False)]
+            yield pa.RecordBatch.from_arrays([*own, turns, *map(pa.array, totals)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:keys]]
+            members: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*columns, strict=True) if columns else [()] * len(batch)):
+                members.setdefault(group, []).append(i)
+            ids = batch.column(keys).to_numpy(zero_copy_only=False)
+            values = np.ones((sums + 1, len(batch)))
+            for n in range(sums):
+                values[n + 1] = np.nan_to_num(batch.column(keys + 1 + n).to_numpy(zero_copy_only=False))
+            for group, rows in members.items():
+                totals = held.setdefault(group, np.zeros((sums + 1, resamples + 1)))
+                for at in range(0, len(rows), ROWS_AT_ONCE):
+                    part = rows[at : at + ROWS_AT_ONCE]
+                    totals[:, 0] += values[:, part].sum(axis=1)
+                    totals[:, 1:] += values[:, part] @ weights(ids[part], resamples, seed).astype(np.float64)
+            if len(held) > GROUPS_HELD:
+                yield from emit(held)
+                held = {}
+        yield from emit(held)
+
+    return run
 
 
 def replicate_sums(
@@ -73,27 +120,25 @@ def replicate_sums(
     resamples: int = fixed.RESAMPLES,
     seed: int = fixed.SEED,
 ) -> DataFrame:
-    """Weighted sums per (group, replicate); replicate -1 holds the observed sums."""
-    mixed = (key * STEP % PRIME + F.lit(seed % PRIME)) % PRIME
-    staged = _fifth(
-        df.select(*keys, mixed.alias("_s"), *[v.alias(n) for n, v in sums.items()]), "_s"
-    )
-    spread = staged.select(
-        *keys, "_s", *sums, F.explode(F.sequence(F.lit(-1), F.lit(resamples - 1))).alias("replicate")
-    )
-    turn = F.greatest(F.col("replicate"), F.lit(0)).cast("bigint")
-    drawn = _fifth(spread.withColumn("_d", (F.col("_s") + turn * ROUND) % PRIME), "_d")
-    drawn = _fifth(drawn.withColumn("_d", (F.col("_d") + F.col("_s")) % PRIME), "_d")
-    weight = F.when(F.col("replicate") < 0, F.lit(1).cast("bigint")).otherwise(
-        _weight(F.col("_d"))
+    """Weighted sums per (group, replicate); replicate -1 holds the observed sums.
+
+    Sums are doubles; those of whole numbers are exact up to 2^53. Null values add nothing, and rows
+    without a key have the key 0.
+    """
+    rows = df.select(*keys, F.coalesce(key, F.lit(0)).alias("_key"), *[v.cast("double").alias(n) for n, v in sums.items()])
+    out = StructType(
+        [*rows.schema.fields[: len(keys)], StructField("replicate", IntegerType())]
+        + [StructField(n, DoubleType()) for n in ("weight", *sums)]
     )
-    return (
-        drawn.select(*keys, "replicate", weight.alias("_w"), *sums)
-        .groupBy(*keys, "replicate")
-        .agg(
-            F.sum("_w").alias("weight"),
-            *[F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums],
-        )
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # The work is rows x replicates, so few bytes must still reach every worker.
+    spread = rows.repartition(tasks, "_key")
+    partial = spread.mapInArrow(_summed(len(keys), len(sums), resamples, seed, to_arrow_schema(out)), out)
+    return partial.groupBy(*keys, "replicate").agg(
+        F.sum("weight").cast("bigint").alias("weight"), *[F.sum(n).alias(n) for n in sums]
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costproof.bindings import bind, ctes
 from costproof.operators import bootstrap as B
 from costproof.operators import sessions as S
-from costproof.plans.proofs import REPLICATES, boot_sql, interval_sql
+from costproof.plans.proofs import boot_sql, interval_sql
 from costproof.plans.registry import query, r6
 
 MINIMUM = 5
@@ -180,7 +180,7 @@ def session_policy_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("g"), "session_id", F.col("i_cost").alias("b_cost"),
         F.col("i_ok").alias("b_correct"), "c_cost", F.col("i_ok").alias("c_correct"),
     )
-    out = B.session_cost_ratio(b, ["g"], B.task_key(F.col("session_id")), resamples=REPLICATES)
+    out = B.session_cost_ratio(b, ["g"], B.task_key(F.col("session_id")))
     return out.select("g", *[r6(c).alias(c) for c in ("point", "low", "high")], "dropped")
 
 
@@ -214,7 +214,7 @@ def session_policy_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
             bounds.append(
                 B.session_cost_ratio(
-                    rows, ["gap_seconds"], B.task_key(F.col("session_id")), resamples=REPLICATES
+                    rows, ["gap_seconds"], B.task_key(F.col("session_id"))
                 ).select("gap_seconds", F.col("low").alias(f"{cost}_low"), F.col("high").alias(f"{cost}_high"))
             )
         one = bounds[0].join(bounds[1], "gap_seconds")

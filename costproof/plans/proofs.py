@@ -14,7 +14,6 @@ from costproof.operators import spend as S
 from costproof.plans.registry import query, r6
 
 BASELINE = "frontier"
-REPLICATES = 200
 Z = fixed.Z_95
 
 ARMS_SQL = (
@@ -154,26 +153,29 @@ def paired_counts_and_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ bootstrap, as SQL text
 
 
-def fifth_sql(x: str) -> str:
-    sq = f"(({x})*({x})%{B.PRIME})"
-    return f"(({sq}*{sq}%{B.PRIME})*({x})%{B.PRIME})"
+def _mixed_sql(x: str, out: str) -> str:
+    """Columns that carry ``x`` through the mixer, the last named ``out``."""
+    (s1, s2, s3), (f1, f2) = B.SHIFTS, B.FACTORS
+    return (
+        f"xor({x}, {x} >> {s1}) * {f1} & 4294967295 AS {out}_1, "
+        f"xor({out}_1, {out}_1 >> {s2}) * {f2} & 4294967295 AS {out}_2, xor({out}_2, {out}_2 >> {s3}) AS {out}"
+    )
 
 
-def boot_sql(source: str, keys: str, sums: list[str], replicates: int = REPLICATES) -> str:
-    """CTEs computing replicate sums over ``source`` (which has ``task_id``)."""
-    cuts = " ".join(f"WHEN d < {c} THEN {k}" for k, c in enumerate(B.CUTS))
+def boot_sql(source: str, keys: str, sums: list[str], replicates: int = fixed.RESAMPLES) -> str:
+    """CTEs computing replicate sums over ``source`` (which has a ``task_id`` that is not negative)."""
+    cuts = " ".join(f"WHEN d >> {32 - B.DRAW_BITS} < {c} THEN {k}" for k, c in enumerate(B.CUTS))
     cols = ", ".join(sums)
     weighted = ", ".join(f"CAST(sum(w*{s}) AS BIGINT) AS {s}" for s in sums)
-    start = f"(((task_id % {B.PRIME})*{B.STEP}%{B.PRIME} + {fixed.SEED % B.PRIME}) % {B.PRIME})"
     return f"""
-b0 AS (SELECT {keys}, {cols}, {start} AS x0 FROM {source}),
-b1 AS (SELECT {keys}, {cols}, {fifth_sql('x0')} AS s FROM b0),
-b2 AS (SELECT {keys}, {cols}, s, unnest(range(-1, {replicates})) AS replicate FROM b1),
-b3 AS (SELECT *, (s + greatest(replicate, 0)*{B.ROUND}) % {B.PRIME} AS y FROM b2),
-b4 AS (SELECT *, ({fifth_sql('y')} + s) % {B.PRIME} AS z FROM b3),
-b5 AS (SELECT *, {fifth_sql('z')} AS d FROM b4),
-b6 AS (SELECT *, CASE WHEN replicate < 0 THEN 1 ELSE CASE {cuts} ELSE {len(B.CUTS)} END END AS w FROM b5),
-reps AS (SELECT {keys}, replicate, CAST(sum(w) AS BIGINT) AS weight, {weighted} FROM b6 GROUP BY ALL)"""
+b0 AS (SELECT {keys}, {cols}, CAST(task_id AS BIGINT) AS id,
+  xor(id & 4294967295, CAST({fixed.SEED & 0xFFFFFFFF} AS BIGINT)) AS x, {_mixed_sql('x', 'k1')},
+  xor(id >> 32, k1) AS y, {_mixed_sql('y', 'k2')} FROM {source}),
+b1 AS (SELECT {keys}, {cols}, k1, k2, unnest(range(-1, {replicates})) AS replicate FROM b0),
+b2 AS (SELECT *, (k1 + greatest(replicate, 0) * {B.STEP}) & 4294967295 AS u, {_mixed_sql('u', 'v')},
+  xor(v, k2) AS t, {_mixed_sql('t', 'd')} FROM b1),
+b3 AS (SELECT *, CASE WHEN replicate < 0 THEN 1 {cuts} ELSE {len(B.CUTS)} END AS w FROM b2),
+reps AS (SELECT {keys}, replicate, CAST(sum(w) AS BIGINT) AS weight, {weighted} FROM b3 GROUP BY ALL)"""
 
 
 def interval_sql(keys: str, statistic: str) -> str:
@@ -199,7 +201,7 @@ def delta_accuracy_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = A.pair(arms(spark, sf_dir), BASELINE)
     sums = {n: F.col(n) for n in ("b_correct", "c_correct")}
     out = B.bootstrap(
-        pairs, ["pipeline"], B.task_key(F.col("task_id")), sums, B.delta_accuracy, REPLICATES
+        pairs, ["pipeline"], B.task_key(F.col("task_id")), sums, B.delta_accuracy
     )
     return _rounded(out, ["pipeline"])
 
@@ -213,8 +215,7 @@ def delta_accuracy_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_per_success_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = {n: F.col(n) for n in ("cost", "correct")}
     out = B.bootstrap(
-        arms(spark, sf_dir), ["pipeline"], B.task_key(F.col("task_id")), sums, B.cost_per_success,
-        REPLICATES,
+        arms(spark, sf_dir), ["pipeline"], B.task_key(F.col("task_id")), sums, B.cost_per_success
     )
     return _rounded(out, ["pipeline"])
 
@@ -231,7 +232,7 @@ def cost_per_success_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_ratio_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = A.pair(arms(spark, sf_dir), BASELINE)
     out = B.bootstrap(
-        pairs, ["pipeline"], B.task_key(F.col("task_id")), B.pair_sums(), B.cost_ratio, REPLICATES
+        pairs, ["pipeline"], B.task_key(F.col("task_id")), B.pair_sums(), B.cost_ratio
     )
     return _rounded(out, ["pipeline"])
 
