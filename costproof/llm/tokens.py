@@ -15,6 +15,8 @@ PIECES_KEPT = 200_000
 # Fixed value: how the tokenizer file splits lower-case ASCII before merging.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _ASCII_WORD = re.compile(rb"[\x21-\x7E]+")
+# Latin letters that are their own composed form and have a plain lower case.
+_LATIN_WORD = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
 class WordIds(dict):
@@ -29,19 +31,28 @@ class WordIds(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._whole = Tokenizer.from_file(path)
-        self._model = self._whole.model
+        self._model, self._splitter = self._whole.model, self._whole.pre_tokenizer
         self._pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if _ASCII_WORD.fullmatch(word) and b"<|" not in word:
+        if b"<|" in word:
+            found = self._encode(word.decode("utf-8", "replace"))
+        elif _ASCII_WORD.fullmatch(word):
             found = b"".join(map(self._piece, _ASCII_PIECES.findall(word.decode("ascii").lower())))
         else:
-            ids = self._whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            found = _packed(ids)
+            text = word.decode("utf-8", "replace")
+            if _LATIN_WORD.fullmatch(text):
+                split = self._splitter.pre_tokenize_str(text.lower())
+                found = b"".join([self._piece(piece) for piece, _ in split])
+            else:
+                found = self._encode(text)
         if len(self) < WORDS_KEPT:
             self[word] = found
         return found
 
+    def _encode(self, text: str) -> bytes:
+        return _packed(self._whole.encode(text, add_special_tokens=False).ids)
+
     def _piece(self, piece: str) -> bytes:
         found = self._pieces.get(piece)
         if found is None:
