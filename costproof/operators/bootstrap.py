@@ -63,7 +63,7 @@ def weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """Poisson(1) weights: a row per key, a column per replicate."""
     first, second = key_halves(keys, seed)
     table = np.searchsorted(CUTS, np.arange(1 << DRAW_BITS), side="right").astype(np.int8)
-    steps = np.arange(resamples, dtype=np.uint32) * np.uint32(STEP)
+    steps = np.arange(1, resamples + 1, dtype=np.uint32) * np.uint32(STEP)
     draws = mixed(mixed(first[:, None] + steps[None, :]) ^ second[:, None])
     return table[draws >> np.uint32(32 - DRAW_BITS)]
 

@@ -172,7 +172,7 @@ b0 AS (SELECT {keys}, {cols}, CAST(task_id AS BIGINT) AS id,
   xor(id & 4294967295, CAST({fixed.SEED & 0xFFFFFFFF} AS BIGINT)) AS x, {_mixed_sql('x', 'k1')},
   xor(id >> 32, k1) AS y, {_mixed_sql('y', 'k2')} FROM {source}),
 b1 AS (SELECT {keys}, {cols}, k1, k2, unnest(range(-1, {replicates})) AS replicate FROM b0),
-b2 AS (SELECT *, (k1 + greatest(replicate, 0) * {B.STEP}) & 4294967295 AS u, {_mixed_sql('u', 'v')},
+b2 AS (SELECT *, (k1 + (replicate + 1) * {B.STEP}) & 4294967295 AS u, {_mixed_sql('u', 'v')},
   xor(v, k2) AS t, {_mixed_sql('t', 'd')} FROM b1),
 b3 AS (SELECT *, CASE WHEN replicate < 0 THEN 1 {cuts} ELSE {len(B.CUTS)} END AS w FROM b2),
 reps AS (SELECT {keys}, replicate, CAST(sum(w) AS BIGINT) AS weight, {weighted} FROM b3 GROUP BY ALL)"""
