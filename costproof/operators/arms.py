@@ -49,7 +49,9 @@ def pair(arms: DataFrame, baseline: str, carry: list[str] | None = None) -> Data
     """Every other arm joined to the baseline on the task.
 
     Result: ``pipeline, task_id, b_correct, b_cost, c_correct, c_cost`` plus the candidate's
-    ``carry`` columns. Task ids are unique in an arm, so the join keys are spread evenly.
+    ``carry`` columns. Task ids are unique in an arm, so the join keys are spread evenly. A comparison over
+    different task sets stops the job: a candidate's task that the baseline lacks is refused where it is met, a
+    baseline's task that one of the candidates lacks by its number of answers.
     """
     base = arms.where(F.col("pipeline") == baseline).select(
         "task_id", F.col("correct").alias("b_correct"), F.col("cost").alias("b_cost")
@@ -61,7 +63,15 @@ def pair(arms: DataFrame, baseline: str, carry: list[str] | None = None) -> Data
         F.col("cost").alias("c_cost"),
         *(carry or []),
     )
-    return rest.join(base, "task_id").select(
+    names = rest.select("pipeline").distinct().agg(F.count("*").alias("_arms"))
+    answers = rest.groupBy("task_id").agg(F.count("*").alias("_answers"))
+    base = base.join(answers, "task_id", "left").crossJoin(F.broadcast(names))
+    met = F.col("_answers") == F.col("_arms")
+    joined = rest.join(base, "task_id", "full")
+    refusal = F.raise_error(
+        F.concat(F.lit("arms answered different task sets, at task "), F.col("task_id").cast("string"))
+    ).cast("boolean")
+    return joined.where(F.when(F.coalesce(met & F.col("pipeline").isNotNull(), F.lit(False)), True).otherwise(refusal)).select(
         "pipeline", "task_id", "b_correct", "b_cost", "c_correct", "c_cost", *(carry or [])
     )
 

@@ -35,10 +35,11 @@ def wide_matrix(matrix: DataFrame, tiers: int, keys: list[str] | None = None) ->
     complete = F.col("_rows") == tiers
     for i in range(tiers):
         complete = complete & (F.col(f"_seen_{i}") == 1)
-    guarded = F.when(complete, F.col("cost_0")).otherwise(
-        F.raise_error(F.concat(F.lit("incomplete matrix at task "), F.col("task_id").cast("string")))
-    )
-    return wide.withColumn("cost_0", guarded).drop(
+    refusal = F.raise_error(
+        F.concat(F.lit("incomplete matrix at task "), F.col("task_id").cast("string"))
+    ).cast("boolean")
+    # A filter, so that no reader can prune the guard away.
+    return wide.where(F.when(complete, True).otherwise(refusal)).drop(
         "_rows", *[f"_seen_{i}" for i in range(tiers)]
     )
 
