@@ -28,11 +28,17 @@ def local_session(app: str = "costproof", cpus: int | str = "*") -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The shared checkpoint folder the cluster names.
+
+    Without one a local session takes a temporary folder; on a cluster that would be a folder of one
+    machine, so the job stops.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     chosen = named or tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(chosen)
     return chosen

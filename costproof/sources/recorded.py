@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks as B
+from costproof.runtime import broadcast_if_small
 
+# References to one text that a task joins before the text is copied for another.
+SHARE = 100_000
 BLOCKS = "array<struct<text:string,cache:string>>"
 CALL_SCHEMA = f"""
 key string, provider string, model string,
@@ -65,9 +68,10 @@ def prompt_hash(blocks: Column) -> Column:
 def dehydrate(prompts: DataFrame, key: str, threshold: int = fixed.BLOB_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(blocks with references, blobs)``: texts over the threshold are kept once per content.
 
-    ``prompts``: key, ``blocks``. A referenced block has a null text and a ``blob`` digest.
+    ``prompts``: key, ``blocks``. A referenced block has a null text and a ``blob`` digest. A prompt without
+    blocks keeps one row, without a position.
     """
-    rows = prompts.select(key, F.posexplode("blocks").alias("pos", "b"))
+    rows = prompts.select(key, F.posexplode_outer("blocks").alias("pos", "b"))
     large = F.length("b.text") > threshold
     digest = F.when(large, F.sha2("b.text", 256))
     slim = rows.select(
@@ -87,13 +91,17 @@ def missing_blobs(slim: DataFrame, blobs: DataFrame) -> DataFrame:
 def rehydrate(slim: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     """Blocks with their texts again; a missing text stops the job.
 
-    A text shared by a third of all blocks would be one hot join key: references are salted over
-    sixteen copies of each blob.
+    A text shared by a third of all blocks would be one hot join key: its references are dealt over
+    as many copies of it as their number asks for, so a text referenced seldom is copied once.
     """
-    salt = 16
-    left = slim.withColumn("_salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salt)))
-    copies = F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))
-    right = blobs.withColumn("_salt", F.explode(copies))
+    uses = slim.where(F.col("blob").isNotNull()).groupBy("blob").agg(
+        F.ceil(F.count("*") / SHARE).cast("bigint").alias("_copies")
+    )
+    many = broadcast_if_small(uses.where(F.col("_copies") > 1))
+    spread = F.coalesce("_copies", F.lit(1).cast("bigint"))
+    left = slim.join(many, "blob", "left").withColumn("_salt", F.pmod(F.xxhash64(key, "pos"), spread)).drop("_copies")
+    copies = F.sequence(F.lit(0).cast("bigint"), spread - 1)
+    right = blobs.join(many, "blob", "left").withColumn("_salt", F.explode(copies)).drop("_copies")
     plain = left.where(F.col("blob").isNull()).withColumn("body", F.col("text"))
     filled = left.where(F.col("blob").isNotNull()).join(right, ["blob", "_salt"], "left")
     body = F.coalesce(
@@ -104,7 +112,7 @@ def rehydrate(slim: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
     )
     return rows.groupBy(key).agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("pos", "body", "cache"))),
+            F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "body", "cache")))),
             lambda r: F.struct(r["body"].alias("text"), r["cache"].alias("cache")),
         ).alias("blocks")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -157,7 +157,7 @@ def sliding_mix(calls: DataFrame, width: str = "7 days", step: str = "1 day", la
 def drift_batch(certified: DataFrame, lengths: DataFrame, path: str):
     """A ``foreachBatch`` function comparing each finished window with the certified fingerprint."""
 
-    def compare(batch: DataFrame, _: int) -> None:
+    def compare(batch: DataFrame, number: int) -> None:
         items = batch.select("start", "question_type", "tokens", F.explode(F.sequence(F.lit(1), F.col("n"))))
         starts = batch.select("start").distinct()
         mix = D.type_mix(items, ["start"])
@@ -165,11 +165,18 @@ def drift_batch(certified: DataFrame, lengths: DataFrame, path: str):
             starts.crossJoin(certified), mix, starts.crossJoin(lengths),
             D.length_quantiles(items, ["start"]), ["start"],
         )
-        out.write.mode("append").parquet(path)
+        # A batch that is tried again replaces its own rows.
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return compare
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, on whatever store the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def canary_batch(certificates: DataFrame, looks_path: str, today: Column):
     """A ``foreachBatch`` function taking a look from arriving graded pairs and appending it.
 
@@ -177,16 +184,18 @@ def canary_batch(certificates: DataFrame, looks_path: str, today: Column):
     """
     from costproof.operators import certificates as CE
 
-    def look(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count() == 0:
+    def look(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
             return
         spark = batch.sparkSession
         observed = CE.paired_delta(batch, ["certificate_id"])
-        try:
-            taken = spark.read.parquet(looks_path)
-        except Exception:  # noqa: BLE001 - no look was taken yet
-            taken = certificates.select("certificate_id").where(F.lit(False))
+        taken = certificates.select("certificate_id").where(F.lit(False))
+        if _exists(spark, looks_path):
+            earlier = spark.read.parquet(looks_path).where(F.col("batch") < number)
+            taken = earlier if "look" in earlier.columns else taken
         standing = certificates.join(observed.select("certificate_id"), "certificate_id", "left_semi")
-        CE.take_look(standing, taken, observed, today).write.mode("append").parquet(looks_path)
+        looks = CE.take_look(standing, taken.drop("batch"), observed, today)
+        # A batch that is tried again replaces its own looks.
+        looks.write.mode("overwrite").parquet(f"{looks_path}/batch={number}")
 
     return look
