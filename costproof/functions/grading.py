@@ -341,9 +341,7 @@ def parse_verdict(reply: Column) -> Column:
         return F.struct(
             stated.alias("stated"),
             F.get_json_object(body, "$.confidence").try_cast("double").alias("sure"),
-            F.substring(
-                strip(F.coalesce(F.get_json_object(body, "$.why"), F.lit(""))), 1, 400
-            ).alias("why"),
+            strip(F.coalesce(F.get_json_object(body, "$.why"), F.lit(""))).alias("why"),
             _word_bool(p["line"], fixed.VERDICT_TRUE, fixed.VERDICT_FALSE).alias("line"),
         )
 

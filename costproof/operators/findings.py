@@ -28,7 +28,7 @@ def rank(findings: DataFrame, keys: list[str] | None = None, top: int | None = N
     """Findings by weighted dollars, then rule; with ``top`` the first few of each group."""
     scored = findings.withColumn("weighted", weighted(F.col("per_1k"), F.col("confidence")))
     if top is None:
-        return scored.orderBy(F.col("weighted").desc(), "rule")
+        return scored.orderBy(F.col("weighted").desc(), "rule", *(keys or []))
     entry = F.struct(
         (-F.col("weighted")).alias("_o"), "rule", F.struct(*scored.columns).alias("row")
     )
@@ -70,9 +70,7 @@ def run_profile(calls: DataFrame, keys: list[str]) -> DataFrame:
     token buckets, and a total ``order`` column naming the first call.
     """
     text = F.concat_ws("\n", "system_text", "user_text")
-    prefix_key = F.when(
-        F.col("static_prefix") != "", F.sha2(F.substring("static_prefix", 1, fixed.PREFIX_KEY_CHARS), 256)
-    )
+    prefix_key = F.when(F.col("static_prefix") != "", F.sha2("static_prefix", 256))
     measures = [
         F.count("*").alias("calls"),
         F.sum("cost").alias("cost"),

@@ -67,13 +67,14 @@ def all_spans(blocks: Column, *patterns: str) -> Column:
     )
 
 
-def head_span(block: Column, length: int = 120) -> Column:
+def whole_span(block: Column) -> Column:
+    """The span of a whole block; a caller that displays it shortens it."""
     return F.struct(
         block["section"].alias("section"),
         block["index"].cast("int").alias("block"),
         F.lit(0).alias("start"),
-        F.least(F.length(block["text"]), F.lit(length)).alias("end"),
-        F.substring(block["text"], 1, length).alias("text"),
+        F.length(block["text"]).alias("end"),
+        block["text"].alias("text"),
     )
 
 
@@ -248,13 +249,13 @@ def _row_rules(scale: float) -> tuple[list[Column], Column]:
         _finding(
             "PL01", "Cache", F.size(in_front) > 0,
             cacheable(F.when(pt > 0, pt).otherwise(largest)), "projected",
-            F.concat_ws("; ", F.slice(F.transform(front_spans, lambda s: s["text"]), 1, 3)),
+            F.concat_ws("; ", F.transform(front_spans, lambda s: s["text"])),
             "move_volatile_after_breakpoint", front_spans,
         ),
         _finding(
             "PL02", "Cache", (stable_at > 1) & (F.size(before) > 0), cacheable(largest), "projected",
             F.format_string("%d variable blocks before the static one", F.size(before)),
-            "reorder_static_first", F.transform(before, lambda b: head_span(b)),
+            "reorder_static_first", F.transform(before, lambda b: whole_span(b)),
         ),
         _finding(
             "PL03", "Cache", has_prefix & (pt < F.col("p_minimum")), cacheable(pt), "heuristic",
@@ -274,13 +275,13 @@ def _row_rules(scale: float) -> tuple[list[Column], Column]:
         ),
         _finding(
             "PL08", "L", F.size(filler) > 0, filler_tokens * rate * k, "projected",
-            F.concat_ws(", ", F.slice(names, 1, 4)), "strip_courtesy", filler,
+            F.concat_ws(", ", names), "strip_courtesy", filler,
         ),
         _finding(
             "PL09", "L", F.size(examples) > 0,
             F.bround(example_tokens * F.lit(fixed.FEWSHOT_REMOVABLE)) * p_in * k, "heuristic",
             F.format_string("%d example blocks", F.size(examples)), "trim_examples",
-            F.transform(examples, lambda b: head_span(b)),
+            F.transform(examples, lambda b: whole_span(b)),
         ),
         _finding(
             "PL10", "E", (F.size(missing) > 0) | (F.size(vague) > 0), 0.0, "heuristic",
@@ -293,18 +294,18 @@ def _row_rules(scale: float) -> tuple[list[Column], Column]:
         _finding(
             "PL12", "A", F.size(walls) > 0, 0.0, "heuristic",
             F.format_string("%d unstructured blocks", F.size(walls)), "add_structure",
-            F.transform(F.slice(walls, 1, 1), lambda b: head_span(b, 200)),
+            F.transform(walls, lambda b: whole_span(b)),
         ),
         _finding(
             "PL13", "R", F.size(specifics) > 0, 0.0, "heuristic",
-            F.concat_ws(", ", F.slice(F.transform(specifics, lambda s: s["text"]), 1, 4)),
-            "parameterize", F.slice(specifics, 1, 20),
+            F.concat_ws(", ", F.transform(specifics, lambda s: s["text"])),
+            "parameterize", specifics,
         ),
         _finding(
             "PL14", "A",
             (F.col("_instruction_tokens") > fixed.COMPOSE_TOKENS) & (F.size(jobs) >= fixed.COMPOSE_JOBS),
             0.0, "heuristic",
-            F.concat_ws(", ", F.slice(F.sort_array(jobs), 1, 5)), None,
+            F.concat_ws(", ", F.sort_array(jobs)), None,
         ),
     ]
     on_volatile = F.transform(
@@ -312,7 +313,7 @@ def _row_rules(scale: float) -> tuple[list[Column], Column]:
         lambda b: _finding(
             "PL04", "Cache", F.lit(True), cacheable(b["tokens"]), "projected",
             F.format_string("%s block %d varies per call", b["section"], b["index"]),
-            "move_breakpoint_to_static_end", F.array(head_span(b)),
+            "move_breakpoint_to_static_end", F.array(whole_span(b)),
         ),
     )
     return single, on_volatile
@@ -451,14 +452,20 @@ def duplicate_findings(requests: DataFrame, scale: float = 1.0) -> DataFrame:
     return dup.select("request_id", one.alias("_f")).select("request_id", "_f.*")
 
 
-def clear_scores(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def clear_scores(
+    findings: DataFrame, keys: list[str] | None = None, requests: DataFrame | None = None
+) -> DataFrame:
     """A 1 to 5 score per letter and group: 5 clean, the first rule costs two points, each further
-    one, never under 1. Groups without findings are not in the input and score 5 everywhere."""
+    one, never under 1. With ``requests`` every one of them has a row, and those without findings
+    score 5 everywhere."""
     keys = keys or ["request_id"]
+    if requests is not None:
+        every = requests.select(*keys, F.lit(None).cast("string").alias("rule")).distinct()
+        findings = findings.select(*keys, "rule").unionByName(every)
     columns = []
     for letter in fixed.CLEAR_LETTERS:
         rules = [r for r, x in fixed.RULE_LETTER.items() if x == letter]
-        fired = F.sum(F.col("rule").isin(*rules).cast("int"))
+        fired = F.count(F.when(F.col("rule").isin(*rules), 1))
         columns.append(
             F.when(fired == 0, 5).otherwise(F.greatest(F.lit(1), 4 - fired)).cast("int").alias(letter)
         )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costproof import fixed
+from costproof.operators.ranks import exact_quantiles
 from costproof.functions import pricing, usage
 from costproof.runtime import broadcast_if_small
 
@@ -132,13 +133,12 @@ def run_ledger(calls: DataFrame, keys: list[str]) -> DataFrame:
     """One line per run: cost with and without repeats, cache and token totals, latency medians.
 
     Needs ``sample_index`` beside the call columns. A median only counts positive latencies; both
-    the one over all calls and the one without reused calls are given. Latencies are whole
-    milliseconds, so ``percentile`` counts a bounded set of values.
+    the one over all calls and the one without reused calls are given; both are exact at any size.
     """
     real = ~F.col("prewarm")
     first = F.col("sample_index") == 0
-    positive = F.when(real & (F.col("latency_ms") > 0), F.round("latency_ms").cast("bigint"))
-    return calls.groupBy(*keys).agg(
+    timed = calls.where(real & (F.col("latency_ms") > 0))
+    sums = calls.groupBy(*keys).agg(
         F.count(F.when(real, 1)).alias("calls"),
         F.count(F.when(F.col("prewarm"), 1)).alias("prewarm_calls"),
         F.sum("cost").alias("recorded_cost"),
@@ -148,9 +148,11 @@ def run_ledger(calls: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_write"),
         F.sum(usage.total_input()).alias("input_tokens"),
         F.sum(usage.total_output()).alias("output_tokens"),
-        F.percentile(positive, 0.5).alias("p50_latency_all"),
-        F.percentile(F.when(~F.col("reused"), positive), 0.5).alias("p50_latency"),
     )
+    for name, rows in (("p50_latency_all", timed), ("p50_latency", timed.where(~F.col("reused")))):
+        middle = exact_quantiles(rows, keys, "latency_ms", (0.5,)).withColumnRenamed("p50", name)
+        sums = sums.join(middle, keys, "left") if keys else sums.crossJoin(F.broadcast(middle))
+    return sums
 
 
 def recorded_cost(calls: DataFrame, keys: list[str]) -> DataFrame:

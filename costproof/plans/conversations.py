@@ -255,11 +255,11 @@ def session_prefix_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "consecutive_sessions",
     f"""{ctes('tasks')},
-r AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS p, count(*) OVER () AS n FROM tasks WHERE task_id % 8 <> 1),
+r AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS p, count(*) OVER () AS n FROM tasks),
 g AS (SELECT task_id, p, CASE WHEN n > 7 AND n % 7 = 1 AND p = n - 1 THEN p//7 - 1 ELSE p//7 END AS session_id FROM r)
 SELECT task_id, session_id, p - session_id*7 AS turn_index FROM g""",
 )
 def consecutive_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive tasks grouped into conversations of seven."""
-    t = bind(spark, sf_dir, "tasks").where(F.col("task_id") % 8 != 1).select("task_id")
+    t = bind(spark, sf_dir, "tasks").select("task_id")
     return S.group_consecutive(t, "task_id", 7)

@@ -135,7 +135,7 @@ def annotation_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(F.avg("rate")).alias("mean_rate"),
         r6(F.min("rate")).alias("min_rate"),
         r6(F.sum("rate") * 0.5).alias("expected_cost"),
-        F.first(M.floor_exceeds_budget(F.lit(1), 0.5, 60.0, 0.05)).alias("floor_exceeds_budget"),
+        M.floor_exceeds_budget(F.count("*"), 0.5, 60.0, 0.05).alias("floor_exceeds_budget"),
     )
 
 

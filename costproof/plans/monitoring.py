@@ -152,14 +152,14 @@ def template_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_templates",
-    """SELECT c_custkey AS template_id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0""",
+    """SELECT c_custkey AS template_id FROM customer EXCEPT SELECT s_suppkey FROM supplier""",
 )
 def missing_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from costproof.bindings import table
 
-    used = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == 0)
+    used = table(spark, sf_dir, "supplier")
     return D.missing_templates(
-        used.select(F.col("o_custkey").alias("template_id")),
+        used.select(F.col("s_suppkey").alias("template_id")),
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("template_id")),
     )
 

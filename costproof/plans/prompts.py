@@ -156,7 +156,8 @@ def prompt_duplicate_instructions(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query("prompt_clear_scores")
 def prompt_clear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.clear_scores(L.lint(requests(spark, sf_dir)))
+    asked = requests(spark, sf_dir)
+    return L.clear_scores(L.lint(asked), requests=asked)
 
 
 @query("prompt_safe_fixes")

@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from costproof.operators import sampling as M
 from costproof.operators import scoring as S
 from costproof.operators import sessions as SE
 from costproof.operators import ties as T
+from costproof.sources import recorded as REC
 
 RATES = {"input": 5, "output": 25, "cache_write_5m": 6, "cache_write_1h": 10, "cache_read": 1}
 
@@ -130,6 +132,40 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
     assert r[0] == pytest.approx(1.0, abs=0.02) and r[1] == pytest.approx(1.0, abs=0.03)
 
 
+def test_poisson_weights_of_wide_ids_and_single_replicates():
+    ids = np.concatenate([np.arange(2000), np.arange(2000) + 2**31, np.arange(2000) * 2**33, -np.arange(1, 2000)])
+    w = B.weights(ids, 40, 7).astype(float)
+    assert abs(w.mean(axis=0) - 1).max() < 0.07 and abs(w.var(axis=0) - 1).max() < 0.15
+    for other in (2000, 4000):
+        assert abs(np.corrcoef(w[:2000].ravel(), w[other : other + 2000].ravel())[0, 1]) < 0.02
+    assert (w[0] != w[6000 - 1]).any() and (B.weights(ids[:9], 40, 8) != w[:9]).any()
+
+
+def test_pairs_over_different_tasks_stop_the_job(spark):
+    ddl = "pipeline string, task_id int, correct int, cost long"
+    rows = [("a", 1, 1, 5), ("a", 2, 1, 5), ("b", 1, 0, 2), ("b", 2, 0, 2), ("c", 1, 0, 2), ("c", 2, 1, 2)]
+    assert A.pair(spark.createDataFrame(rows, ddl), "a").count() == 4
+    for lost in (1, 2, 5):
+        with pytest.raises(Exception, match="different task sets"):
+            A.pair(spark.createDataFrame(rows[:lost] + rows[lost + 1 :], ddl), "a").collect()
+
+
+def test_prompts_without_blocks_survive_the_blob_store(spark):
+    block = "array<struct<text:string,cache:string>>"
+    rows = [("a", [("x" * 50, None), ("y", "5m")]), ("b", []), ("c", None), ("d", [("x" * 50, None)])]
+    prompts = spark.createDataFrame(rows, f"k string, blocks {block}")
+    slim, blobs = REC.dehydrate(prompts, "k", threshold=10)
+    back = {r["k"]: [tuple(b) for b in r["blocks"]] for r in REC.rehydrate(slim, blobs, "k").collect()}
+    assert back == {"a": [("x" * 50, None), ("y", "5m")], "b": [], "c": [], "d": [("x" * 50, None)]}
+
+
+def test_clean_requests_score_five_everywhere(spark):
+    findings = spark.createDataFrame([("a", "PL08"), ("a", "PL10")], "request_id string, rule string")
+    asked = spark.createDataFrame([("a",), ("b",)], "request_id string")
+    scores = {r["request_id"]: set(r[1:]) for r in L.clear_scores(findings, requests=asked).collect()}
+    assert scores["b"] == {5} and min(scores["a"]) == 3
+
+
 def test_arms_over_different_tasks_are_refused(spark):
     arms = spark.createDataFrame([("a", 1, 1, 5), ("a", 2, 1, 5), ("b", 1, 0, 2)], "pipeline string, task_id int, correct int, cost long")
     with pytest.raises(ValueError, match="different task sets"):
