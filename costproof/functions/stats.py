@@ -192,6 +192,11 @@ def uniform_draw(task: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(0xFFFFFFFFFFFF))
 
 
+def row_number_of(text: Column) -> Column:
+    """The first 60 bits of a text's digest as a whole number, for order-free checksums."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def multinomial_delta(seed: int = fixed.SEED, resamples: int = fixed.RESAMPLES, level: float = 0.95):
     """UDF (worse, same, better) -> struct(low, high): exact multinomial bootstrap of three counts.
 

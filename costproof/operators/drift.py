@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.operators.ranks import exact_quantiles, hash_rank, running_before
+from costproof.runtime import broadcast_if_small
+from costproof.functions.stats import row_number_of
 
 
 def type_mix(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -148,7 +150,8 @@ def split_tasks(tasks: DataFrame, calibration_size: int, seed: int) -> DataFrame
     )
     taken = quota.agg(F.sum("_take").alias("_taken"))
     ranked = hash_rank(tasks, ["question_type"], "task_id", seed, "_rank")
-    joined = ranked.join(spread.drop("_taken_before"), "question_type").crossJoin(
+    # A row per type: broadcast, so that no type's tasks meet in one join task.
+    joined = ranked.join(broadcast_if_small(spread.drop("_taken_before")), "question_type").crossJoin(
         F.broadcast(taken)
     )
     short = F.lit(calibration_size) - F.col("_taken")
@@ -170,29 +173,18 @@ def stratified_subset(
         F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("bigint")).alias("_take")
     )
     ranked = hash_rank(tasks, [stratum], "task_id", seed, "_rank")
-    return ranked.join(sizes, stratum).where(F.col("_rank") <= F.col("_take")).select(*tasks.columns)
+    return ranked.join(broadcast_if_small(sizes), stratum).where(F.col("_rank") <= F.col("_take")).select(*tasks.columns)
 
 
 def split_digest(tasks: DataFrame) -> DataFrame:
     """A digest of each split's membership that any moved task changes.
 
-    Order-free sums of two independent hashes with the count, so no id list is ever collected.
+    Order-free sums of a digest of each id with the count, so no id list is ever collected.
     """
+    task = row_number_of(F.col("task_id").cast("string"))
     return tasks.groupBy("split").agg(
         F.count("*").alias("n"),
-        F.substring(
-            F.sha2(
-                F.concat_ws(
-                    "|",
-                    F.count("*"),
-                    F.sum(F.xxhash64(F.col("task_id")).cast("decimal(20,0)")),
-                    F.bit_xor(F.xxhash64(F.concat(F.lit("#"), F.col("task_id").cast("string")))),
-                ),
-                256,
-            ),
-            1,
-            16,
-        ).alias("digest"),
+        F.substring(F.sha2(F.concat_ws("|", F.count("*"), F.sum(task.cast("decimal(38,0)")), F.bit_xor(task)), 256), 1, 16).alias("digest"),
     )
 
 
@@ -320,5 +312,5 @@ def importance_weights(
     )
     staged = items.withColumn("_raw", raw)
     totals = staged.groupBy(*keys).agg(F.sum("_raw").alias("_sum"))
-    joined = staged.join(totals, keys) if keys else staged.crossJoin(F.broadcast(totals))
+    joined = staged.join(broadcast_if_small(totals), keys) if keys else staged.crossJoin(F.broadcast(totals))
     return joined.withColumn("weight", F.col("_raw") / F.col("_sum")).drop("_raw", "_sum")

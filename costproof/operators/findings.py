@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks, pricing, stats, usage
+from costproof.runtime import broadcast_if_small
+
+# Runs whose four texts are broadcast at most.
+RUNS_BROADCAST = 2_000
 
 FINDING_COLUMNS = ("rule", "group", "per_1k", "confidence", "evidence")
 
@@ -105,7 +109,7 @@ def repeated_block(calls: DataFrame, profile: DataFrame, keys: list[str]) -> Dat
         F.col("first.static_prefix").alias("_prefix"),
     )
     text = F.concat_ws("\n", "system_text", "user_text")
-    tested = calls.join(candidates, keys).select(
+    tested = calls.join(broadcast_if_small(candidates, RUNS_BROADCAST), keys).select(
         *keys,
         "_texts",
         "_prefix",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import usage
-from costproof.runtime import cut
+from costproof.runtime import broadcast_if_small, cut
 
 
 def squash(text: Column) -> Column:
@@ -150,7 +150,7 @@ def duplicate_tool_calls(traces: DataFrame, steps: DataFrame) -> DataFrame:
     local = steps.where(~F.col("called")).select(
         "pipeline", "step_id", "position", F.coalesce("tool", "kind").alias("_tool")
     )
-    rows = traces.where(F.col("arguments").isNotNull()).join(local, ["pipeline", "step_id"]).select(
+    rows = traces.where(F.col("arguments").isNotNull()).join(broadcast_if_small(local), ["pipeline", "step_id"]).select(
         "pipeline", "task_id", "step_id", "position", "_tool",
         F.md5(squash(F.col("arguments"))).alias("_args"),
     )
@@ -168,7 +168,7 @@ def identical_to_prior(traces: DataFrame, steps: DataFrame, edges: DataFrame) ->
     called = steps.where(F.col("called")).select("pipeline", "step_id")
     links = edges.join(called.withColumnRenamed("step_id", "src"), ["pipeline", "src"])
     out = traces.select("pipeline", "task_id", "step_id", F.md5(squash(F.col("output"))).alias("_o"))
-    after = links.join(out.withColumnRenamed("step_id", "dst"), ["pipeline", "dst"])
+    after = out.withColumnRenamed("step_id", "dst").join(broadcast_if_small(links), ["pipeline", "dst"])
     before = out.select("pipeline", "task_id", F.col("step_id").alias("src"), F.col("_o").alias("_b"))
     joined = after.join(before, ["pipeline", "task_id", "src"])
     return (

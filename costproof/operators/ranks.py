@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from costproof.runtime import broadcast_if_small
+
 
 def running_before(
     df: DataFrame, keys: list[str], bucket: Column, order: list[Column], measures: dict[str, Column]
@@ -86,7 +88,7 @@ def exact_quantiles(
     ranked = running_before(counts, keys, bucket, [F.col(value)], {"_below": F.col("_c")})
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     joined = (
-        ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+        ranked.join(broadcast_if_small(totals), keys) if keys else ranked.crossJoin(F.broadcast(totals))
     )
     out = []
     for q in quantiles:

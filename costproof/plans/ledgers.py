@@ -420,9 +420,16 @@ def first_seen_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.first_seen(o)[0]
 
 
-@query("store_digest")
+@query(
+    "store_digest",
+    """WITH r AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce('=' || CAST(doc_id AS VARCHAR), '!'),
+  coalesce('=' || text, '!'), coalesce('=' || lang, '!'), coalesce('=' || source, '!'),
+  coalesce('=' || CAST(n_chars AS VARCHAR), '!'))), 1, 15) AS BIGINT) AS h FROM documents)
+SELECT count(*) AS calls, bit_xor(h) AS digest_xor, CAST(sum(h) AS VARCHAR) AS digest_sum FROM r""",
+)
 def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.store_digest(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    return R.store_digest(table(spark, sf_dir, "documents"), columns)
 
 
 @query(

@@ -110,7 +110,11 @@ def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.stratified_subset(t, "question_type")
 
 
-@query("split_digest")
+@query(
+    "split_digest",
+    f"""{ctes('tasks')}, r AS (SELECT split, CAST('0x' || substr(md5(CAST(task_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM tasks)
+SELECT split, count(*) AS n, substr(sha256(concat_ws('|', count(*), sum(h), bit_xor(h))), 1, 16) AS digest FROM r GROUP BY split""",
+)
 def split_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.split_digest(bind(spark, sf_dir, "tasks"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from costproof import fixed
 from costproof.functions import blocks as B
 from costproof.runtime import broadcast_if_small
+from costproof.functions.stats import row_number_of
 
 # References to one text that a task joins before the text is copied for another.
 SHARE = 100_000
@@ -119,12 +120,13 @@ def rehydrate(slim: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
 
 
 def store_digest(calls: DataFrame, columns: list[str]) -> DataFrame:
-    """One order-free checksum over all rows of a store."""
-    row = F.xxhash64(*columns)
+    """One order-free checksum over all rows of a store; a null differs from an empty text."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("!")) for c in columns]
+    row = row_number_of(F.concat_ws("|", *parts))
     return calls.agg(
         F.count("*").alias("calls"),
-        F.hex(F.bit_xor(row)).alias("digest_xor"),
-        F.sum(row.cast("decimal(20,0)")).cast("string").alias("digest_sum"),
+        F.bit_xor(row).alias("digest_xor"),
+        F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest_sum"),
     )
 
 
