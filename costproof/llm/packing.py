@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from costproof.llm.common import stored
 from costproof.llm.texts import utf8
 from costproof.llm.tokens import ID_BYTES, vocabulary, word_ids
+from costproof.runtime import broadcast_if_small
 
 CAPACITY = 4096
 PIECES = pa.schema(
@@ -141,7 +142,8 @@ def pack(
     counts = counts.select("class", "worker", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     # One row per class: never more than the capacity has halves.
     totals = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}
-    ranked = cut.join(counts, ["class", "worker"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # A row per class and worker: few, so the ids need not move.
+    ranked = cut.join(broadcast_if_small(counts), ["class", "worker"]).withColumn("rank", F.col("base") + F.col("nth"))
     sequence, offset = _places(totals, sizes, capacity)
     return ranked.select(
         "doc_id", "start", "length", "doc_tokens", "ids", sequence.alias("sequence_id"), offset.alias("offset")
