@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -384,3 +385,26 @@ def binary_entropy(p: Column) -> Column:
         .when((p == 0) | (p == 1), F.lit(0.0))
         .otherwise(-p * F.log2(p) - (1 - p) * F.log2(1 - p))
     )
+
+
+# ------------------------------------------------------------------------- verifier kinds
+
+VERIFIERS: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_verifier(kind: str, parse: Callable[[Column], Column]) -> None:
+    """Add a verifier: how its replies become columns."""
+    if kind in VERIFIERS:
+        raise ValueError(f"verifier {kind!r} is already registered")
+    VERIFIERS[kind] = parse
+
+
+def verify(kind: str, reply: Column) -> Column:
+    """A reply as a registered verifier reads it."""
+    if kind not in VERIFIERS:
+        raise ValueError(f"unknown verifier {kind!r}; registered: {sorted(VERIFIERS)}")
+    return VERIFIERS[kind](reply)
+
+
+register_verifier("verdict", parse_verdict)
+register_verifier("entailment", parse_entailment)

@@ -124,17 +124,24 @@ def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -
 
     ``mapping`` names the payload shape of each row, so one scan serves every provider.
     """
-    p, keys = F.col("_payload"), F.coalesce(F.json_object_keys(F.col(raw)), F.array())
-    has_split = F.array_contains(keys, "prompt_cache_hit_tokens") | F.array_contains(
-        keys, "prompt_cache_miss_tokens"
+    p = F.col("_payload")
+    # A field that is there but null still makes the shape; only one mapping asks.
+    named = F.arrays_overlap(
+        F.json_object_keys(F.col(raw)),
+        F.array(F.lit("prompt_cache_hit_tokens"), F.lit("prompt_cache_miss_tokens")),
     )
+    split_shape = F.when(F.col(mapping) == "deepseek", F.coalesce(named, F.lit(False)))
+    has_split = F.col("_split")
     usage = (
         F.when(F.col(mapping) == "anthropic", _exclusive(p))
         .when(F.col(mapping).isin("openai", "openrouter"), _inclusive(p))
         .when(F.col(mapping) == "deepseek", _hit_miss(p, has_split))
     )
-    cost_text = F.when(F.col(mapping) == "openrouter", F.get_json_object(F.col(raw), "$.cost"))
-    parsed = df.withColumn("_payload", F.from_json(F.col(raw), _SCHEMA)).withColumn("_usage", usage)
+    own_cost = F.when(F.col(mapping) == "openrouter", F.get_json_object(F.col(raw), "$.cost"))
+    parsed = df.withColumns(
+        {"_payload": F.from_json(F.col(raw), _SCHEMA), "_split": split_shape, "_cost": own_cost}
+    ).withColumn("_usage", usage)
+    cost_text = F.col("_cost")
     u = F.col("_usage")
     error = (
         F.when(~F.coalesce(F.col(mapping).isin(*MAPPINGS), F.lit(False)), F.lit("unknown mapping"))
@@ -175,7 +182,7 @@ def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -
     out = out.withColumn("usage_sources", F.when(clean, source)).withColumn(
         "provider_cost_usd", F.when(clean, cost_text.try_cast("decimal(24,12)"))
     )
-    return out.drop("_payload", "_usage")
+    return out.drop("_payload", "_usage", "_split", "_cost")
 
 
 def require_clean(df: DataFrame) -> DataFrame:

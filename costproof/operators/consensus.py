@@ -33,6 +33,13 @@ LABEL_KINDS = {
 }
 
 
+def register_label_kind(kind: LabelKind) -> None:
+    """Add a way of making labels from samples."""
+    if kind.name in LABEL_KINDS:
+        raise ValueError(f"label kind {kind.name!r} is already registered")
+    LABEL_KINDS[kind.name] = kind
+
+
 def label_kind(name: str) -> LabelKind:
     if name not in LABEL_KINDS:
         raise ValueError(f"unknown label kind {name!r}; registered: {sorted(LABEL_KINDS)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,10 +287,17 @@ def assess_provenance(sets: DataFrame) -> DataFrame:
     ).withColumn("certifiable", F.size("refusals") == 0)
 
 
-DETECTORS: dict[str, object] = {}
+DETECTORS: dict[str, Callable[[], Column]] = {}
+
+
+def register_detector(name: str, probability: Callable[[], Column]) -> None:
+    """Add a builder of the column that says how likely an item is machine text."""
+    if name in DETECTORS:
+        raise ValueError(f"machine-text detector {name!r} is already registered")
+    DETECTORS[name] = probability
 
 
-def detector(name: str) -> object:
+def detector(name: str) -> Callable[[], Column]:
     """A registered machine-text detector; there is none until a caller registers one."""
     if name not in DETECTORS:
         raise ValueError(f"no machine-text detector named {name!r}; registered: {sorted(DETECTORS)}")

@@ -46,11 +46,16 @@ def evaluate(
 
 
 def _prepare(samples: DataFrame, kind: str, k: int) -> DataFrame:
-    scorer = S.scorer_kind(kind)
-    splits = samples.where(F.col("sample_index") == 0).select("task_id", "tier", "split")
-    ready = scorer.prepare(samples, k)
+    """Features from the router's view only; the returned sample's label and split come in afterwards."""
+    ready = S.scorer_kind(kind).prepare(S.router_view(samples), k)
+    if "answer_index" not in ready.columns:
+        ready = ready.withColumn("answer_index", F.lit(0))
+    labels = samples.select(
+        "task_id", "tier", F.col("sample_index").cast("bigint").alias("answer_index"), "correct", "split"
+    )
     # One row per task and tier, read by every fit, search and evaluation: written once.
-    return cut(ready if "split" in ready.columns else ready.join(splits, ["task_id", "tier"]))
+    keyed = ready.withColumn("answer_index", F.col("answer_index").cast("bigint"))
+    return cut(keyed.join(labels, ["task_id", "tier", "answer_index"]))
 
 
 def compare_scorers(

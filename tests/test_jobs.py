@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks as BL
+from costproof.functions import grading as GR
 from costproof.functions import stats
 from costproof.operators import arms as A
 from costproof.operators import bootstrap as B
@@ -166,6 +167,31 @@ def test_clean_requests_score_five_everywhere(spark):
     assert scores["b"] == {5} and min(scores["a"]) == 3
 
 
+def test_registries_take_new_kinds_and_refuse_repeats(spark):
+    replies = spark.createDataFrame([('{"correct": true, "confidence": 0.9, "why": "' + "x" * 900 + '"}',)], "r string")
+    read = replies.select(GR.verify("verdict", F.col("r")).alias("v")).select("v.*").first()
+    assert "x" * 900 in [v for v in read if isinstance(v, str)]
+    with pytest.raises(ValueError, match="already"):
+        GR.register_verifier("verdict", GR.parse_verdict)
+    with pytest.raises(ValueError, match="unknown verifier"):
+        GR.verify("none", F.col("r"))
+    with pytest.raises(ValueError, match="no machine-text detector"):
+        D.detector("none")
+    D.register_detector("fixed", lambda: F.lit(0.25))
+    try:
+        items = replies.withColumn("p", D.detector("fixed")())
+        assert D.importance_weights(items, "p").first()["weight"] == 1.0
+    finally:
+        D.DETECTORS.clear()
+    with pytest.raises(ValueError, match="already"):
+        K.register_label_kind(K.label_kind("majority-vote"))
+
+
+def test_scorers_see_no_labels(spark):
+    samples = spark.createDataFrame([(1, "a", 0, "x", 0.1, 1, "test", "gold")], "task_id int, tier string, sample_index int, output string, cost double, correct int, split string, gold string")
+    assert not set(S.router_view(samples).columns) & set(S.FORBIDDEN_COLUMNS)
+
+
 def test_arms_over_different_tasks_are_refused(spark):
     arms = spark.createDataFrame([("a", 1, 1, 5), ("a", 2, 1, 5), ("b", 1, 0, 2)], "pipeline string, task_id int, correct int, cost long")
     with pytest.raises(ValueError, match="different task sets"):
