@@ -51,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_below(df: DataFrame, size: Column, limit: int = 64 << 20) -> DataFrame:
+    """A broadcast hint where the rows' sizes, in bytes, add up to ``limit`` at most; else ``df`` as it is."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def key_of(doc_id: str, text: str) -> Column:
     """What rows are found again by: their id, which may be null, and 128 bits of their text."""
     halves = [F.xxhash64(F.lit(seed), F.col(text)).alias(f"h{seed}") for seed in (1, 2)]

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costproof.llm.common import stored, unused
+from costproof.llm.common import broadcast_below, stored, unused
 
 WINDOW = 10
 # The hash set is broadcast up to this size; a larger one is joined by a shuffle.
@@ -64,8 +64,7 @@ def _key(doc_id: str, text: str) -> tuple[Column, Column]:
 
 def _sized(df: DataFrame, column: str) -> DataFrame:
     """``df`` with a broadcast hint where its strings are known to be small."""
-    size = df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return broadcast_below(df, F.octet_length(column) + 64, BROADCAST_BYTES)
 
 
 def hits(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costproof.llm.common import stored, unused
+from costproof.llm.common import broadcast_below, stored, unused
 from costproof.runtime import broadcast_if_small
 
 RATIO = 0.1
@@ -39,7 +39,8 @@ def boilerplate(
     often = seen.where(F.col("count") >= min_pages)
     often = often.join(broadcast_if_small(totals), F.col("host").eqNullSafe(F.col("site")))
     often = stored(often.where(F.col("count") > F.col("pages") * ratio).select("host", "line"), "boilerplate")
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lists = often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return stored(lists, "boilerplate-lists")
 
 
 def marked(
@@ -56,7 +57,8 @@ def marked(
     """
     (site, drop) = unused(pages, "site", "drop")
     found = boilerplate(pages, host, text, ratio, min_pages).toDF(site, drop)
-    joined = pages.join(broadcast_if_small(found), pages[host].eqNullSafe(found[site]), "left")
+    found = broadcast_below(found, 64 + 40 * F.size(drop))
+    joined = pages.join(found, pages[host].eqNullSafe(found[site]), "left")
     stays = F.filter(
         _lines(F.col(text)), lambda x: (x == "") | ~F.array_contains(F.col(drop), F.md5(x.cast("binary")))
     )
