@@ -378,7 +378,8 @@ SELECT CAST(sum(CASE WHEN line = 'baseline' THEN cost ELSE 0 END) AS BIGINT) AS
   CAST(sum(CASE WHEN line = 'sampling' THEN cost ELSE 0 END) AS BIGINT) AS sampling_cost,
   CAST(sum(CASE WHEN line = 'prewarm' THEN cost ELSE 0 END) AS BIGINT) AS prewarm_cost,
   CAST(sum(cost) AS BIGINT) AS proof_cost,
-  CAST(ceil(sum(cost) / 6500000.0) AS BIGINT) AS repayment_tasks FROM lines""",
+  CASE WHEN avg(cost) FILTER (line = 'baseline') > avg(cost) FILTER (line = 'candidate') THEN CAST(ceil(CAST(sum(cost) AS DOUBLE)
+    / (avg(cost) FILTER (line = 'baseline') - avg(cost) FILTER (line = 'candidate'))) AS BIGINT) END AS repayment_tasks FROM lines""",
 )
 def proof_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What producing the proof cost, line by line, and the tasks that repay it."""
@@ -391,10 +392,12 @@ def proof_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "frontier",
         "cheap",
     )
-    bill = A.proof_cost(s.select(F.col("cost_nano").alias("cost"), line.alias("line")))
-    return bill.withColumn(
-        "repayment_tasks", A.repayment(F.lit(6500000.0), F.col("proof_cost"))
-    )
+    lines = s.select(F.col("cost_nano").alias("cost"), line.alias("line"))
+    mean = lambda name: F.avg(F.when(F.col("line") == name, F.col("cost")))
+    saving = lines.agg((mean("baseline") - mean("candidate")).alias("saving"))
+    return A.proof_cost(lines).crossJoin(F.broadcast(saving)).withColumn(
+        "repayment_tasks", A.repayment(F.col("saving"), F.col("proof_cost"))
+    ).drop("saving")
 
 
 @query(
