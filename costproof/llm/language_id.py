@@ -45,12 +45,19 @@ def fit(
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.select("key", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample_rows)
-    found = [r["lang"] for r in chosen.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(found) > LANGUAGES:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    texts = rows.join(F.broadcast(chosen.drop("turn").distinct()), ["key", "lang"]).select("lang", "text").distinct()
+    if not sizes:
+        return {}
+    found = list(sizes)
+    # Hashes under a bound that leaves a few times the sample, so that no language is ranked whole.
+    draw = F.shiftrightunsigned(F.xxhash64("key"), 32)
+    bound = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, float(sample_rows * 4 << 32) / n)])
+    drawn = rows.select("key", "lang", draw.alias("draw")).where(F.col("draw") < bound[F.col("lang")])
+    turn = Window.partitionBy("lang").orderBy("draw", "key")
+    chosen = drawn.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample_rows)
+    texts = rows.join(F.broadcast(chosen.select("key", "lang").distinct()), ["key", "lang"]).select("lang", "text").distinct()
     words = texts.select("lang", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word"))
     counts = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("texts"))
     best = Window.partitionBy("lang").orderBy(F.desc("texts"), "word")
