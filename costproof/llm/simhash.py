@@ -14,6 +14,7 @@ members of different components are compared, the largest component of a cell ag
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -35,6 +36,9 @@ BITS = 4
 # For removing near-duplicates: longer shingles, and so many fingerprints that one of them is near.
 DEDUP_WORDS = 5
 TURNS = 4
+# Near-duplicates have ALIKE of OF shingles in common or more; places of the parity masks.
+ALIKE, OF = 4, 5
+SKETCH = 512
 _LOW = 0x5555555555555555
 
 
@@ -198,6 +202,126 @@ def near_groups(
     )
 
 
+def _profile(text: bytes | None, words: int) -> tuple[int, list[int]]:
+    """Number of different shingles, and the parity of how many fall to each of 512 places.
+
+    Two parity masks never differ in more bits than the sets of shingles have shingles of their own.
+    """
+    own = np.unique(_hashes(text, words))
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return len(own), np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
+def _hashes(text: bytes | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles; a shorter text is one shingle, and one without words the empty one."""
+    found, short = [], []
+    for run in _word_runs(text or b"", words):
+        if len(run) < words:
+            short = run
+        else:
+            found.append(_shingle_hashes(run, words))
+    return np.concatenate(found) if found else _shingle_hashes(short, max(1, len(short)))
+
+
+def shingles(text: bytes | None, words: int) -> set[bytes]:
+    """The set of a text's shingles themselves, as ``_hashes`` has their hashes."""
+    found, short = set(), []
+    for run in _word_runs(text or b"", words):
+        if len(run) < words:
+            short = run
+        else:
+            found.update(b" ".join(run[i : i + words]) for i in range(len(run) - words + 1))
+    return found or {b" ".join(short)}
+
+
+def profiles(text: Column, words: int) -> Column:
+    @F.arrow_udf("n long, sketch array<bigint>")
+    def of(column: pa.Array) -> pa.Array:
+        rows = [_profile(t, words) for t in utf8(column)]
+        kinds = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(kinds, ["n", "sketch"])
+
+    return of(text)
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """False only for pairs whose similarity is certainly below ``ALIKE`` of ``OF``: by sizes, then by parities."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = F.least(n, m) * OF >= F.greatest(n, m) * ALIKE
+    apart = reduce(Column.__add__, [distance(F.col(f"{a}.sketch")[i], F.col(f"{b}.sketch")[i]) for i in range(SKETCH // 64)])
+    return sizes & (apart * (OF + ALIKE) <= (n + m) * (OF - ALIKE))
+
+
+def _similar(a: Column, b: Column, words: int) -> Column:
+    """Whether the sets of shingles of two texts have Jaccard similarity ``ALIKE`` of ``OF`` or more, exactly."""
+
+    @F.arrow_udf("boolean")
+    def of(left: pa.Array, right: pa.Array) -> pa.Array:
+        out, last, theirs = [], None, set()
+        for x, y in zip(utf8(left), utf8(right), strict=True):
+            if y != last or not theirs:
+                last, theirs = y, shingles(y, words)
+            own = shingles(x, words)
+            both = len(own & theirs)
+            out.append(both * OF >= (len(own) + len(theirs) - both) * ALIKE)
+        return pa.array(out, pa.bool_())
+
+    return of(a, b)
+
+
+def _edges(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts are similar."""
+    own = texts.select(F.col("uid").alias("a"), F.col("text").alias("own"))
+    theirs = texts.select(F.col("uid").alias("b"), F.col("text").alias("theirs"))
+    both = pairs.distinct().join(own, "a").join(theirs, "b")
+    return stored(both.where(_similar(F.col("own"), F.col("theirs"), words)).select("a", "b"), "similar")
+
+
+def similar_groups(points: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
+    """``node, root`` of every point that is similar to another one, over similar pairs that share a cell.
+
+    ``points`` has ``uid, n, sketch, cells``; ``texts_of`` gives ``uid, text`` of given points. Every cell first links its
+    points to one of them; then only points of different components are compared, the largest of a cell against the
+    rest. Cells and sketches choose what is compared; the texts decide.
+    """
+    cells = points.select("uid", F.explode("cells").alias("cell"))
+    hubs = cells.groupBy("cell").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).where("hub <> last").drop("last")
+    live = stored(cells.join(hubs, "cell"), "shared-cells")
+    marks = stored(points.drop("cells").join(live.select("uid"), "uid", "left_semi"), "shared-points")
+    texts = stored(texts_of(marks), "shared-texts")
+    marks = marks.select("uid", "n", "sketch")
+    pairs = live.where("uid <> hub").select("uid", "hub").distinct()
+    pairs = pairs.join(marks.alias("x"), "uid").join(marks.withColumnRenamed("uid", "hub").alias("y"), "hub")
+    stars = _edges(pairs.where(_may_be_similar("x", "y")).select(F.col("uid").alias("a"), F.col("hub").alias("b")), texts, words)
+    first = components(stars).withColumnRenamed("node", "uid")
+    named = live.select("cell", "uid").join(marks.join(first, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "uid")
+    named = stored(named, "star-roots")
+    mixed = (
+        named.groupBy("cell", "root").count().groupBy("cell")
+        .agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+        .where("roots > 1").drop("roots")
+    )
+    fewer = named.join(mixed, "cell").where("root <> most")
+    bridges = (
+        fewer.alias("x")
+        .join(named.alias("y"), "cell")
+        .where((F.col("x.root") != F.col("y.root")) & _may_be_similar("x", "y"))
+        .where((F.col("x.uid") < F.col("y.uid")) | (F.col("y.root") == F.col("x.most")))
+        .select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+    )
+    return components(stars.unionByName(_edges(bridges, texts, words)))
+
+
+def _print_cells(fps: Column, bits: int, turns: int) -> Column:
+    """The grid cells of every fingerprint, as numbers: two fingerprints within ``bits`` share one."""
+    masks = _groups(bits)
+    return F.array(*[
+        F.xxhash64(F.lit(turn), F.lit(1 << i | 1 << j), embedding(fps[turn]).bitwiseAND(F.lit(masks[i] | masks[j])))
+        for turn in range(turns)
+        for i, j in combinations(range(len(masks)), 2)
+    ])
+
+
 def near_dedup(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -208,27 +332,27 @@ def near_dedup(
 ) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; every column stays as it was.
 
-    Rows link when any of ``turns`` fingerprints, each with its own hashes of the shingles, differs in ``bits``
-    or fewer bits. Of a group the smallest id stays (null ids come last; of repeated ids the first row read).
-    Null, empty and word-free texts are one group. An empty table stays empty.
+    Rows link when their sets of ``words``-word shingles have Jaccard similarity 0.8 or more, which is counted on the
+    texts of candidates: rows of which one of ``turns`` fingerprints, each with its own hashes of the shingles, shares
+    a grid cell. Of a group the smallest id stays (null ids come last; of repeated ids the first row read). Null,
+    empty and word-free texts are one group. An empty table stays empty.
     """
     rows = stored(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
             key_of(doc_id, text).alias("key"),
             fingerprints(F.col(text), words, turns).alias("fps"),
+            profiles(F.col(text), words).alias("p"),
         ),
         "fingerprints",
     )
-    edges = []
-    for turn in range(turns):
-        prints = rows.select("uid", F.col("fps")[turn].alias("fp"))
-        points = stored(prints.groupBy("fp").agg(F.min("uid").alias("first")), "points")
-        roots = stored(linked(points, bits), "fingerprint-roots")
-        heads = points.join(roots, "fp").groupBy("root").agg(F.min("first").alias("head"))
-        heads = stored(roots.join(heads, "root").select("fp", "head"), "heads")
-        edges.append(prints.join(heads, "fp").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")))
-    groups = components(reduce(DataFrame.unionByName, edges))
+    points = rows.select("uid", "key", "p.n", "p.sketch", _print_cells(F.col("fps"), bits, turns).alias("cells"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text"))
+        return wanted.select("uid", "key").join(texts.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "key").select("uid", "text")
+
+    groups = similar_groups(points, texts_of, words)
     grouped = rows.select("uid", "key").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
     first = F.min(F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id"), "uid", "key"))
     stay = grouped.groupBy(F.coalesce("root", "uid").alias("group")).agg(first.alias("f")).select("f.key")
