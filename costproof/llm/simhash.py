@@ -10,6 +10,9 @@ the groups; points of a cell are compared by Manhattan distance first, then by t
 
 Dense groups don't give all their pairs: each cell first links its members to one of them; afterwards only
 members of different components are compared, the largest component of a cell against the rest.
+
+Removal of near-duplicates has another measure, the share of common shingles, and other cells for it: bands of least
+hashes of the shingles. What shares a cell is linked in the same two steps, by the texts themselves.
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ from costproof.llm.texts import chunks, utf8
 SEED = 42
 WORDS = 4
 BITS = 4
-# For removing near-duplicates: longer shingles, and so many fingerprints that one of them is near.
+# For removing near-duplicates: longer shingles, and bands of least hashes that make candidates.
 DEDUP_WORDS = 5
-TURNS = 4
+BANDS, ROWS = 30, 5
 # Near-duplicates have ALIKE of OF shingles in common or more; places of the parity masks.
 ALIKE, OF = 4, 5
 SKETCH = 512
@@ -202,14 +205,22 @@ def near_groups(
     )
 
 
-def _profile(text: bytes | None, words: int) -> tuple[int, list[int]]:
-    """Number of different shingles, and the parity of how many fall to each of 512 places.
+def _profile(text: bytes | None, words: int, factors: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """Number of different shingles, the parity of how many fall to each of 512 places, and a cell per band.
 
-    Two parity masks never differ in more bits than the sets of shingles have shingles of their own.
+    Two parity masks never differ in more bits than the sets of shingles have shingles of their own. A band's cell is
+    ``ROWS`` least hashes, each under a factor of its own, so two texts share it with the power ``ROWS`` of their similarity.
     """
     own = np.unique(_hashes(text, words))
     odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return len(own), np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+    least = np.full(factors.shape[1], np.iinfo(np.uint64).max, np.uint64)
+    mixed = own ^ (own >> np.uint64(31))
+    for i in range(0, len(own), 1 << 12):
+        part = mixed[i : i + (1 << 12), None] * factors[0] + factors[1]
+        least = np.minimum(least, part.min(axis=0))
+    digest = xxhash.xxh64_intdigest
+    cells = np.array([digest(band.tobytes(), i) for i, band in enumerate(least.reshape(-1, ROWS))], np.uint64)
+    return len(own), np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist(), cells.view(np.int64).tolist()
 
 
 def _hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -234,12 +245,17 @@ def shingles(text: bytes | None, words: int) -> set[bytes]:
     return found or {b" ".join(short)}
 
 
-def profiles(text: Column, words: int) -> Column:
-    @F.arrow_udf("n long, sketch array<bigint>")
+def profiles(text: Column, words: int, bands: int = BANDS) -> Column:
+    """``struct<n, sketch, cells>`` of a text column: what chooses the pairs that are compared."""
+
+    @F.arrow_udf("n long, sketch array<bigint>, cells array<bigint>")
     def of(column: pa.Array) -> pa.Array:
-        rows = [_profile(t, words) for t in utf8(column)]
-        kinds = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(kinds, ["n", "sketch"])
+        factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, bands * ROWS), np.uint64)
+        factors[0] |= np.uint64(1)
+        rows = [_profile(t, words, factors) for t in utf8(column)]
+        longs = pa.list_(pa.int64())
+        kinds = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), longs, longs))]
+        return pa.StructArray.from_arrays(kinds, ["n", "sketch", "cells"])
 
     return of(text)
 
@@ -312,41 +328,28 @@ def similar_groups(points: DataFrame, texts_of: Callable[[DataFrame], DataFrame]
     return components(stars.unionByName(_edges(bridges, texts, words)))
 
 
-def _print_cells(fps: Column, bits: int, turns: int) -> Column:
-    """The grid cells of every fingerprint, as numbers: two fingerprints within ``bits`` share one."""
-    masks = _groups(bits)
-    return F.array(*[
-        F.xxhash64(F.lit(turn), F.lit(1 << i | 1 << j), embedding(fps[turn]).bitwiseAND(F.lit(masks[i] | masks[j])))
-        for turn in range(turns)
-        for i, j in combinations(range(len(masks)), 2)
-    ])
-
-
 def near_dedup(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     words: int = DEDUP_WORDS,
-    bits: int = BITS,
-    turns: int = TURNS,
+    bands: int = BANDS,
 ) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; every column stays as it was.
 
     Rows link when their sets of ``words``-word shingles have Jaccard similarity 0.8 or more, which is counted on the
-    texts of candidates: rows of which one of ``turns`` fingerprints, each with its own hashes of the shingles, shares
-    a grid cell. Of a group the smallest id stays (null ids come last; of repeated ids the first row read). Null,
+    texts of candidates: rows that share one of ``bands`` cells of least hashes. Of a group the smallest id stays (null ids come last; of repeated ids the first row read). Null,
     empty and word-free texts are one group. An empty table stays empty.
     """
     rows = stored(
         docs.select(
             F.monotonically_increasing_id().alias("uid"),
             key_of(doc_id, text).alias("key"),
-            fingerprints(F.col(text), words, turns).alias("fps"),
-            profiles(F.col(text), words).alias("p"),
+            profiles(F.col(text), words, bands).alias("p"),
         ),
-        "fingerprints",
+        "profiles",
     )
-    points = rows.select("uid", "key", "p.n", "p.sketch", _print_cells(F.col("fps"), bits, turns).alias("cells"))
+    points = rows.select("uid", "key", "p.*")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         texts = docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text"))

@@ -70,3 +70,9 @@ def test_similarity_of_pairs_is_exact_and_never_ruled_out_before(spark):
     for r in rows:
         want = jaccard(texts[r["a"]], texts[r["b"]]) >= 0.8
         assert r["s"] == want and (r["m"] or not want)
+
+
+def test_near_dedup_groups_match_all_pairs(spark):
+    texts = near_texts(12, 30)
+    group = groups_of(texts, 0.8)
+    assert kept_ids(spark, texts) == set(group) and len(set(group)) < len(texts)
