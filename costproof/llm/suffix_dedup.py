@@ -7,7 +7,8 @@ their hash. What surrounds an anchor, as far as a string that holds it can reach
 1. Anchors are dealt out by hash with a digest of their context, copies counted before the shuffle. A context
    that occurs twice is covered as a whole. An anchor hash with several contexts needs their bytes.
 2. The texts are read again and only the contexts of such anchors (told by a bit filter of fixed size, whose false
-   hits cost time and nothing else) are dealt out to shards. Each shard sorts its suffixes by induction and
+   hits cost time and nothing else; anchors of step 3 among them are dropped by an exact join) are dealt out to
+   shards. Each shard sorts its suffixes by induction and
    compares neighbours by permuted common prefixes: strings equal over ``length`` bytes from different places
    are covered.
 3. Anchors with more contexts than a shard should hold are resolved by digests of their single strings, which
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from costproof.llm.common import stored
+from costproof.llm.common import broadcast_below, stored
 from costproof.llm.suffix_arrays import agrees, suffix_array
 from costproof.llm.texts import utf8
 
@@ -364,13 +365,16 @@ def covered(texts: DataFrame, length: int = LENGTH, filter_bits: int = FILTER_BI
     spans = known.where("lone = false or lone is null").select("uid", "lo", "hi")
     open_anchors = known.where("several")
     small = open_anchors.where(F.col("contexts") <= shard_contexts).select("h").distinct()
-    large = open_anchors.where(F.col("contexts") > shard_contexts).select("h").distinct()
+    large = stored(open_anchors.where(F.col("contexts") > shard_contexts).select("h").distinct(), "large-anchors")
+    any_large = not large.isEmpty()
     packed = spark.sparkContext.broadcast(_filter_bits(small, filter_bits))
     kinds = "h long, c1 long, c2 long, n long, uid long, lo long, data binary"
     contexts = texts.mapInArrow(_fetch(length, packed, filter_bits), kinds)
+    if any_large:  # the filter may let them through, and a shard would hold all their contexts
+        contexts = contexts.join(broadcast_below(large, F.lit(8)), "h", "left_anti")
     shards = contexts.repartition("h").sortWithinPartitions("h", "c1", "c2")
     spans = spans.unionByName(shards.mapInArrow(_resolve(length), "uid long, lo long, hi long"))
-    if large.isEmpty():
+    if not any_large:
         return spans
     return spans.unionByName(_by_digest(texts, large, length, filter_bits))
 
