@@ -1,8 +1,8 @@
 """Suffix arrays of byte strings by induced sorting, in array operations.
 
 Suffixes are classified as smaller or larger than their successors; the leftmost-smaller ones are sorted by their
-substrings, recursively where names repeat; the others are induced from them in one pass up and one pass down the
-buckets. Each bucket is a handful of array operations, so the work is linear in the bytes.
+substrings, and by doubling the names where they repeat; the others are induced from them in one pass up and one pass
+down the buckets. The passes are linear in the bytes; the doubling sorts, so it is not.
 """
 
 from __future__ import annotations
@@ -136,8 +136,7 @@ def suffix_array(data: bytes) -> np.ndarray:
 def agrees(data: bytes, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix of ``order`` shares ``length`` bytes with the one before it; all have as many.
 
-    Common prefixes are taken in text order, where a suffix whose left neighbour shares one byte more with
-    its own predecessor needs no comparison, and otherwise eight bytes at a time.
+    Neighbours are compared eight bytes at a time; lengths of common prefixes are not computed.
     """
     n = len(data)
     padded = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)

@@ -9,7 +9,7 @@ their hash. What surrounds an anchor, as far as a string that holds it can reach
 2. The texts are read again and only the contexts of such anchors (told by a bit filter of fixed size, whose false
    hits cost time and nothing else; anchors of step 3 among them are dropped by an exact join) are dealt out to
    shards. Each shard sorts its suffixes by induction and
-   compares neighbours by permuted common prefixes: strings equal over ``length`` bytes from different places
+   compares neighbours over their first ``length`` bytes: strings equal over ``length`` bytes from different places
    are covered.
 3. Anchors with more contexts than a shard should hold are resolved by digests of their single strings, which
    spread over all workers.
