@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costproof.llm import (
+    bitplane_clustering,
     chat,
     decontamination,
     exact_dedup,
@@ -245,3 +246,44 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+def _centroid_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of the clustering, one set of common tables each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (
+  SELECT r, vec_id, e, c, d FROM (
+    SELECT v.r, vec_id, v.e, c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.e, c{r}.e)]) AS d
+    FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT c, list(m ORDER BY i) AS e FROM (
+    SELECT c, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+    FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS i FROM d{r}) GROUP BY c, i) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.e, c{r}.e) AS e FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e
+  FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k})),{",".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM d{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+@query("op11_centroid_clustering", _centroid_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector with its distance and the inertia, after three rounds."""
+    found = bitplane_clustering.cluster(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.withColumn("centroid_sha256", sha256_hex(digits)).drop("centroid")
