@@ -13,12 +13,14 @@ from costproof.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    lexical_search,
     line_dedup,
     packing,
     simhash,
     suffix_dedup,
     token_files,
     url_filter,
+    vector_search,
 )
 from costproof.llm.common import sha256_hex, table
 
@@ -287,3 +289,54 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bitplane_clustering.cluster(table(spark, sf_dir, "embeddings"))
     digits = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
     return found.withColumn("centroid_sha256", sha256_hex(digits)).drop("centroid")
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t WHERE len(w) > 0),
+f AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t) GROUP BY r, doc_id, n, term),
+k AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM f, s GROUP BY term, n_docs),
+p AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)) AS x FROM f, s),
+a AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * x) AS BIGINT) AS score
+  FROM b JOIN k USING (term) JOIN p USING (term) GROUP BY i, item_id, r, doc_id HAVING sum(w * x) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score
+FROM a QUALIFY rank <= 50
+""",
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents that score highest for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op13_exact_top_k",
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS other,
+         CAST(list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""",
+)
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector."""
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
