@@ -10,6 +10,8 @@ import numpy as np
 BASE = 1.3
 LEAF = 64
 GROUP = 16
+# Points of leaves that meet a query group in one product.
+TOGETHER = 512
 # A net with more children than points over this is given up: its members are as far apart as they can be.
 SPLIT = 8
 NONE = -np.inf
@@ -182,6 +184,15 @@ def search(queries: Tree, tree: Tree, found: Found) -> None:
                 if len(nodes):
                     stack += [(c, nodes) for c in range(queries.child_lo[q], queries.child_hi[q])]
                 break
-            for n in nodes[ends]:
-                found.add(queries, lo, hi, tree, np.arange(tree.lo[n], tree.hi[n]))
+            waiting, size = [], 0
+            for n, most in zip(nodes[ends], np.sort(bound[keep])[::-1][ends]):
+                if most < found.least[lo:hi].min():
+                    break  # the others' bounds are lower still
+                waiting.append(np.arange(tree.lo[n], tree.hi[n]))
+                size += len(waiting[-1])
+                if size >= TOGETHER:
+                    found.add(queries, lo, hi, tree, np.concatenate(waiting))
+                    waiting, size = [], 0
+            if waiting:
+                found.add(queries, lo, hi, tree, np.concatenate(waiting))
             nodes = np.concatenate(below) if below else nodes[:0]

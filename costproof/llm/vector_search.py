@@ -59,15 +59,19 @@ def points(vectors: DataFrame, queries: Column, vec_id: str, embedding: str, sca
     )
 
 
-def centers(data: DataFrame) -> dict[int, np.ndarray]:
-    """By number of components, centers far apart from each other: a greedy net over at most ``SAMPLE`` vectors."""
+def centers(data: DataFrame, chunk: int) -> dict[int, np.ndarray]:
+    """By number of components, centers far apart from each other: a greedy net over at most ``SAMPLE`` vectors.
+
+    As many as there are chunks to fill, ``CENTERS`` at most; more chunks than that share a center.
+    """
+    most = min(CENTERS, math.ceil(data.count() / chunk))
     sample = data.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("dim", "v").collect()
     out = {}
     for dim in {r["dim"] for r in sample} - {0}:
         rows = np.array([r["v"] for r in sample if r["dim"] == dim], np.float64)
         chosen = [0]
         far = np.square(rows - rows[0]).sum(axis=1)
-        while len(chosen) < min(CENTERS, math.isqrt(len(rows))) and far.max() > 0:
+        while len(chosen) < min(most, math.isqrt(len(rows))) and far.max() > 0:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, np.square(rows - rows[chosen[-1]]).sum(axis=1))
         out[dim] = rows[chosen]
@@ -169,7 +173,7 @@ def _listed(queries: cover_trees.Tree, found: cover_trees.Found) -> pa.RecordBat
 
 def trees(data: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """One row per chunk of vectors: its trees, and what its queries find inside."""
-    placed = stored(_cells(data, centers(data)), "cells")
+    placed = stored(_cells(data, centers(data, chunk)), "cells")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     dealt = placed.join(sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks").cast("int"))
     return stored(dealt.drop("chunks").groupBy(*KEY).applyInArrow(_tree_rows(k), TREES), "trees")
