@@ -63,6 +63,9 @@ FROM (
        (2, 'frontier', 5000, 25000)) AS t(tier_index, tier, input_nano, output_nano)) m
 """
 
+# The same matrix with a fourth tier that always answers.
+MATRIX4 = MATRIX.replace("(2, 'frontier', 5000, 25000))", "(2, 'frontier', 5000, 25000), (3, 'apex', 15000, 75000))")
+
 TURNS = """
 SELECT conv_id AS session_id, turn AS turn_index, role, text, turn * 70 AS at_seconds,
        CASE WHEN conv_id % 4 = 0 THEN text ELSE concat('Assistant rules for topic ',
@@ -115,6 +118,7 @@ ALL = {
     "calls": CALLS,
     "prices": PRICES,
     "matrix": MATRIX,
+    "matrix4": MATRIX4,
     "turns": TURNS,
     "judged": JUDGED,
     "prompts": PROMPTS,

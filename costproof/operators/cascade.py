@@ -5,12 +5,16 @@ threshold; the last tier always answers, and a task pays for every tier it touch
 
 The search never evaluates settings task by task. A setting depends on a score only through the
 number of grid values it reaches, so tasks are aggregated once into cells of those numbers; every
-setting is then a difference of cumulative sums over the cells. After that one shuffle the work
-depends on the grid and not on the number of tasks.
+setting is then a difference of entries of summed-area tables over the cells. After that one shuffle
+the work depends on the grid and not on the number of tasks.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +153,43 @@ def cells(
     )
 
 
+def _summed(cells_: pa.Table, tiers: int, scarce: list[bool], size: int) -> dict[str, np.ndarray]:
+    """Successes, cost and scarce cost of every setting from the cells of one group.
+
+    Tasks that go on past tier j are those with bin <= t on each of the first j axes, so a measure is
+    summed over the later axes and then cumulated along the first j: a summed-area table. There are at
+    most ``size ** (tiers - 1)`` cells, whatever the number of tasks.
+    """
+    axes = tiers - 1
+    at = tuple(cells_.column(f"b{i}").to_numpy() for i in range(axes))
+
+    def laid(name: str) -> np.ndarray:
+        column = cells_.column(name)
+        exact = pa.types.is_decimal(column.type)
+        values = np.array([v or 0 for v in column.to_pylist()], object if exact else None)
+        out = np.full((size,) * axes, Decimal(0), object) if exact else np.zeros((size,) * axes, values.dtype)
+        out[at] = values if axes else values.sum()
+        return out
+
+    def past(name: str, depth: int) -> np.ndarray:
+        table = laid(name).sum(axis=tuple(range(depth, axes)), keepdims=True) if depth < axes else laid(name)
+        for axis in range(depth):
+            table = np.cumsum(table, axis=axis)
+        kept = tuple(slice(0, size - 1) if axis < depth else slice(None) for axis in range(axes))
+        return np.broadcast_to(table[kept], (size - 1,) * axes)
+
+    successes, cost = past("ok_0", 0), past("cost_0", 0)
+    scarce_cost = cost if scarce[0] else cost * 0
+    for depth in range(1, tiers):
+        # Leaving tier depth-1 unanswered: give back its successes, add the next tier's.
+        successes = successes - past(f"ok_{depth - 1}", depth) + past(f"ok_{depth}", depth)
+        paid = past(f"cost_{depth}", depth)
+        cost = cost + paid
+        scarce_cost = scarce_cost + paid if scarce[depth] else scarce_cost
+    whole = {"n": past("n", 0), "_dearest": past(f"ok_{tiers - 1}", 0)}
+    return whole | {"_correct": successes, "_cost": cost, "scarce_cost": scarce_cost}
+
+
 def settings(
     cell_table: DataFrame,
     tiers: int,
@@ -156,76 +197,37 @@ def settings(
     step: float = fixed.THRESHOLD_STEP,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Every threshold setting with its accuracy, cost and scarce cost.
+    """Every threshold setting with its accuracy, cost and scarce cost, by group.
 
-    Tasks that go on past tier j are those with bin <= t on each of the first j axes: a cumulative
-    sum over the cells. The cells are laid on a dense grid of fixed size, and every window below is
-    clustered by the same keys, so one exchange of the (small) grid serves all of them.
+    A group's cells, of a number that the grid bounds, meet in one task and become summed-area tables.
     """
     if not 1 <= tiers <= 4:
         raise ValueError("the exhaustive search covers one to four tiers")
-    values, keys, axes = grid(step), keys or [], tiers - 1
-    dims = [f"b{i}" for i in range(axes)]
-    measures = ["n", *[f"ok_{i}" for i in range(tiers)], *[f"cost_{i}" for i in range(tiers)]]
-    # A key-less grid hangs on one constant so that its windows share one exchange too.
-    anchor = keys or ["_one"]
-    if keys:
-        base = cell_table.select(*keys).distinct()
-    else:
-        base = cell_table.sparkSession.range(1).select(F.lit(0).alias("_one"))
-        cell_table = cell_table.withColumn("_one", F.lit(0))
-    for d in dims:
-        base = base.withColumn(d, F.explode(F.sequence(F.lit(0), F.lit(len(values)))))
-    out = base.join(cell_table, [*anchor, *dims], "left")
-    whole = Window.partitionBy(*anchor)
-    out = out.select(
-        *anchor, *dims, *measures, *[F.sum(m).over(whole).alias(f"all_{m}") for m in measures]
-    )
-    for depth in range(1, axes + 1):
-        # What a deeper cut needs: the answering tier's successes and the next tier's costs.
-        wanted = [f"ok_{depth - 1}", f"ok_{depth}", f"cost_{depth}"]
-        front = dims[:depth]
-        window = Window.partitionBy(*anchor, *front)
-        out = out.select(
-            "*", *[F.sum(m).over(window).alias(f"past{depth}_{m}") for m in wanted]
-        )
-        for d in front:
-            window = (
-                Window.partitionBy(*anchor, *[x for x in dims if x != d])
-                .orderBy(d)
-                .rowsBetween(Window.unboundedPreceding, 0)
-            )
-            summed = {m: F.sum(f"past{depth}_{m}").over(window) for m in wanted}
-            out = out.select(
-                *[c for c in out.columns if c not in {f"past{depth}_{m}" for m in wanted}],
-                *[F.coalesce(summed[m], F.lit(0)).alias(f"past{depth}_{m}") for m in wanted],
-            )
-    for d in dims:
-        out = out.where(F.col(d) < len(values))
-    correct, cost = F.col("all_ok_0"), F.col("all_cost_0")
-    scarce_cost = F.col("all_cost_0") if scarce[0] else F.lit(0)
-    for depth in range(1, axes + 1):
-        # Leaving tier depth-1 unanswered: give back its successes, add the next tier's.
-        correct = correct - F.col(f"past{depth}_ok_{depth - 1}") + F.col(f"past{depth}_ok_{depth}")
-        cost = cost + F.col(f"past{depth}_cost_{depth}")
-        if scarce[depth]:
-            scarce_cost = scarce_cost + F.col(f"past{depth}_cost_{depth}")
-    dearest = F.col(f"all_ok_{tiers - 1}") / F.col("all_n")
-    out = out.select(
-        *keys,
-        *dims,
-        F.col("all_n").alias("n"),
-        correct.alias("_correct"),
-        cost.alias("_cost"),
-        scarce_cost.alias("scarce_cost"),
-        dearest.alias("dearest_accuracy"),
-    )
-    correct, cost, scarce_cost = F.col("_correct"), F.col("_cost"), F.col("scarce_cost")
-    thresholds = [
-        F.element_at(F.array(*[F.lit(v) for v in values]), F.col(f"b{i}") + 1) for i in range(axes)
-    ]
+    values, axes, anchor = grid(step), tiers - 1, keys or ["_one"]
+    keyed = cell_table if keys else cell_table.withColumn("_one", F.lit(0))
+    money = keyed.schema["cost_0"].dataType.simpleString()
+    shape = ", ".join(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in anchor)
+    shape += "".join(f", b{i} int" for i in range(axes))
+    shape += f", n bigint, _dearest bigint, _correct bigint, _cost {money}, scarce_cost {money}"
+
+    def run(group: pa.Table) -> pa.Table:
+        found = _summed(group, tiers, scarce, len(values) + 1)
+        places = np.indices((len(values),) * axes, np.int32).reshape(axes, -1) if axes else np.zeros((0, 1), np.int32)
+        rows = places.shape[1]
+        kind = group.schema.field("cost_0").type
+        out = {k: pa.repeat(group.column(k)[0], rows) for k in anchor}
+        out |= {f"b{i}": pa.array(p) for i, p in enumerate(places)}
+        for name, table in found.items():
+            flat = np.broadcast_to(table, (len(values),) * axes).reshape(-1)
+            out[name] = pa.array(flat.tolist(), kind) if flat.dtype == object else pa.array(flat).cast(kind if "cost" in name else pa.int64())
+        return pa.table(out)
+
+    out = keyed.groupBy(*anchor).applyInArrow(run, shape)
+    correct, cost = F.col("_correct"), F.col("_cost")
+    every = F.array(*[F.lit(v) for v in values])
+    thresholds = [F.element_at(every, F.col(f"b{i}") + 1) for i in range(axes)]
     return out.select(
-        *keys,
+        *(keys or []),
         *[F.col(f"b{i}").alias(f"t{i}") for i in range(axes)],
         F.array(*thresholds, F.lit(0.0)).alias("thresholds"),
         "n",
@@ -233,48 +235,54 @@ def settings(
         (correct / F.col("n")).alias("accuracy"),
         cost.alias("total_cost"),
         (cost / F.col("n")).cast("double").alias("cost_per_task"),
-        scarce_cost.alias("scarce_cost"),
-        F.when(cost != 0, scarce_cost / cost).otherwise(0.0).cast("double").alias("scarce_share"),
-        "dearest_accuracy",
+        "scarce_cost",
+        F.when(cost != 0, F.col("scarce_cost") / cost).otherwise(0.0).cast("double").alias("scarce_share"),
+        (F.col("_dearest") / F.col("n")).alias("dearest_accuracy"),
     )
 
 
-def choose(
-    setting_table: DataFrame,
-    floor: Column,
-    objective: str = "cost",
-    keys: list[str] | None = None,
-) -> DataFrame:
-    """The best setting by group: feasible ones first, then the objective, then higher accuracy.
-
-    With no feasible setting: the most accurate, then the cheapest. Ties keep grid order.
-    """
-    keys = keys or []
-    feasible = F.col("accuracy") >= floor
+def _order(floor: Column, objective: str) -> Column:
+    """Feasible settings first, then the objective, then higher accuracy; ties keep grid order."""
     goal = F.col("scarce_cost") if objective == "scarce" else F.col("total_cost")
-    order = F.when(
-        feasible,
-        F.struct(
-            F.lit(0).alias("a"),
-            goal.cast("decimal(38,12)").alias("b"),
-            (-F.col("successes")).cast("decimal(38,12)").alias("c"),
-            F.col("thresholds").alias("d"),
-        ),
+    exact = lambda c: c.cast("decimal(38,12)")
+    return F.when(
+        F.col("accuracy") >= floor,
+        F.struct(F.lit(0).alias("a"), exact(goal).alias("b"), exact(-F.col("successes")).alias("c"), F.col("thresholds").alias("d")),
     ).otherwise(
         F.struct(
-            F.lit(1).alias("a"),
-            (-F.col("successes")).cast("decimal(38,12)").alias("b"),
-            F.col("total_cost").cast("decimal(38,12)").alias("c"),
-            F.col("thresholds").alias("d"),
+            F.lit(1).alias("a"), exact(-F.col("successes")).alias("b"), exact(F.col("total_cost")).alias("c"), F.col("thresholds").alias("d")
         )
     )
+
+
+def choose_each(
+    setting_table: DataFrame, floor: Column, objectives: list[str], keys: list[str] | None = None
+) -> DataFrame:
+    """The best setting by group for every objective, from one pass over the settings.
+
+    With no feasible setting: the most accurate, then the cheapest.
+    """
+    keys = keys or []
     picked = F.struct(*[F.col(c) for c in setting_table.columns if c not in keys])
     best = setting_table.groupBy(*keys).agg(
-        F.min_by(picked, order).alias("_best"),
-        F.sum(feasible.cast("int")).alias("feasible"),
+        F.array(*[
+            F.struct(F.lit(o).alias("objective"), F.min_by(picked, _order(floor, o)).alias("best")) for o in objectives
+        ]).alias("_each"),
+        F.sum((F.col("accuracy") >= floor).cast("int")).alias("feasible"),
         F.count("*").alias("evaluated"),
     )
-    return best.select(*keys, "_best.*", "feasible", "evaluated")
+    rows = best.select(*keys, F.inline("_each"), "feasible", "evaluated")
+    return rows.where("best IS NOT NULL").select(*keys, "objective", "best.*", "feasible", "evaluated")
+
+
+def choose(
+    setting_table: DataFrame,
+    floor: Column,
+    objective: str = "cost",
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """The best setting by group for one objective."""
+    return choose_each(setting_table, floor, [objective], keys).drop("objective")
 
 
 def search(

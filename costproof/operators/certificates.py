@@ -130,62 +130,60 @@ def canary_observation(
     return paired_delta(stratified_subset(pairs, "question_type", fraction, seed))
 
 
-def take_look(
-    certificates: DataFrame, looks: DataFrame, observed: DataFrame, today: Column,
+def take_looks(
+    certificates: DataFrame, looks: DataFrame, observed: DataFrame,
     changes: DataFrame | None = None, drift: DataFrame | None = None,
 ) -> DataFrame:
-    """One look at every standing certificate, to be appended to ``looks``.
+    """The looks that one or more batches of observations take, to be appended to ``looks``.
 
-    Expiry, identity, outcome and distribution are four separate reasons. ``observed``:
-    ``certificate_id, delta, standard_error``; ``changes`` from ``identity_changes``; ``drift``:
-    ``certificate_id, drifted``. A certificate without looks left stops the job.
+    ``observed``: ``certificate_id, batch, taken_on, delta, standard_error``, one row per certificate and
+    batch; delta may be null where nothing was scored again. ``changes``: ``certificate_id, batch, role``
+    from ``identity_changes``; ``drift``: ``certificate_id, batch, drifted``. ``looks``: what was taken
+    before, with ``certificate_id, batch``.
+
+    A certificate's looks are numbered by batch over both tables, and look i is tested at the level that
+    the spending function leaves it. Expiry, identity, outcome and distribution are four separate
+    reasons. A batch that is tried again gets the numbers it had, so writing it over its own rows
+    changes nothing. A certificate with no look left stops the job.
     """
-    taken = looks.groupBy("certificate_id").agg(F.count("*").alias("_taken"))
-    base = certificates.join(taken, "certificate_id", "left").withColumn(
-        "look", F.coalesce("_taken", F.lit(0)) + 1
-    )
-    guarded = F.when(F.col("look") <= F.col("looks_planned"), F.col("look")).otherwise(
-        F.raise_error(
-            F.concat(F.lit("no looks left for certificate "), F.col("certificate_id"))
-        ).cast("bigint")
-    )
-    base = base.withColumn("look", guarded).drop("_taken")
+    every = looks.select("certificate_id", "batch").union(observed.select("certificate_id", "batch")).distinct()
+    number = F.row_number().over(Window.partitionBy("certificate_id").orderBy("batch"))
+    numbered = every.select("certificate_id", "batch", number.alias("look"))  # at most looks_planned each
+    out = observed.join(numbered, ["certificate_id", "batch"]).join(certificates.withColumnRenamed("delta", "_was"), "certificate_id")
+    left = F.when(F.col("look") <= F.col("looks_planned"), F.col("look")).otherwise(
+        F.raise_error(F.concat(F.lit("no looks left for certificate "), F.col("certificate_id"))).cast("int")
+    )
+    out = out.withColumn("look", left)
     levels = alpha_schedule(certificates).select("certificate_id", "look", "level")
-    out = base.join(levels, ["certificate_id", "look"]).join(
-        observed.select(
-            "certificate_id", F.col("delta").alias("_d"), F.col("standard_error").alias("_se")
-        ),
-        "certificate_id",
-        "left",
-    )
+    out = out.join(levels, ["certificate_id", "look"])
     own = (F.col("delta_high") - F.col("delta_low")) / (2 * fixed.Z_95)
-    combined = F.sqrt(own * own + F.col("_se") * F.col("_se"))
-    z = F.when(combined > 0, (F.col("_d") - F.col("delta")) / combined)
-    out = out.withColumn("z", z).withColumn("_crit", stats.z_column(F.col("level")))
+    combined = F.sqrt(own * own + F.col("standard_error") * F.col("standard_error"))
+    z = F.when(combined > 0, (F.col("delta") - F.col("_was")) / combined)
+    out = out.withColumn("z", z).withColumn("critical", stats.z_column(F.col("level")))
+    key = ["certificate_id", "batch"]
     if changes is not None:
-        moved = changes.groupBy("certificate_id").agg(F.count("*").alias("_moved"))
-        out = out.join(moved, "certificate_id", "left")
+        moved = changes.groupBy(*key).agg(F.sort_array(F.collect_set("role")).alias("changed_roles"))  # a few roles
+        out = out.join(moved, key, "left")
     else:
-        out = out.withColumn("_moved", F.lit(None).cast("bigint"))
+        out = out.withColumn("changed_roles", F.lit(None).cast("array<string>"))
     if drift is not None:
-        out = out.join(
-            drift.select("certificate_id", F.col("drifted").alias("_drift")), "certificate_id", "left"
-        )
+        out = out.join(drift.select(*key, F.col("drifted").alias("_drift")), key, "left")
     else:
         out = out.withColumn("_drift", F.lit(None).cast("boolean"))
     reasons = F.array_compact(
         F.array(
-            F.when(expired(today, F.col("expires")), F.lit("expired")),
-            F.when(F.col("_moved") > 0, F.lit("identity changed")),
-            F.when(F.abs("z") > F.col("_crit"), F.lit("outcome moved")),
+            F.when(expired(F.col("taken_on"), F.col("expires")), F.lit("expired")),
+            F.when(F.size("changed_roles") > 0, F.lit("identity changed")),
+            F.when(F.abs("z") > F.col("critical"), F.lit("outcome moved")),
             F.when(F.col("_drift"), F.lit("distribution moved")),
         )
     )
     return out.select(
-        "certificate_id", "look", today.alias("taken_on"), F.col("level").alias("alpha_this_look"),
-        F.col("_d").alias("observed_delta"), F.col("_se").alias("observed_standard_error"), "z",
-        F.col("_d").isNotNull().alias("outcome_tested"),
+        "certificate_id", "batch", "look", "taken_on", F.col("level").alias("alpha_this_look"),
+        F.col("delta").alias("observed_delta"), F.col("standard_error").alias("observed_standard_error"), "z", "critical",
+        F.col("delta").isNotNull().alias("outcome_tested"),
         F.col("_drift").isNotNull().alias("distribution_tested"),
+        F.coalesce("changed_roles", F.array().cast("array<string>")).alias("changed_roles"),
         reasons.alias("reasons"),
     ).withColumn("raised", F.size("reasons") > 0)
 

@@ -13,10 +13,10 @@ from costproof.runtime import broadcast_if_small
 from costproof.functions.stats import row_number_of
 
 
-def type_mix(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count and share (six places) of each question type by group."""
+def type_mix(items: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Count and share (six places) of each question type by group; ``weight`` says how many items a row stands for."""
     keys = keys or []
-    counts = items.groupBy(*keys, "question_type").agg(F.count("*").alias("n"))
+    counts = items.groupBy(*keys, "question_type").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     joined = counts.join(totals, keys) if keys else counts.crossJoin(F.broadcast(totals))
     return joined.select(
@@ -25,9 +25,9 @@ def type_mix(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def length_quantiles(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def length_quantiles(items: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """p10, p50, p90 and p99 of question tokens, linear interpolation, four places."""
-    q = exact_quantiles(items, keys or [], "tokens", fixed.QUANTILES)
+    q = exact_quantiles(items, keys or [], "tokens", fixed.QUANTILES, weight=weight)
     names = [f"p{round(x * 100)}" for x in fixed.QUANTILES]
     return q.select(*(keys or []), *[F.round(n, 4).alias(n) for n in names])
 

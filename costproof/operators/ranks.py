@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costproof.runtime import broadcast_if_small
+from costproof.runtime import broadcast_if_small, cut
 
 
 def running_before(
@@ -75,14 +75,20 @@ def hash_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], prefix: str = "p"
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    quantiles: tuple[float, ...],
+    prefix: str = "p",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles by group, for any group size.
+    """Linear-interpolated quantiles by group, for any group size; a row counts ``weight`` times.
 
     Equal values are counted before the shuffle; ranks come from bucketed running counts, so a hot
     group with many distinct values is spread over its buckets.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    times = F.sum(weight) if weight else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("_c"))
     spread = F.floor(F.log2(F.abs(F.col(value)) + 1) * 64)
     bucket = F.when(F.col(value) < 0, -spread).otherwise(spread).cast("int")
     ranked = running_before(counts, keys, bucket, [F.col(value)], {"_below": F.col("_c")})
@@ -123,8 +129,57 @@ def previous_row(
     return joined.select(*df.columns, *[previous[c].alias(f"prev_{c}") for c in columns])
 
 
-def positions(df: DataFrame, order: str, name: str = "position", chunk: int = 4096) -> DataFrame:
-    """0-based position of every row by a whole-number ``order``, without one global sort task."""
-    return running_before(
-        df, [], F.floor(F.col(order) / chunk), [F.col(order)], {name: F.lit(1).cast("bigint")}
-    )
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_part``: ranges of (keys, order) of about equal size, numbered in that order.
+
+    A group of any size is spread over as many parts as its rows fill. Written to the checkpoint
+    folder, so that rows keep their part whatever is computed again.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column]) -> DataFrame:
+    """Add, per measure, its sum over all earlier rows of the group (of the table, without ``keys``).
+
+    Sums run inside the parts; what lies before a part comes from one total per part. Without keys those
+    totals, one per shuffle partition, are added up by the driver, so no plan has a single-task exchange.
+    """
+    parts = dealt(df.select("*", *[v.alias(f"_m_{n}") for n, v in measures.items()]), keys, order)
+    behind = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(*behind)
+    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*behind)
+        offsets = totals.select(*keys, "_part", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in measures])
+    else:
+        rows, so_far = [], [0] * len(measures)
+        for row in sorted(totals.collect(), key=lambda r: r["_part"]):  # one per shuffle partition
+            rows.append((row["_part"], *(type(v)(x) if v is not None else None for x, v in zip(so_far, row[1:]))))
+            so_far = [x + (v or 0) for x, v in zip(so_far, row[1:])]
+        kinds = ", ".join(f"_o_{n} {totals.schema[f'_t_{n}'].dataType.simpleString()}" for n in measures)
+        offsets = F.broadcast(df.sparkSession.createDataFrame(rows, f"_part int, {kinds}"))
+    sums = parts.select("*", *[F.sum(f"_m_{n}").over(inside).alias(f"_h_{n}") for n in measures]).join(offsets, [*keys, "_part"])
+    added = [F.coalesce(f"_h_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0)) for n in measures]
+    return sums.select(*df.columns, *[x.alias(n) for x, n in zip(added, measures)])
+
+
+def positions(df: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """0-based position of every row by ``order``, without a global sort in one task."""
+    return running_sums(df, [], [order], {name: F.lit(1).cast("bigint")})
+
+
+def next_marked(df: DataFrame, keys: list[str], order: list[str], marks: dict[str, Column]) -> DataFrame:
+    """Add, per mark, its least value over all later rows of the group; null where none is left.
+
+    A hot group is spread over parts; a second window sees one row per part.
+    """
+    parts = dealt(df.select("*", *[value.alias(f"_m_{name}") for name, value in marks.items()]), keys, order)
+    behind = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*behind)
+    later = Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(*behind)
+    firsts = parts.groupBy(*keys, "_part").agg(*[F.min(f"_m_{name}").alias(f"_f_{name}") for name in marks])
+    firsts = firsts.select(*keys, "_part", *[F.min(f"_f_{name}").over(later).alias(f"_l_{name}") for name in marks])
+    here = parts.select("*", *[F.min(f"_m_{name}").over(inside).alias(f"_h_{name}") for name in marks])
+    joined = here.join(firsts, [*keys, "_part"])
+    return joined.select(*df.columns, *[F.coalesce(f"_h_{name}", f"_l_{name}").alias(name) for name in marks])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import grading, stats
+from costproof.operators.ranks import running_sums
 from costproof.runtime import cut
 
 # ----------------------------------------------------------------------- allocation
@@ -42,56 +43,54 @@ def register_policy(name: str, weight: Callable[[], Column]) -> None:
 
 
 def solve_scale(
-    df: DataFrame, weight: str, target: float, floor: float = fixed.MIN_SAMPLING_RATE, width: int = 64
+    df: DataFrame, weight: str, target: float, floor: float = fixed.MIN_SAMPLING_RATE
 ) -> tuple[float, float]:
     """``(scale, top_up)`` so that the mean of ``clip(scale * weight, floor, 1)`` is the target.
 
-    Equal weights are counted once; then each job evaluates ``width`` candidate scales as that many
-    conditional means and keeps the bracket, so ten or so jobs reach double precision whatever the
-    number of tasks. Where even a huge scale falls short (most weights are zero), ``top_up`` is what
-    every rate below 1 is raised by.
+    The mean is piecewise linear in the scale: a weight u leaves the floor at ``floor / u`` and reaches
+    one at ``1 / u``. Running sums of slope and height over these points, in order, give the mean at each;
+    the first point that reaches the target ends the piece in which the line is solved. The sums of that
+    piece are then taken afresh, so no rounding of the running sums is left in the answer. Where every
+    positive weight at rate one falls short (most weights are zero), ``top_up`` is what every rate below
+    1 is raised by.
     """
     if not 0 < floor <= 1 or not floor <= target <= 1:
         raise ValueError("target must be in [floor, 1] and floor in (0, 1]")
-    counted = cut(df.groupBy(F.col(weight).alias("u")).agg(F.count("*").alias("c")))
-    head = counted.agg(
-        F.sum("c"), F.sum(F.col("c") * F.col("u")), F.min("u")
+    counted = cut(df.groupBy(F.col(weight).cast("double").alias("u")).agg(F.count("*").alias("c")))
+    positive = F.col("u") > 0
+    n, least, smallest, above = counted.agg(
+        F.sum("c"), F.min("u"), F.min(F.when(positive, F.col("u"))), F.sum(F.when(positive, F.col("c")))
     ).first()
-    n, total, least = head
     if not n:
         raise ValueError("need at least one item")
     if least < 0:
         raise ValueError("uncertainty scores cannot be negative")
-    if total == 0:
+    if not above:
         return 0.0, target - floor
-
-    def means(scales: list[float]) -> list[float]:
-        each = counted.select("u", "c", F.posexplode(F.lit(scales)).alias("i", "s"))
-        clipped = F.least(F.lit(1.0), F.greatest(F.lit(floor), F.col("u") * F.col("s")))
-        sums = each.groupBy("i").agg(F.sum(F.col("c") * clipped).alias("m")).collect()
-        return [float(r["m"]) / n for r in sorted(sums, key=lambda r: r["i"])]
-
-    mean = total / n
-    ladder = [target / mean * 2.0**i for i in range(width)]
-    reached = means(ladder)
-    at = next((i for i, m in enumerate(reached) if m >= target), None)
-    if at is None:
-        high = ladder[-1]
-        rates = F.least(F.lit(1.0), F.greatest(F.lit(floor), F.col("u") * F.lit(high)))
-        room, got = counted.agg(
-            F.sum(F.when(rates < 1, F.col("c"))), F.sum(F.col("c") * rates)
-        ).first()
-        return high, max(0.0, (target * n - got) / room) if room else 0.0
-    low, high = (ladder[at - 1] if at else 0.0), ladder[at]
-    for _ in range(12):
-        step = (high - low) / (width + 1)
-        points = [low + step * (i + 1) for i in range(width)]
-        if not low < points[0] < high or (high - low) <= 1e-15 * high:
-            break
-        values = means(points)
-        below = sum(1 for v in values if v < target)
-        low, high = (points[below - 1] if below else low), (points[below] if below < width else high)
-    return high, 0.0
+    rest = n - above
+    if above + floor * rest < target * n:
+        return 1 / smallest, (target * n - above - floor * rest) / rest
+    c, u = F.col("c").cast("double"), F.col("u")
+    points = F.inline(F.array(
+        F.struct((F.lit(floor) / u).alias("s"), (c * u).alias("slope"), (-floor * c).alias("height")),
+        F.struct((F.lit(1.0) / u).alias("s"), (-c * u).alias("slope"), c.alias("height")),
+    ))
+    bends = counted.where(positive).select(points).groupBy("s").agg(F.sum("slope").alias("slope"), F.sum("height").alias("height"))
+    line = running_sums(bends, [], ["s"], {"_slope": F.col("slope"), "_height": F.col("height")})
+    mean = F.lit(floor) * n + F.col("_height") + F.col("_slope") * F.col("s")
+    short = mean < F.lit(target) * n
+    low, high = line.agg(F.max(F.when(short, F.col("s"))), F.min(F.when(~short, F.col("s")))).first()
+    if low is None:  # the floor alone is the target
+        return high, 0.0
+    high = high if high is not None else 1 / smallest
+    # A weight of zero never leaves the floor.
+    leaves, ends = (F.coalesce(F.try_divide(F.lit(x), u), F.lit(float("inf"))) for x in (floor, 1.0))
+    rising, full = (leaves <= low) & (ends >= high), ends <= low
+    slope, ones, floored = counted.agg(
+        F.sum(F.when(rising, c * u)), F.sum(F.when(full, c)), F.sum(F.when(leaves > low, c))
+    ).first()
+    scale = (target * n - (ones or 0.0) - floor * (floored or 0.0)) / slope if slope else high
+    return min(max(scale, low), high), 0.0
 
 
 def rate_column(weight: Column, scale: float, top_up: float, floor: float) -> Column:

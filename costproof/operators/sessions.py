@@ -1,25 +1,29 @@
 """Conversations priced turn by turn, with a cache entry that expires.
 
-Without refresh on read the expiry clock starts at the last *write*, so the state is sequential. A
-conversation is folded in chunks of turns, so no task ever holds a whole long one: each chunk's fold
-starts from the state the chunk before it ended in. Chunks that contain a prefix change end in the
-same state whatever they start from, so the hand-over settles in a round or two; it is repeated until
-nothing changes, which is exact. A table whose conversations all fit one chunk needs no round.
+Without refresh on read the expiry clock starts at the last *write*, so what a turn does depends on
+which turn wrote before it. A conversation is folded in chunks of turns, so no task ever holds a whole
+long one; what a chunk starts from is the last write before it. Those writes come from a graph: every
+turn points at the turn that would write next if it had written itself, and the writes are the turns
+reached from the first one. Pointer doubling finds them in as many rounds as the logarithm of their
+number, whatever the prefixes do. Conversations of one chunk have no pointers, and no round.
+
+The clock of a conversation does not run back: a turn with an earlier time than one before it counts
+at the latest time seen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks as B
 from costproof.functions import tokens as T
-from costproof.operators.ranks import positions, previous_row
+from costproof.operators.ranks import next_marked, positions, previous_row
 from costproof.runtime import cut
 
 CHUNK = 256
-STATE = "struct<key:string,written:double,ttl:int,prev:string>"
+STATE = "struct<key:string,written:double,ttl:int,prev:string,clock:double>"
 
 
 def turns_from_blocks(turns: DataFrame, ratio: Column | float = 1.0, default_ttl: str = "5m") -> DataFrame:
@@ -65,8 +69,9 @@ def _step(refresh: bool):
 
     def merge(acc: Column, row: Column) -> Column:
         s = acc["state"]
+        at = F.greatest(s["clock"], row["at"])
         known = F.coalesce(s["key"] == row["key"], F.lit(False))
-        expired = F.coalesce(row["at"] - s["written"] > s["ttl"], F.lit(False))
+        expired = F.coalesce(at - s["written"] > s["ttl"], F.lit(False))
         read = known & ~expired
         event = (
             F.when(~row["cacheable"], "uncacheable")
@@ -79,9 +84,10 @@ def _step(refresh: bool):
         renewed = writes | (row["cacheable"] & read) if refresh else writes
         state = F.struct(
             F.when(writes, row["key"]).otherwise(s["key"]).alias("key"),
-            F.when(renewed, row["at"]).otherwise(s["written"]).alias("written"),
+            F.when(renewed, at).otherwise(s["written"]).alias("written"),
             F.when(writes, row["ttl"]).otherwise(s["ttl"]).alias("ttl"),
             row["key"].alias("prev"),
+            at.alias("clock"),
         )
         same = F.coalesce(s["prev"] == row["key"], F.lit(False))
         out = F.struct(
@@ -92,7 +98,7 @@ def _step(refresh: bool):
     return merge
 
 
-def _fold(chunks: DataFrame, refresh: bool) -> Column:
+def _fold(refresh: bool) -> Column:
     start = F.struct(
         F.col("entry").alias("state"),
         F.array().cast("array<struct<turn_index:bigint,event:string,same_prefix:boolean>>").alias("events"),
@@ -100,6 +106,101 @@ def _fold(chunks: DataFrame, refresh: bool) -> Column:
     return F.aggregate("rows", start, _step(refresh))
 
 
+def _pointers(turns: DataFrame, session: str, refresh: bool) -> DataFrame:
+    """``session, i, to``: the cacheable turn that writes next if turn ``i`` writes.
+
+    ``turns``: the cacheable ones, with ``i, key, at, ttl`` and the key and time of the one before. In
+    the order of time stand the turns and, without refresh, the moments at which their entries would
+    end; each takes the next change of prefix, or the next turn, that follows it.
+    """
+    change = F.when(F.col("prev_key").isNotNull() & (F.col("prev_key") != F.col("key")), F.col("i"))
+    if refresh:
+        gap = {f"over_{v}": F.when(F.col("at") - F.col("prev_at") > v, F.col("i")) for v in fixed.TTL_SECONDS.values()}
+        linked = next_marked(turns, [session], ["i"], {"change": change, **gap})
+        end = F.lit(None).cast("bigint")
+        for v in fixed.TTL_SECONDS.values():
+            end = F.when(F.col("ttl") == v, F.col(f"over_{v}")).otherwise(end)
+        return linked.select(session, "i", F.least("change", end).alias("to"))
+    moments = F.explode(F.array(
+        F.struct(F.col("at").alias("moment"), F.lit(0).alias("kind")),
+        F.struct((F.col("at") + F.col("ttl")).alias("moment"), F.lit(1).alias("kind")),
+    ))
+    line = turns.select(session, "i", change.alias("changed"), moments.alias("_m")).select(session, "i", "changed", "_m.*")
+    turn = F.col("kind") == 0
+    linked = next_marked(
+        line, [session], ["moment", "kind", "i"],
+        {"change": F.when(turn, F.col("changed")), "turn": F.when(turn, F.col("i"))},
+    )
+    found = linked.select(session, "i", F.when(turn, F.col("change")).otherwise(F.col("turn")).alias("to"))
+    return found.groupBy(session, "i").agg(F.min("to").alias("to"))
+
+
+def _reached(first: DataFrame, pointers: DataFrame, session: str) -> DataFrame:
+    """Every ``session, i`` that a chain of pointers reaches from ``first``, doubling its steps each round."""
+    reached, steps = cut(first), cut(pointers.where("to IS NOT NULL"))
+    while True:
+        new = cut(reached.join(steps, [session, "i"]).select(session, F.col("to").alias("i")))
+        if new.isEmpty():
+            return reached
+        reached = reached.unionByName(new)
+        on = steps.select(session, F.col("i").alias("to"), F.col("to").alias("beyond"))
+        steps = cut(steps.join(on, [session, "to"]).select(session, "i", F.col("beyond").alias("to")))
+
+
+def _entries(chunks: DataFrame, session: str, refresh: bool) -> DataFrame:
+    """``session, _chunk, entry``: what chunks after the first of a conversation start from.
+
+    No conversation of several chunks, no entry: then there is no graph to draw.
+    """
+    order = Window.partitionBy(session).orderBy("_chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(session)
+    # One row per chunk, without the turns, is what these windows see.
+    ends = chunks.select(
+        session, "_chunk",
+        F.array_max(F.transform("rows", lambda r: r["at"])).alias("latest"),
+        F.element_at("rows", -1)["key"].alias("last_key"),
+    )
+    ends = ends.select(
+        session, "_chunk", F.max("latest").over(before).alias("clock"), F.lag("last_key").over(order).alias("prev"),
+        (F.min("_chunk").over(whole) < F.max("_chunk").over(whole)).alias("_several"),
+    ).where("_several")
+    if ends.isEmpty():
+        return ends.select(session, "_chunk", F.lit(None).cast(STATE).alias("entry"))
+    long = chunks.join(ends, [session, "_chunk"])
+    clocked = F.aggregate(
+        "rows",
+        F.struct(F.col("clock"), F.array().cast("array<struct<i:bigint,key:string,at:double,ttl:int,cacheable:boolean>>").alias("out")),
+        lambda acc, r: F.struct(
+            F.greatest(acc["clock"], r["at"]).alias("clock"),
+            F.concat(acc["out"], F.array(F.struct(
+                r["turn_index"].alias("i"), r["key"].alias("key"), F.greatest(acc["clock"], r["at"]).alias("at"),
+                r["ttl"].alias("ttl"), r["cacheable"].alias("cacheable"),
+            ))).alias("out"),
+        ),
+    )["out"]
+    turns = long.select(session, "_chunk", F.inline(clocked)).where("cacheable").drop("cacheable")
+    turns = cut(previous_row(turns, [session], "i", ["key", "at"]))
+    first = turns.groupBy(session).agg(F.min("i").alias("i"))
+    writes = _reached(first, _pointers(turns, session, refresh), session)
+    entry = F.struct("i", F.col("key"), F.col("at").alias("written"), "ttl")
+    last = turns.join(writes, [session, "i"]).groupBy(session, "_chunk").agg(F.max(entry).alias("write"))
+    seen = F.last("write", ignorenulls=True).over(before)
+    if refresh:  # the entry in hand was renewed by the last cacheable turn before the chunk
+        last = last.join(turns.groupBy(session, "_chunk").agg(F.max("at").alias("renewed")), [session, "_chunk"], "right")
+        renewed = F.max("renewed").over(before)
+    else:
+        last, renewed = last.withColumn("renewed", F.lit(None).cast("double")), F.lit(None).cast("double")
+    joined = ends.join(last, [session, "_chunk"], "left").select(
+        session, "_chunk", "prev", "clock", seen.alias("write"), renewed.alias("_renewed")
+    )
+    state = F.struct(
+        F.col("write.key").alias("key"), F.coalesce("_renewed", "write.written").alias("written"),
+        F.col("write.ttl").alias("ttl"), F.col("prev"), F.col("clock"),
+    )
+    return joined.where("clock IS NOT NULL").select(session, "_chunk", state.cast(STATE).alias("entry"))
+
+
 def cache_events(
     turns: DataFrame,
     session: str = "session_id",
@@ -128,31 +229,9 @@ def cache_events(
         .groupBy(session, "_chunk")
         .agg(F.sort_array(F.collect_list("_r")).alias("rows"))
     )
-    nothing = F.lit(None).cast(STATE)
-    last = turns.agg(F.max("turn_index")).first()[0]
-    if last is None or last < chunk:
-        folded = chunks.withColumn("entry", nothing).withColumn("_f", _fold(chunks, refresh_on_read))
-    else:
-        chunks = cut(chunks)
-        states = chunks.select(session, "_chunk", nothing.alias("entry"))
-        while True:
-            ended = chunks.join(states, [session, "_chunk"]).select(
-                session, "_chunk", "entry", _fold(chunks, refresh_on_read)["state"].alias("exit")
-            )
-            handed = cut(
-                previous_row(ended, [session], "_chunk", ["exit"]).select(
-                    session,
-                    "_chunk",
-                    F.col("prev_exit").cast(STATE).alias("next"),
-                    (~F.col("entry").eqNullSafe(F.col("prev_exit"))).alias("moved"),
-                )
-            )
-            states = handed.select(session, "_chunk", F.col("next").alias("entry"))
-            if not handed.where("moved").limit(1).count():
-                break
-        folded = chunks.join(states, [session, "_chunk"]).withColumn(
-            "_f", _fold(chunks, refresh_on_read)
-        )
+    chunks = cut(chunks)
+    entries = _entries(chunks, session, refresh_on_read)
+    folded = chunks.join(entries, [session, "_chunk"], "left").withColumn("_f", _fold(refresh_on_read))
     return folded.select(session, F.explode("_f.events").alias("_e")).select(
         session, "_e.turn_index", "_e.event", "_e.same_prefix"
     )

@@ -11,7 +11,6 @@ from costproof.operators import cascade as C
 from costproof.operators import ties as T
 from costproof.operators.scoring import auroc
 from costproof.plans.registry import query, r6
-from costproof.runtime import cut
 
 TIERS = ["cheap", "mid", "frontier"]
 SCARCE = [False, False, True]
@@ -119,18 +118,54 @@ FROM (SELECT * FROM f ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operating point chosen on the calibration split, for both objectives."""
     wide = C.wide_matrix(matrix(spark, sf_dir, "calibration"), 3)
-    # A table of fixed size that both objectives read.
-    table = cut(C.settings(C.cells(wide, 3), 3, SCARCE))
+    table = C.settings(C.cells(wide, 3), 3, SCARCE)
     floor = F.col("dearest_accuracy") - fixed.ACCURACY_SLACK
-    parts = [
-        C.choose(table, floor, goal).select(
-            F.lit(goal).alias("objective"),
-            F.col("t0").cast("bigint").alias("t0"), F.col("t1").cast("bigint").alias("t1"),
-            "n", "successes", "total_cost", "scarce_cost", "feasible", "evaluated",
-        )
-        for goal in ("cost", "scarce")
-    ]
-    return parts[0].unionByName(parts[1])
+    return C.choose_each(table, floor, ["cost", "scarce"]).select(
+        "objective", F.col("t0").cast("bigint").alias("t0"), F.col("t1").cast("bigint").alias("t1"),
+        "n", "successes", "total_cost", "scarce_cost", "feasible", "evaluated",
+    )
+
+
+def _cumulated(name: str, measure: str, depth: int) -> str:
+    """Common tables that end in ``name``: a measure of the tasks that go on past ``depth`` tiers."""
+    front = [f"b{i}" for i in range(depth)]
+    steps = [f"""{name}_0 AS (SELECT {', '.join(f'g{i}.i AS {b}' for i, b in enumerate(front))}, CAST(coalesce(x, 0) AS BIGINT) AS x
+  FROM {' CROSS JOIN '.join(f'line AS g{i}' for i in range(depth))}
+  LEFT JOIN (SELECT {', '.join(front)}, sum({measure}) AS x FROM cells GROUP BY ALL) q
+    ON {' AND '.join(f'q.{b} = g{i}.i' for i, b in enumerate(front))})"""]
+    for i, b in enumerate(front):
+        rest = ", ".join(x for x in front if x != b) or "1"
+        steps.append(f"{name}_{i + 1} AS (SELECT {', '.join(front)}, sum(x) OVER (PARTITION BY {rest} ORDER BY {b}) AS x FROM {name}_{i})")
+    return ",\n".join(steps)
+
+
+def _past(name: str, depth: int) -> str:
+    on = " AND ".join(f"{name}_{depth}.b{i} = t{i}" for i in range(depth))
+    return f"JOIN {name}_{depth} ON {on}"
+
+
+@query(
+    "threshold_settings_four_tiers",
+    f"""{ctes('matrix4')}, line AS (SELECT unnest(range(0, 52)) AS i),
+w AS (SELECT task_id, {', '.join(f'max(CASE WHEN tier_index = {i} THEN {c} END) AS {a}_{i}' for i in range(4) for c, a in (('score', 'score'), ('correct', 'ok'), ('cost_nano', 'cost')))}
+  FROM matrix4 WHERE split = 'calibration' GROUP BY task_id),
+cells AS (SELECT {', '.join(f'CAST((SELECT count(*) FROM line WHERE i <= 50 AND score_{j} >= round(i*0.02, 10)) AS INTEGER) AS b{j}' for j in range(3))},
+  ok_0, ok_1, ok_2, ok_3, cost_0, cost_1, cost_2, cost_3 FROM w),
+{', '.join(_cumulated(f'{m}{j}d{d}', f'{m}_{j}', d) for d in (1, 2, 3) for m, j in (('ok', d - 1), ('ok', d), ('cost', d)))},
+whole AS (SELECT count(*) AS n, sum(ok_0) AS ok, sum(cost_0) AS cost FROM cells)
+SELECT CAST(t0 AS BIGINT) AS t0, CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, n,
+  CAST(ok - ok0d1_1.x + ok1d1_1.x - ok1d2_2.x + ok2d2_2.x - ok2d3_3.x + ok3d3_3.x AS BIGINT) AS successes,
+  CAST(cost + cost1d1_1.x + cost2d2_2.x + cost3d3_3.x AS BIGINT) AS total_cost, CAST(cost2d2_2.x AS BIGINT) AS scarce_cost
+FROM whole CROSS JOIN (SELECT a.i AS t0, b.i AS t1, c.i AS t2 FROM line a, line b, line c WHERE a.i < 51 AND b.i < 51 AND c.i < 51) AS s
+{' '.join(_past(f'{m}{j}d{d}', d) for d in (1, 2, 3) for m, j in (('ok', d - 1), ('ok', d), ('cost', d)))}""",
+)
+def threshold_settings_four_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 132,651 settings of a cascade of four tiers on the calibration split."""
+    m = bind(spark, sf_dir, "matrix4").where("split = 'calibration'").withColumnRenamed("cost_nano", "cost")
+    table = C.settings(C.cells(C.wide_matrix(m, 4), 4), 4, [*SCARCE, False])
+    return table.select(
+        *[F.col(t).cast("bigint").alias(t) for t in ("t0", "t1", "t2")], "n", "successes", "total_cost", "scarce_cost"
+    )
 
 
 @query(

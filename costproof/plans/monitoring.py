@@ -12,6 +12,7 @@ from costproof.operators import certificates as CE
 from costproof.operators import drift as D
 from costproof.plans.proofs import ARMS_SQL, PAIRS_SQL, arms
 from costproof.plans.registry import query, r6
+from costproof.runtime import cut
 
 Z = fixed.Z_95
 
@@ -247,37 +248,76 @@ def certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CE.issue(proofs, F.lit("2026-01-01").cast("date"))
 
 
+def certificate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The certificates, those of the cheap pipeline with late spending."""
+    late = F.when(F.col("pipeline") == "cheap", "obrien-fleming").otherwise("pocock")
+    return certificates(spark, sf_dir).withColumn("spending", late)
+
+
+def _level_rows(looks: int = 4, alpha: float = fixed.ALPHA) -> str:
+    """Level and critical value of every look under both spendings, computed on their own."""
+    from statistics import NormalDist
+
+    phi = NormalDist()
+    spent = {
+        "mid": lambda f: alpha * f,
+        "cheap": lambda f: 2 * (1 - phi.cdf(phi.inv_cdf(1 - alpha / 2) / f**0.5)) if f else 0.0,
+    }
+    rows = []
+    for pipeline, cumulative in spent.items():
+        for i in range(1, looks + 1):
+            level = 1 - (1 - cumulative(i / looks)) / (1 - cumulative((i - 1) / looks))
+            rows.append(f"('{pipeline}', {i}, {level!r}::DOUBLE, {phi.inv_cdf(1 - level / 2)!r}::DOUBLE)")
+    return ", ".join(rows)
+
+
 @query(
     "certificate_looks",
     f"""{ctes('matrix')}, {ARMS_SQL}, {PAIRS_SQL},
 c AS (SELECT question_type AS workload, pipeline, avg(c_correct - b_correct) AS delta, stddev_samp(c_correct - b_correct)/sqrt(count(*)) AS se FROM pairs GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY pipeline, question_type ORDER BY {HASH_SQL.format(seed=fixed.SEED)}, task_id) AS rk,
-  count(*) OVER (PARTITION BY pipeline, question_type) AS size FROM pairs),
-o AS (SELECT question_type AS workload, pipeline, avg(c_correct - b_correct) - CASE WHEN pipeline = 'cheap' THEN 0.2 ELSE 0 END AS delta, stddev_samp(c_correct - b_correct)/sqrt(count(*)) AS se
-  FROM r WHERE rk <= greatest(1, round_even(size*0.25::DOUBLE, 0)) GROUP BY 1, 2)
-SELECT c.workload, c.pipeline, 1 AS look, round(1 - (1 - 0.05/4)/(1 - 0), 6) AS alpha_this_look,
-  round((o.delta - c.delta)/sqrt(c.se*c.se + o.se*o.se), 6) AS z,
-  abs((o.delta - c.delta)/sqrt(c.se*c.se + o.se*o.se)) > 2.4977054744123723 AS raised FROM c JOIN o USING (workload, pipeline)""",
+o AS (SELECT question_type AS workload, pipeline, task_id//4 % 4 AS batch, count(*) AS n,
+  avg(c_correct - b_correct) - CASE WHEN pipeline = 'cheap' THEN 0.06*(task_id//4 % 4) ELSE 0 END AS delta, stddev_samp(c_correct - b_correct)/sqrt(count(*)) AS se
+  FROM pairs GROUP BY 1, 2, 3),
+l(pipeline, look, level, critical) AS (VALUES {_level_rows()}),
+z AS (SELECT c.workload, c.pipeline, CAST(o.batch + 1 AS INTEGER) AS look, o.n, (o.delta - c.delta)/sqrt(c.se*c.se + o.se*o.se) AS z
+  FROM c JOIN o USING (workload, pipeline)),
+s AS (SELECT pipeline, question_type, count(*) FILTER (WHERE task_id//4 % 4 = 1) AS fresh, count(*) AS whole FROM pairs GROUP BY 1, 2),
+a AS (SELECT z.*, level, critical, look = 4 AS gone, pipeline = 'mid' AND look = 3 AS renamed, abs(z.z) > critical AS moved,
+  look = 2 AND fresh*4 > whole AS shifted
+  FROM z JOIN l USING (pipeline, look) JOIN s ON s.pipeline = z.pipeline AND s.question_type = z.workload)
+SELECT workload, pipeline, look, round(level, 6) AS alpha_this_look, round(z, 6) AS z, round(critical, 6) AS critical,
+  concat_ws(', ', CASE WHEN gone THEN 'expired' END, CASE WHEN renamed THEN 'identity changed' END,
+    CASE WHEN moved THEN 'outcome moved' END, CASE WHEN shifted THEN 'distribution moved' END) AS reasons,
+  gone OR renamed OR moved OR shifted AS raised FROM a""",
 )
 def certificate_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A first look at every certificate, from the canary subset of the outcomes."""
-    c = certificates(spark, sf_dir)
-    pairs = A.pair(arms(spark, sf_dir), "frontier", ["question_type"])
-    # Every pipeline has the same tasks, so the subset of one is that of all.
-    tasks = pairs.where(F.col("pipeline") == "mid").select("task_id", "question_type")
-    pairs = pairs.join(D.stratified_subset(tasks, "question_type").select("task_id"), "task_id", "left_semi")
-    d = (F.col("c_correct") - F.col("b_correct")).cast("double")
-    fresh = pairs.groupBy(F.col("question_type").alias("workload"), "pipeline").agg(
-        (F.avg(d) - F.when(F.col("pipeline") == "cheap", 0.2).otherwise(0.0)).alias("delta"),
-        (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("standard_error"),
-    )
+    """Four looks at every certificate under either spending, from outcomes that arrive in four batches.
+
+    The last look comes after the expiry; in the third a model was renamed; the second sees whether its
+    share of the tasks is above a quarter; the cheap pipeline loses six points more with every batch.
+    """
+    c = cut(certificate_rows(spark, sf_dir))  # a few rows each, read by every look
     ids = c.select("certificate_id", "workload", "pipeline")
-    observed = fresh.join(ids, ["workload", "pipeline"])
-    none = c.select("certificate_id").where(F.lit(False))
-    looks = CE.take_look(c, none, observed, F.lit("2026-01-08").cast("date"))
-    return looks.join(ids, "certificate_id").select(
+    pairs = A.pair(arms(spark, sf_dir), "frontier", ["question_type"])
+    pairs = pairs.join(ids.withColumnRenamed("workload", "question_type"), ["question_type", "pipeline"])
+    batch = (F.floor(F.col("task_id") / 4) % 4).cast("bigint")
+    observed = CE.paired_delta(pairs.withColumn("batch", batch), ["certificate_id", "pipeline", "batch"])
+    lost = F.when(F.col("pipeline") == "cheap", F.lit(0.06) * F.col("batch")).otherwise(0.0)
+    observed = cut(observed.withColumn("delta", F.col("delta") - lost).withColumn(
+        "taken_on", F.expr("date_add(date'2026-01-08', CAST(batch * 8 AS INT))")
+    ))
+    renamed = c.where(F.col("pipeline") == "mid").select("certificate_id", F.explode("snapshots").alias("role", "snapshot"))
+    now = renamed.withColumn("snapshot", F.when(F.col("role") == "mid", "r2").otherwise(F.col("snapshot")))
+    changes = CE.identity_changes(renamed, now).withColumn("batch", F.lit(2).cast("bigint"))
+    fresh = F.count(F.when(batch == 1, 1))
+    drift = pairs.groupBy("certificate_id").agg((fresh * 4 > F.count("*")).alias("drifted")).withColumn("batch", F.lit(1).cast("bigint"))
+    # Looks one and two are on file when the batches of three and four come.
+    first = cut(CE.take_looks(c, observed.limit(0), observed.where("batch < 2"), changes, drift))
+    later = CE.take_looks(c, first, observed.where("batch >= 2"), changes, drift)
+    return first.unionByName(later).join(ids, "certificate_id").select(
         "workload", "pipeline", F.col("look").cast("int").alias("look"),
-        r6("alpha_this_look").alias("alpha_this_look"), r6("z").alias("z"), "raised",
+        r6("alpha_this_look").alias("alpha_this_look"), r6("z").alias("z"), r6("critical").alias("critical"),
+        F.array_join("reasons", ", ").alias("reasons"), "raised",
     )
 
 
