@@ -131,10 +131,16 @@ def grid(step: float = fixed.THRESHOLD_STEP) -> list[float]:
 
 
 def _bin(score: Column, values: list[float]) -> Column:
-    total = F.lit(0)
-    for g in values:
-        total = total + (score >= F.lit(g)).cast("int")
-    return total
+    """How many grid values a score reaches: its quotient by the step, set right against two neighbours.
+
+    No score reaches none of them; not-a-number, as in a comparison, all.
+    """
+    last = len(values)
+    every = F.array(*[F.lit(v) for v in values])
+    near = F.least(F.greatest(F.floor(score / F.lit(values[1] if last > 1 else 1.0)), F.lit(0)), F.lit(last - 1)).cast("int")
+    here = (score >= F.element_at(every, near + 1)).cast("int")
+    after = ((near + 1 < last) & (score >= F.element_at(every, F.least(near + 2, F.lit(last))))).cast("int")
+    return F.when(F.isnan(score), last).otherwise(F.coalesce(near + here + after, F.lit(0)))
 
 
 def cells(
