@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from costproof.runtime import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -127,6 +129,9 @@ ALL = {
 }
 
 
+MULTIPLYING = {"matrix", "matrix4", "samples"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,6 +141,8 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A trace-shaped view of the given tables."""
     text = ALL[name]
     sources = {t: table(spark, sf_dir, t) for t in sorted(set(re.findall(r"\{(\w+)\}", text)))}
+    if name in MULTIPLYING:  # many rows from one: a table of a few splits is spread before, not after
+        sources = {t: spread(df) for t, df in sources.items()}
     return spark.sql(text.replace("VARCHAR(9)", "STRING"), **sources)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import grading
-from costproof.operators.scoring import by_size, first_fit
+from costproof.operators.scoring import apart, by_size, fit
 
 
 @dataclass(frozen=True)
@@ -77,43 +77,45 @@ def consensus_labels(
     """
     rules = label_kind(kind)
     order = F.array_position(F.array(*[F.lit(t) for t in tiers]), F.col("tier"))
-    rows = samples.where(F.col("tier").isin(*tiers)).select(
-        "task_id", order.alias("o"), "sample_index", grading.answer_key(F.col("output")).alias("k"), "output"
+    drawn = samples.where(F.col("tier").isin(*tiers)).select("task_id", order.alias("o"), "sample_index", "output")
+    # Equal outputs of a tier are merged, in the exchange that brings a task together, before any is read.
+    merged = drawn.repartition("task_id").groupBy("task_id", "o", "output").agg(
+        F.min("sample_index").alias("drawn"), F.count("*").cast("int").alias("size")
     )
-    pooled = rows.groupBy("task_id").agg(
-        *[F.count(F.when(F.col("o") == i + 1, 1)).alias(f"_n{i}") for i in range(len(tiers))],
-        F.sort_array(F.collect_list(F.struct("o", "sample_index", "k", "output"))).alias("_all"),
+    item = F.struct("o", "drawn", "size", grading.answer_key(F.col("output")).alias("rep"))
+    pooled = merged.select("task_id", "o", "size", item.alias("_item")).groupBy("task_id").agg(
+        *[F.sum(F.when(F.col("o") == i + 1, F.col("size"))).alias(f"_n{i}") for i in range(len(tiers))],
+        F.sort_array(F.collect_list("_item")).alias("_all"),
     )
     even = F.lit(True)
     for i in range(len(tiers)):
-        even = even & (F.col(f"_n{i}") == depth)
+        even = even & F.coalesce(F.col(f"_n{i}") == depth, F.lit(False))
+    placed = F.transform(
+        "_all", lambda r, i: F.struct(r["o"].alias("o"), i.alias("first"), r["size"].alias("size"), r["rep"].alias("rep"))
+    )
     pooled = pooled.select(
         "task_id",
-        F.when(even, F.col("_all"))
+        F.when(even, placed)
         .otherwise(F.raise_error(F.lit("the tiers were sampled to different depths")))
         .alias("_all"),
     )
-    keys = lambda rows: F.transform(rows, lambda r: r["k"])
+
+    def groups(keep) -> Column:
+        return by_size(fit(apart(F.filter("_all", keep) if keep else F.col("_all"))))
+
     staged = pooled.select(
         "task_id",
         "_all",
-        by_size(first_fit(keys(F.col("_all")))).alias("_pool"),
+        groups(None).alias("_pool"),
         *[
-            by_size(
-                first_fit(
-                    keys(F.filter("_all", (lambda i: lambda r: r["o"] != i + 1)(i)))
-                )
-            ).alias(f"_rest{i}")
+            groups((lambda i: lambda r: r["o"] != i + 1)(i)).alias(f"_rest{i}")
             for i in range(len(tiers))
             if rules.leave_one_out
         ],
         *[
-            by_size(
-                first_fit(
-                    keys(F.filter("_all", (lambda i: lambda r: r["o"] == i + 1)(i)))
-                )
-            ).alias(f"_own{i}")
+            groups((lambda i: lambda r: r["o"] == i + 1)(i)).alias(f"_own{i}")
             for i in range(len(tiers))
+            if rules.penalize_overconfidence
         ],
     )
     reference = [
@@ -136,13 +138,11 @@ def consensus_labels(
     for i, tier in enumerate(tiers):
         top = F.element_at(f"_ref{i}", 1)
         first_own = F.element_at(F.filter("_all", (lambda i: lambda r: r["o"] == i + 1)(i)), 1)
-        agrees = grading.same_answer(top["rep"], first_own["k"])
-        consistency = F.element_at(f"_own{i}", 1)["size"] / F.lit(float(depth))
-        penal = (
-            ~agrees & (consistency >= fixed.OVERCONFIDENT_CONSISTENCY)
-            if rules.penalize_overconfidence
-            else F.lit(False)
-        )
+        agrees = grading.same_answer(top["rep"], first_own["rep"])
+        penal = F.lit(False)
+        if rules.penalize_overconfidence:
+            consistency = F.element_at(f"_own{i}", 1)["size"] / F.lit(float(depth))
+            penal = ~agrees & (consistency >= fixed.OVERCONFIDENT_CONSISTENCY)
         base = (
             F.greatest(F.lit(fixed.MIN_LABEL_WEIGHT), F.col(f"_rs{i}.margin"))
             if rules.weight_by_margin

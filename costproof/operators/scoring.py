@@ -140,8 +140,12 @@ def first_fit(keys: Column, same: Callable[[Column, Column], Column] = grading.s
     The relation is not transitive, so this is a fold in draw order and not a ``groupBy``. Arrays
     hold the k draws of one task, so they are short by construction.
     """
-    indexed = F.transform(keys, lambda k, i: F.struct(k.alias("rep"), i.alias("first"), F.lit(1).alias("size")))
-    nothing = F.filter(indexed, lambda _: F.lit(False))
+    return fit(F.transform(keys, lambda k, i: F.struct(k.alias("rep"), i.alias("first"), F.lit(1).alias("size"))), same)
+
+
+def fit(items: Column, same: Callable[[Column, Column], Column] = grading.same_answer) -> Column:
+    """The same over ``struct(rep, first, size)``, an item standing for ``size`` draws with one key."""
+    nothing = F.filter(items, lambda _: F.lit(False))
 
     def place(groups: Column, item: Column) -> Column:
         position = F.array_position(
@@ -152,12 +156,20 @@ def first_fit(keys: Column, same: Callable[[Column, Column], Column] = grading.s
             lambda g, j: F.struct(
                 g["rep"].alias("rep"),
                 g["first"].alias("first"),
-                F.when(j + 1 == position, g["size"] + 1).otherwise(g["size"]).alias("size"),
+                F.when(j + 1 == position, g["size"] + item["size"]).otherwise(g["size"]).alias("size"),
             ),
         )
         return F.when(position == 0, F.concat(groups, F.array(item))).otherwise(grown)
 
-    return F.aggregate(indexed, nothing, place)
+    return F.aggregate(items, nothing, place)
+
+
+def apart(items: Column) -> Column:
+    """Items for ``fit`` from merged draws; a reply without an answer equals nothing, not even its copies."""
+    one = lambda d, n: F.struct(d["rep"].alias("rep"), d["first"].alias("first"), n.alias("size"))
+    return F.flatten(F.transform(items, lambda d: F.when(
+        d["rep"]["answer"].isNull(), F.array_repeat(one(d, F.lit(1)), d["size"])
+    ).otherwise(F.array(one(d, d["size"])))))
 
 
 def by_size(groups: Column) -> Column:
@@ -209,22 +221,55 @@ def sample_arrays(samples: DataFrame, k: int, keys: list[str] | None = None) ->
     return grouped.withColumn("draws", guarded)
 
 
+def distinct_draws(samples: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """The first k draws by keys as ``items``: equal outputs counted once, read once, in draw order.
+
+    Everything about a task meets in one exchange on the keys: equal outputs are merged there before any
+    is parsed. Items are ``struct(rep, first, size, output[, correct])``; a reply without an answer equals
+    nothing and stays apart from its copies. Fewer than k draws stop the job, because a sampling scorer
+    cannot run at a depth that was not recorded.
+    """
+    graded = "correct" in samples.columns
+    drawn = samples.where(F.col("sample_index") < k).repartition(*keys)
+    merged = drawn.groupBy(*keys, "output").agg(
+        F.min("sample_index").cast("int").alias("first"), F.count("*").cast("int").alias("size"),
+        F.sum("cost").alias("cost"), *([F.min_by("correct", "sample_index").alias("correct")] if graded else []),
+    )
+    read = merged.withColumn("rep", grading.answer_key(F.col("output")))
+    item = F.struct("first", "size", "rep", "output", *(["correct"] if graded else []))
+    grouped = read.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(item)).alias("items"), F.sum("size").alias("_n"),
+        F.sum("cost").cast("decimal(38,12)").alias("cost"),
+    )
+    complete = F.when(F.col("_n") == k, F.col("items")).otherwise(
+        F.raise_error(F.concat(F.lit(f"fewer than {k} samples for task "), F.col("task_id").cast("string")))
+    )
+    return grouped.withColumn("items", complete).drop("_n")
+
+
 def agreement(samples: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
-    """Per task and tier: group sizes, entropy of agreement, returned sample, cost of k draws."""
-    arrays = sample_arrays(samples, k, keys)
-    groups = first_fit(F.transform("draws", lambda d: d["_key"]))
-    out = arrays.withColumn("groups", groups)
-    chosen = F.element_at("draws", majority_index(F.col("groups")) + 1)
+    """Per task and tier: group sizes, entropy of agreement, returned sample, cost of k draws.
+
+    Only keys that differ are compared with each other, so the fold is over a few items of a task.
+    """
+    keys = keys or ["task_id", "tier"]
+    arrays = distinct_draws(samples, k, keys)
+    draws = apart(F.col("items"))
+    single = (F.size("items") == 1) & F.col("items")[0]["rep"]["answer"].isNotNull()
+    out = arrays.withColumn("groups", F.when(single, draws).otherwise(fit(draws)))
+    answer = majority_index(F.col("groups"))
+    out = out.withColumn("answer_index", answer)
+    chosen = F.element_at(F.filter("items", lambda d: d["first"] == F.col("answer_index")), 1)
     columns = [
         group_sizes(F.col("groups")).alias("sizes"),
         stats.discrete_entropy(F.transform("groups", lambda g: g["size"])).alias("entropy"),
-        majority_index(F.col("groups")).alias("answer_index"),
+        "answer_index",
         chosen["output"].alias("output"),
-        F.aggregate("draws", F.lit(0).cast("decimal(38,12)"), lambda a, d: (a + d["cost"]).cast("decimal(38,12)")).alias("cost"),
+        "cost",
     ]
     if "correct" in samples.columns:
         columns.append(chosen["correct"].alias("correct"))
-    return out.select(*(keys or ["task_id", "tier"]), *columns)
+    return out.select(*keys, *columns)
 
 
 def effective_samples(sizes: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -325,7 +370,7 @@ def entailment_clusters(
             state["groups"],
             lambda g, j: F.struct(
                 g["rep"].alias("rep"),
-                F.when(j + 1 == position, g["size"] + 1).otherwise(g["size"]).alias("size"),
+                F.when(j + 1 == position, g["size"] + item["size"]).otherwise(g["size"]).alias("size"),
             ),
         )
         total = lambda name: F.aggregate(seen, F.lit(0), lambda a, x: a + x[name])

@@ -195,7 +195,7 @@ def contract_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five draws per task and tier, graded against the gold value."""
-    s = spread(bind(spark, sf_dir, "samples"))
+    s = bind(spark, sf_dir, "samples")
     graded = grading.parse_number(grading.extract_answer(F.col("output"))) == F.col("gold")
     return s.select(
         "task_id", "tier", "tier_index", "sample_index", "output",
@@ -218,8 +218,14 @@ SELECT e.task_id, e.tier, groups, largest, round(entropy, 6) AS entropy, CASE WH
 FROM e JOIN (SELECT task_id, tier, max(gold) AS gold, CAST(sum(cost_nano) AS BIGINT) AS cost FROM a GROUP BY 1, 2) c USING (task_id, tier)""",
 )
 def sample_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each tier agrees with itself over five draws, and the answer the vote returns."""
-    a = S.agreement(samples(spark, sf_dir), 5)
+    """How much each tier agrees with itself over five draws, and the answer the vote returns.
+
+    Only the returned answer is graded.
+    """
+    drawn = bind(spark, sf_dir, "samples").withColumnRenamed("cost_nano", "cost")
+    a = S.agreement(drawn, 5, ["task_id", "tier", "gold"])
+    right = grading.parse_number(grading.extract_answer(F.col("output"))) == F.col("gold")
+    a = a.withColumn("correct", right.cast("int"))
     return a.select(
         "task_id", "tier", F.size("sizes").cast("bigint").alias("groups"),
         F.array_max("sizes").cast("bigint").alias("largest"), r6("entropy").alias("entropy"),
@@ -237,7 +243,7 @@ SELECT tier, t AS tasks, round(rho, 6) AS rho, round(5.0/(1 + 4*rho), 6) AS effe
 )
 def effective_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five correlated draws are worth, by tier."""
-    a = S.agreement(samples(spark, sf_dir), 5)
+    a = S.agreement(bind(spark, sf_dir, "samples").withColumnRenamed("cost_nano", "cost"), 5)
     out = S.effective_samples(a, 5, ["tier"])
     return out.select("tier", "tasks", r6("rho").alias("rho"), r6("effective_k").alias("effective_k"))
 
@@ -252,7 +258,7 @@ SELECT a.task_id, a.tier, CASE WHEN v = ref THEN 1 ELSE 0 END AS label FROM a JO
 )
 def consensus_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plurality labels over every tier's draws."""
-    out = K.consensus_labels(samples(spark, sf_dir), TIERS, 5, "majority-vote")
+    out = K.consensus_labels(bind(spark, sf_dir, "samples"), TIERS, 5, "majority-vote")
     return out.select("task_id", "tier", "label")
 
 
@@ -278,7 +284,7 @@ JOIN own ON own.task_id = a.task_id AND own.tier = a.tier WHERE a.sample_index =
 )
 def consensus_penalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out consensus with exclusion, margin weights and a penalty for confident dissent."""
-    out = K.consensus_labels(samples(spark, sf_dir), TIERS, 5, "penalized-v1")
+    out = K.consensus_labels(bind(spark, sf_dir, "samples"), TIERS, 5, "penalized-v1")
     return out.select(
         "task_id", "tier", "label", "excluded", "penalized", r6("weight").alias("weight")
     )
