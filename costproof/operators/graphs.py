@@ -20,36 +20,30 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """All (pipeline, src, dst) pairs with a path, for every pipeline at once.
+def reaching(edges: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``pipeline, step_id`` of every step from which the answering step can be reached, that step included.
 
-    A recursive CTE with set semantics by doubling: paths of length up to 2, 4, 8, ... until no pair is
-    new, so the number of rounds is the logarithm of the longest path.
+    A walk backwards from the outputs, every pipeline at once: each round follows the edges into the steps
+    found last and keeps the new ones, so a step is in one round only and no pair of steps is ever made.
     """
-    paths = cut(edges.select("pipeline", "src", "dst").distinct())
-    known = paths.count()
+    found = cut(outputs.select("pipeline", F.col("output_step").alias("step_id")).distinct())
+    into = edges.select("pipeline", F.col("dst").alias("step_id"), "src").distinct()
+    last = found
     while True:
-        left = paths.select("pipeline", "src", F.col("dst").alias("mid"))
-        right = paths.select("pipeline", F.col("src").alias("mid"), "dst")
-        longer = left.join(right, ["pipeline", "mid"]).select("pipeline", "src", "dst")
-        paths = cut(paths.unionByName(longer).distinct())
-        total = paths.count()
-        if total == known:
-            return paths
-        known = total
+        back = last.join(into, ["pipeline", "step_id"]).select("pipeline", F.col("src").alias("step_id")).distinct()
+        last = cut(back.join(found, ["pipeline", "step_id"], "left_anti"))
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
 
 
 def reaches_output(steps: DataFrame, edges: DataFrame, outputs: DataFrame) -> DataFrame:
     """Every step with whether its output can reach the step the pipeline answers with."""
-    hits = reachable(edges).join(
-        outputs.select("pipeline", F.col("output_step").alias("dst")), ["pipeline", "dst"]
-    ).select("pipeline", F.col("src").alias("step_id"), F.lit(True).alias("_hit"))
+    hits = reaching(edges, outputs).withColumn("_hit", F.lit(True))
     return (
         steps.join(outputs, "pipeline")
-        .join(hits.distinct(), ["pipeline", "step_id"], "left")
-        .withColumn(
-            "reaches", F.coalesce("_hit", F.lit(False)) | (F.col("step_id") == F.col("output_step"))
-        )
+        .join(hits, ["pipeline", "step_id"], "left")
+        .withColumn("reaches", F.coalesce("_hit", F.lit(False)))
         .drop("_hit")
     )
 

@@ -299,18 +299,19 @@ def effective_samples(sizes: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
 
 def entailment_clusters(
-    answers: DataFrame, judgements: DataFrame, keys: list[str] | None = None
+    answers: DataFrame, judgements: DataFrame, keys: list[str] | None = None, carry: list[str] | None = None
 ) -> DataFrame:
     """Cluster the k answers of a task by recorded two-way entailment.
 
     ``answers``: keys, ``sample_index, answer`` (null = unreadable); ``judgements``: keys,
     ``premise, hypothesis, entails`` by sample index (null = unreadable reply). First fit; identical
     strings are free; a null answer is its own cluster; the calls made and unreadable pairs are
-    counted. Arrays are k and k x k long.
+    counted. Arrays are k and k x k long. Both sides are grouped by the same keys, so their join moves
+    nothing more. With ``carry``, ``draws`` holds those columns of ``answers`` too, in draw order.
     """
-    keys = keys or ["task_id", "tier"]
+    keys, carry = keys or ["task_id", "tier"], carry or []
     draws = answers.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("sample_index", "answer"))).alias("draws")
+        F.sort_array(F.collect_list(F.struct("sample_index", "answer", *carry))).alias("draws")
     )
     pairs = judgements.groupBy(*keys).agg(
         F.map_from_entries(
@@ -370,7 +371,7 @@ def entailment_clusters(
             state["groups"],
             lambda g, j: F.struct(
                 g["rep"].alias("rep"),
-                F.when(j + 1 == position, g["size"] + item["size"]).otherwise(g["size"]).alias("size"),
+                F.when(j + 1 == position, g["size"] + 1).otherwise(g["size"]).alias("size"),
             ),
         )
         total = lambda name: F.aggregate(seen, F.lit(0), lambda a, x: a + x[name])
@@ -393,6 +394,7 @@ def entailment_clusters(
         F.sort_array(sizes, asc=False).alias("sizes"),
         stats.discrete_entropy(sizes).alias("entropy"),
         (-best["f"]).alias("answer_index"),
+        *(["draws"] if carry else []),
         F.col("_f.calls").alias("calls"),
         F.col("_f.unreadable").alias("unreadable"),
     )
@@ -535,25 +537,27 @@ def _prepare_self_consistency(samples: DataFrame, k: int) -> DataFrame:
 
 
 def _prepare_semantic(samples: DataFrame, k: int, judgements: DataFrame, judge_cost: Column) -> DataFrame:
-    """Meaning clusters, with the judging calls charged to the task."""
-    drawn = samples.where(F.col("sample_index") < k)
-    answers = drawn.select(
-        "task_id", "tier", "sample_index", grading.extract_answer(F.col("output")).alias("answer")
-    )
-    clusters = entailment_clusters(answers, judgements)
-    arrays = sample_arrays(samples, k)
-    joined = clusters.join(arrays, ["task_id", "tier"])
-    chosen = F.element_at("draws", F.col("answer_index") + 1)
+    """Meaning clusters, with the draws and the judging calls charged to the task."""
+    if k < 2:
+        raise ValueError("agreement needs at least two samples per task")
+    carry = ["output", "cost", *(["correct"] if "correct" in samples.columns else [])]
+    answers = samples.where(F.col("sample_index") < k).select(
+        "task_id", "tier", "sample_index", grading.extract_answer(F.col("output")).alias("answer"), *carry
+    )
+    clusters = entailment_clusters(answers, judgements, carry=carry)
+    complete = F.when(F.size("draws") == k, F.col("draws")).otherwise(
+        F.raise_error(F.concat(F.lit(f"fewer than {k} samples for task "), F.col("task_id").cast("string")))
+    )
+    clusters = clusters.withColumn("draws", complete)
+    chosen = F.element_at(F.filter("draws", lambda d: d["sample_index"] == F.col("answer_index")), 1)
     spent = F.aggregate(
         "draws", F.lit(0).cast("decimal(38,12)"), lambda a, d: (a + d["cost"]).cast("decimal(38,12)")
     )
-    columns = [
+    return clusters.select(
         "task_id", "tier", "sizes", F.col("entropy").alias("sample_entropy"), "answer_index",
-        chosen["output"].alias("output"), (spent + F.col("calls") * judge_cost).alias("cost"),
-    ]
-    if "correct" in samples.columns:
-        columns.append(chosen["correct"].alias("correct"))
-    return joined.select(*columns)
+        "calls", "unreadable", (spent + F.col("calls") * judge_cost).alias("cost"),
+        *[chosen[name].alias(name) for name in carry if name != "cost"],
+    )
 
 
 register_scorer(

@@ -13,7 +13,6 @@ from costproof.operators import consensus as K
 from costproof.operators import sampling as M
 from costproof.operators import scoring as S
 from costproof.plans.registry import query, r6
-from costproof.runtime import spread
 
 SEED = fixed.SEED
 Z = fixed.Z_95
@@ -305,6 +304,57 @@ def consensus_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tier", "kept", r6("agreement").alias("agreement"))
 
 
+JUDGE_COST = 40_000
+
+
+def _look_sql(rep: int, item: int) -> str:
+    """Match, calls and unreadable replies of comparing one answer with one representative."""
+    says = lambda p, h: (
+        f"CASE WHEN (a{p} + a{h} + task_id) % 13 = 0 THEN NULL ELSE a{p} % 7 = a{h} % 7 OR (a{p} % 7 = 3 AND a{h} % 7 = 4) END"
+    )
+    f, b, n = says(rep, item), says(item, rep), f"{rep}{item}"
+    blank = f"(a{rep} IS NULL OR a{item} IS NULL)"
+    return f"""NOT {blank} AND (a{rep} = a{item} OR coalesce(({f}) AND ({b}), FALSE)) AS m{n},
+  CASE WHEN {blank} OR a{rep} = a{item} OR ({f}) IS NULL THEN 0 WHEN NOT ({f}) OR ({b}) IS NULL THEN 1 ELSE 2 END AS c{n},
+  CASE WHEN {blank} OR a{rep} = a{item} THEN 0 WHEN ({f}) IS NULL OR (({f}) AND ({b}) IS NULL) THEN 1 ELSE 0 END AS u{n}"""
+
+
+@query(
+    "meaning_clusters",
+    f"""{ctes('samples')},
+s AS (SELECT task_id, tier, sample_index, cost_nano,
+  CASE WHEN (task_id + sample_index) % 11 <> 0 THEN CAST(regexp_extract(output, '([0-9]+)$', 1) AS BIGINT) END AS v
+  FROM samples WHERE sample_index < 3),
+w AS (SELECT task_id, tier, {', '.join(f'max(CASE WHEN sample_index = {i} THEN v END) AS a{i}' for i in range(3))}, sum(cost_nano) AS spent FROM s GROUP BY 1, 2),
+l AS (SELECT *, {', '.join(_look_sql(*p) for p in ((0, 1), (0, 2), (1, 2)))} FROM w),
+x AS (SELECT *, NOT m02 AND NOT m01 AS third,
+  CASE WHEN m01 THEN CASE WHEN m02 THEN [3] ELSE [2, 1] END
+       WHEN m02 THEN [2, 1] WHEN m12 THEN [1, 2] ELSE [1, 1, 1] END AS g FROM l)
+SELECT task_id, tier, len(g) AS clusters, list_max(g) AS largest, CASE WHEN NOT m01 AND NOT m02 AND m12 THEN 1 ELSE 0 END AS answer_index,
+  round(CASE WHEN len(g) = 1 THEN 0.0 ELSE -list_sum([y/3.0*ln(y/3.0) for y in g])/ln(3.0) END, 6) AS entropy,
+  c01 + c02 + CASE WHEN third THEN c12 ELSE 0 END AS calls, u01 + u02 + CASE WHEN third THEN u12 ELSE 0 END AS unreadable,
+  CAST(spent + {JUDGE_COST}*(c01 + c02 + CASE WHEN third THEN c12 ELSE 0 END) AS BIGINT) AS cost FROM x""",
+)
+def meaning_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three draws a task clustered by recorded two-way judgements, some replies and judgements unreadable."""
+    drawn = bind(spark, sf_dir, "samples").withColumnRenamed("cost_nano", "cost")
+    blank = (F.col("task_id") + F.col("sample_index")) % 11 == 0
+    drawn = drawn.withColumn("output", F.when(blank, "").otherwise(F.col("output")))
+    value = F.regexp_extract("output", "([0-9]+)$", 1).try_cast("bigint")
+    sides = drawn.where("sample_index < 3").select("task_id", "tier", "sample_index", value.alias("v"))
+    draws = sides.groupBy("task_id", "tier").agg(F.collect_list(F.struct("sample_index", "v")).alias("d"))
+    p = draws.select("task_id", "tier", "d", F.inline("d")).withColumnsRenamed({"sample_index": "premise", "v": "p"})
+    p = p.select("task_id", "tier", "premise", "p", F.inline("d")).withColumnsRenamed({"sample_index": "hypothesis", "v": "h"})
+    says = (F.col("p") % 7 == F.col("h") % 7) | ((F.col("p") % 7 == 3) & (F.col("h") % 7 == 4))
+    entails = F.when((F.col("p") + F.col("h") + F.col("task_id")) % 13 != 0, says)
+    judged = p.where("premise <> hypothesis").select("task_id", "tier", "premise", "hypothesis", entails.alias("entails"))
+    out = S.scorer_kind("semantic-entropy-v1").prepare(drawn, 3, judged, F.lit(JUDGE_COST))
+    return out.select(
+        "task_id", "tier", F.size("sizes").cast("bigint").alias("clusters"), F.array_max("sizes").alias("largest"), "answer_index",
+        r6("sample_entropy").alias("entropy"), "calls", "unreadable", F.col("cost").cast("bigint").alias("cost"),
+    )
+
+
 @query("scorer_comparison")
 def scorer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each scorer fitted on calibration, its cascade searched there and evaluated on test."""

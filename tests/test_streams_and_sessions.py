@@ -290,3 +290,26 @@ def test_four_tier_settings_equal_simulation(spark, money):
                     right += ok
                     break
         assert (r["successes"], r["total_cost"], r["scarce_cost"]) == (right, spent, hard)
+
+
+def test_reaching_walks_backwards_once_over_cycles_and_diamonds(spark, monkeypatch):
+    from costproof.operators import graphs as G
+
+    rng = random.Random(1)
+    edges = {("p", a, b) for a in range(25) for b in range(25) if rng.random() < 0.06} | {("q", i, i + 1) for i in range(6)} | {("q", 3, 1)}
+    steps = [("p", i) for i in range(25)] + [("q", i) for i in range(9)] + [("r", 0)]
+    outputs = {"p": 4, "q": 5, "r": 0}
+    text = lambda rows: [(p, *map(str, r)) for p, *r in rows]
+    sizes = []
+    real = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: sizes.append((out := real(df)).count()) or out)
+    got = G.reaches_output(
+        spark.createDataFrame(text(steps), "pipeline string, step_id string"),
+        spark.createDataFrame(text(edges), "pipeline string, src string, dst string"),
+        spark.createDataFrame(text(outputs.items()), "pipeline string, output_step string"),
+    ).collect()
+    want = {(p, o) for p, o in outputs.items()}
+    while more := {(p, a) for p, a, b in edges if (p, b) in want} - want:
+        want |= more
+    assert {(r["pipeline"], int(r["step_id"])) for r in got if r["reaches"]} == want
+    assert len(got) == len(steps) and sum(sizes) == len(want)  # each step is found once
