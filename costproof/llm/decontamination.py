@@ -3,6 +3,10 @@
 Every window of ten consecutive words of a benchmark item (the whole item where it is shorter) goes into a hash
 set that every executor holds. Training texts are scanned window by window; a hit is an equal string, so the
 look-up verifies itself. Only columns of built-in functions are used.
+
+A text is brought to spaced words once and stored so. Each window of the set names its longest pair of words; a text
+that holds none of these pairs can hold no window, and only the others are taken apart into whole windows. Both scans
+make arrays of the size of a text times the words of a run, so a single text must fit an executor ten times over.
 """
 
 from __future__ import annotations
@@ -67,18 +71,47 @@ def _sized(df: DataFrame, column: str) -> DataFrame:
     return broadcast_below(df, F.octet_length(column) + 64, BROADCAST_BYTES)
 
 
-def hits(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``doc_id, h, pos, length, gram``: where windows of ``items`` (of :func:`grams`) occur in ``docs``."""
+def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, h, words, n_words``: every row's key, its spaced words and their number, stored."""
+    rows = docs.select(*_key(doc_id, text), spaced(F.col(text)).alias("words"))
+    gaps = F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit("")))
+    return stored(rows.withColumn("n_words", F.when(F.col("words") == "", 0).otherwise(gaps + 1).cast("long")), "words")
+
+
+def _anchor(gram: Column, length: Column) -> Column:
+    """The longest pair of words of a window; of a single word, the word."""
+    longest = F.array_max(F.transform(windows(gram, 2), lambda w: F.struct(F.octet_length(w).alias("n"), w.alias("w"))))
+    return F.when(length < 2, gram).otherwise(longest["w"])
+
+
+def _suspects(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys of the texts that hold the anchor of some window; every text with a window is among them."""
+    anchors = keys.select(F.least("length", F.lit(2)).alias("run"), _anchor(F.col("gram"), F.col("length")).alias("anchor"))
+    anchors = _sized(stored(anchors.distinct(), "anchors"), "anchor")
+    runs = [r["run"] for r in anchors.select("run").distinct().orderBy("run").collect()]  # one and two at most
+    found = [
+        words.select("doc_id", "h", F.explode(windows(F.col("words"), n)).alias("anchor"))
+        .join(anchors.where(F.col("run") == n), "anchor", "left_semi")
+        .select("doc_id", "h")
+        for n in runs
+    ]
+    return stored(reduce(DataFrame.unionByName, found, words.select("doc_id", "h").limit(0)).distinct(), "suspects")
+
+
+def hits(words: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, h, pos, length, gram``: where windows of ``items`` (of :func:`grams`) occur in :func:`prepared` texts."""
     lengths = [r["length"] for r in items.select("length").distinct().orderBy("length").collect()]
-    keys = _sized(items.select("gram", "length").distinct(), "gram")
+    distinct = items.select("gram", "length").distinct()
+    suspects = broadcast_below(_suspects(words, distinct).toDF("d2", "h2"), F.lit(32))
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
+    texts = words.join(suspects, same, "left_semi")
+    keys = _sized(distinct, "gram")
     found = [
-        docs.select(*_key(doc_id, text), windows(spaced(F.col(text)), n).alias("all"))
+        texts.select("doc_id", "h", windows(F.col("words"), n).alias("all"))
         .select("doc_id", "h", F.posexplode("all").alias("pos", "gram"))
         .join(keys.where(F.col("length") == n), "gram")
         for n in lengths
-    ] or [docs.select(*_key(doc_id, text), F.lit(0).alias("pos"), F.lit("").alias("gram"), F.lit(0).alias("length")).limit(0)]
+    ] or [words.select("doc_id", "h", F.lit(0).alias("pos"), F.lit("").alias("gram"), F.lit(0).alias("length")).limit(0)]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -119,7 +152,8 @@ def report(
     words and no hits, on either side; repeated rows get equal reports; an empty benchmark hits nothing.
     """
     items = stored(grams(benchmark, item_id, item_text, window), "grams")
-    found = stored(hits(docs, items, doc_id, text), "hits")
+    words = prepared(docs, doc_id, text)
+    found = stored(hits(words, items), "hits")
     covered = _spans(found).select("doc_id", "h", _covered(F.col("spans")).alias("n_hit"))
     named = found.select("doc_id", "h", "gram", "length").distinct()
     named = named.join(_sized(items, "gram"), ["gram", "length"])
@@ -127,7 +161,7 @@ def report(
     listed = named.groupBy("doc_id", "h").agg(names.alias("items"))
     judged = covered.join(listed.withColumnsRenamed({"doc_id": "d2", "h": "h2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
     judged = stored(judged.select("doc_id", "h", "n_hit", "items"), "judged")
-    all_docs = docs.select(*_key(doc_id, text), word_count(F.col(text)).alias("n_words"))
+    all_docs = words.select("doc_id", "h", "n_words")
     return all_docs.join(judged, _same(all_docs, judged), "left").select(
         all_docs["doc_id"],
         "n_words",
@@ -141,7 +175,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, names: tuple[str, ...],
     """``docs`` with its key, and the spans of contaminated rows."""
     doc_id, text, item_id, item_text = names
     items = stored(grams(benchmark, item_id, item_text, window), "grams")
-    spans = stored(_spans(hits(docs, items, doc_id, text)), "spans")
+    spans = stored(_spans(hits(prepared(docs, doc_id, text), items)), "spans")
     i, h = unused(docs, "id", "h")
     return docs.select("*", F.col(doc_id).alias(i), F.xxhash64(F.col(text)).alias(h)), spans.toDF(i, h, "spans")
 

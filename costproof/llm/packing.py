@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +23,6 @@ from costproof.llm.tokens import ID_BYTES, vocabulary, word_ids
 from costproof.runtime import broadcast_if_small
 
 CAPACITY = 4096
-PIECES = pa.schema(
-    [
-        ("worker", pa.int32()), ("class", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()),
-        ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()),
-    ]
-)
 BATCH_BYTES = 1 << 22
 
 
@@ -39,13 +34,18 @@ def class_sizes(capacity: int) -> list[int]:
     return sizes
 
 
-def cuts(tokens: int, sizes: list[int]) -> Iterator[tuple[int, int, int]]:
-    """``(class, start, length)`` of a document's pieces, largest first."""
-    at = 0
+def cuts(tokens: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """How many pieces of each class documents of so many tokens are cut into, largest first."""
+    counts = np.zeros((len(tokens), len(sizes)), np.int64)
+    left = tokens.copy()
     for number, size in enumerate(sizes):
-        for _ in range((tokens - at) // size):
-            yield number, at, size
-            at += size
+        counts[:, number], left = left // size, left % size
+    return counts
+
+
+def _lists(table: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(table.reshape(-1)))
 
 
 def pieces(
@@ -56,37 +56,62 @@ def pieces(
     tokenizer: str | None = None,
     end: int = 2,
 ) -> DataFrame:
-    """Every document's ids, ``end`` after them, in pieces; each worker counts its pieces of a class."""
+    """Every document's ids, ``end`` after them, in pieces; each worker counts its pieces of a class.
+
+    A worker sends one row a document, with the number of its pieces of each class, where they start and
+    how many the worker had before; Spark cuts the ids.
+    """
     vocab, sizes = tokenizer or vocabulary(), class_sizes(capacity)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, nth = TaskContext.get().partitionId(), [0] * len(sizes)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker, before = TaskContext.get().partitionId(), np.zeros(len(sizes), np.int64)
         encode = word_ids(vocab).encode
-        rows, held = [], 0
+
+        def rows(keys: list, ids: list[bytes]) -> pa.RecordBatch:
+            nonlocal before
+            tokens = np.array([len(i) // ID_BYTES for i in ids], np.int64)
+            counts = cuts(tokens, sizes)
+            upto = np.cumsum(counts, axis=0)
+            earlier, before = before + upto - counts, before + upto[-1]
+            starts = np.cumsum(counts * np.array(sizes), axis=1) - counts * np.array(sizes)
+            arrays = [
+                pa.array(np.full(len(keys), worker, np.int32)), pa.array(keys, pa.int64()), pa.array(tokens),
+                pa.array(ids, pa.binary()), _lists(counts), _lists(earlier), _lists(starts),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["worker", "doc_id", "doc_tokens", "ids", "counts", "earlier", "starts"])
+
+        keys, held, size = [], [], 0
         for batch in batches:
             for key, whole in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
-                ids = encode(whole, end)
-                total = len(ids) // ID_BYTES
-                for number, start, length in cuts(total, sizes):
-                    part = ids[start * ID_BYTES : (start + length) * ID_BYTES]
-                    rows.append((worker, number, nth[number], key, start, length, total, part))
-                    nth[number] += 1
-                held += len(ids)
-                if held >= BATCH_BYTES:
-                    yield _table(rows)
-                    rows, held = [], 0
-        if rows:
-            yield _table(rows)
-
-    kinds = "worker int, class int, nth long, doc_id long, start long, length long, doc_tokens long, ids binary"
+                keys.append(key)
+                held.append(encode(whole, end))
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield rows(keys, held)
+                    keys, held, size = [], [], 0
+        if keys:
+            yield rows(keys, held)
+
+    kinds = "worker int, doc_id long, doc_tokens long, ids binary, counts array<long>, earlier array<long>, starts array<long>"
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(cut, kinds)
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES
+    whole = source.mapInArrow(encoded, kinds)
+    length = F.array(*[F.lit(size) for size in sizes])
+
+    def of_class(row: Column, number: Column) -> Column:
+        size = F.get(length, number).cast("long")
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), row["counts"] - 1),
+            lambda j: F.struct(
+                number.alias("class"), (row["earlier"] + j).alias("nth"), (row["starts"] + j * size).alias("start"), size.alias("length")
+            ),
+        )
+
+    rows = F.arrays_zip("counts", "earlier", "starts")
+    none = F.array().cast("array<struct<class:int,nth:bigint,start:bigint,length:bigint>>")
+    each = F.flatten(F.transform(rows, lambda row, number: F.when(row["counts"] > 0, of_class(row, number)).otherwise(none)))
+    part = F.substring(F.col("ids"), (F.col("start") * ID_BYTES + 1).cast("int"), (F.col("length") * ID_BYTES).cast("int"))
+    return whole.select("worker", "doc_id", "doc_tokens", "ids", F.inline(each)).select(
+        "worker", "class", "nth", "doc_id", "start", "length", "doc_tokens", part.alias("ids")
     )
 
 
