@@ -96,7 +96,10 @@ def common_prefix_length(left: Column, right: Column) -> Column:
             F.when(done | same, state["high"]).otherwise(middle - 1).alias("high"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), bounds, halve)["low"]
+    steps = F.ceil(F.log2(shortest + 2)).cast("int")
+    bisected = F.aggregate(F.sequence(F.lit(1), steps), bounds, halve)["low"]
+    differ = F.substr(left, F.lit(1), F.lit(1)) != F.substr(right, F.lit(1), F.lit(1))
+    return F.when(differ, F.lit(0)).when(left == right, shortest).otherwise(bisected)
 
 
 def common_prefix(left: Column, right: Column) -> Column:

@@ -1,21 +1,18 @@
 """Waste found in recorded calls: one aggregation per run, one row per finding.
 
-Common text of a run is the common prefix of the smallest and the largest text, so the longest shared
-prefix or suffix of any number of calls is two built-in aggregates and one comparison. By default
-every call of a run is read; ``sample`` may name a filter for the cheaper reading of a few.
+Text that all calls of a run share is measured against the run's first call: each call gives the lengths
+it has in common with it from either end, and the run's are the smallest. Lengths merge in any order, so
+no text of a call is ever moved or kept in an aggregate; only one row of texts per run is sent out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks, pricing, stats, usage
-from costproof.runtime import broadcast_if_small
-
-# Runs whose four texts are broadcast at most.
-RUNS_BROADCAST = 2_000
+from costproof.runtime import broadcast_below, cut
 
 FINDING_COLUMNS = ("rule", "group", "per_1k", "confidence", "evidence")
 
@@ -33,13 +30,9 @@ def rank(findings: DataFrame, keys: list[str] | None = None, top: int | None = N
     scored = findings.withColumn("weighted", weighted(F.col("per_1k"), F.col("confidence")))
     if top is None:
         return scored.orderBy(F.col("weighted").desc(), "rule", *(keys or []))
-    entry = F.struct(
-        (-F.col("weighted")).alias("_o"), "rule", F.struct(*scored.columns).alias("row")
-    )
-    best = scored.groupBy(*(keys or [])).agg(
-        F.slice(F.sort_array(F.collect_list(entry)), 1, top).alias("_top")
-    )
-    return best.select(F.explode("_top").alias("_t")).select("_t.row.*")
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("weighted").desc(), "rule", F.col("evidence"))
+    # A ranked filter: Spark keeps ``top`` rows of a group before it moves any.
+    return scored.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top).drop("_place")
 
 
 def total_projected(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,35 +40,58 @@ def total_projected(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys).agg(F.sum("per_1k").alias("upper_bound_per_1k"))
 
 
-def shared_text(
-    calls: DataFrame, keys: list[str], text: Column, extra: list[Column] | None = None
-) -> DataFrame:
-    """Longest prefix and suffix every text of a group shares."""
-    ends = calls.groupBy(*keys).agg(
-        F.min(text).alias("_lo"),
-        F.max(text).alias("_hi"),
-        F.min(F.reverse(text)).alias("_rlo"),
-        F.max(F.reverse(text)).alias("_rhi"),
-        *(extra or []),
-    )
-    return (
-        ends.withColumn("shared_prefix", blocks.common_prefix(F.col("_lo"), F.col("_hi")))
-        .withColumn(
-            "shared_suffix", F.reverse(blocks.common_prefix(F.col("_rlo"), F.col("_rhi")))
-        )
-        .drop("_lo", "_hi", "_rlo", "_rhi")
-    )
+def first_calls(calls: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of each group's first row by the total ``order`` column, as ``first``."""
+    least = calls.groupBy(*keys).agg(F.min("order").alias("order"))
+    rows = calls.join(least, [*keys, "order"], "left_semi").select(*keys, F.struct(*columns).alias("first"))
+    return cut(rows.dropDuplicates(keys))
+
+
+def beside_first(calls: DataFrame, first: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``calls`` with the texts of their group's first call, broadcast behind a sum of their bytes."""
+    size = sum((F.coalesce(F.octet_length(F.col("first")[c]), F.lit(0)) for c in columns), F.lit(64))
+    return calls.join(broadcast_below(first, size), keys)
+
+
+def common_lengths(text: Column, first: Column) -> list[Column]:
+    """Aggregates: characters that every text of a group shares with its first one, from either end."""
+    return [
+        F.min(blocks.common_prefix_length(text, first)).alias("prefix_chars"),
+        F.min(blocks.common_prefix_length(F.reverse(text), F.reverse(first))).alias("suffix_chars"),
+    ]
+
+
+def shared_text(calls: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Length of the longest prefix and suffix that every text of a group shares; ``order`` names the first."""
+    beside = beside_first(calls, first_calls(calls, keys, [text]), keys, [text])
+    return beside.groupBy(*keys).agg(*common_lengths(F.col(text), F.col("first")[text]))
 
 
 def run_profile(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Everything the run-level rules need, in one pass over real calls.
+    """Everything the run-level rules need, in one aggregation of numbers over real calls.
 
     ``calls``: keys, ``task_id, attempt, error, system_text, user_text, static_prefix, cost``, the
-    token buckets, and a total ``order`` column naming the first call.
+    token buckets, and a total ``order`` column naming the first call. ``repeated_chars`` is the longest
+    text of 400 or more characters that is in every call and outside the first call's prefix: its
+    system or user text, or what all calls begin or end with.
     """
-    text = F.concat_ws("\n", "system_text", "user_text")
+    columns = ["system_text", "user_text", "static_prefix"]
+    firsts = first_calls(calls, keys, columns)
+    beside = beside_first(calls, firsts, keys, columns)
+    whole = lambda s, u: F.concat_ws("\n", s, u)
+    first = F.col("first")
+    texts = beside.withColumn("_text", whole(F.col("system_text"), F.col("user_text"))).withColumn(
+        "_first", whole(first["system_text"], first["user_text"])
+    )
+    text = F.col("_text")
     prefix_key = F.when(F.col("static_prefix") != "", F.sha2("static_prefix", 256))
-    measures = [
+
+    def outside(candidate: Column) -> Column:
+        """Length of a text that counts as repeated, if every call holds it."""
+        counts = (F.length(candidate) >= fixed.REPEATED_BLOCK_CHARS) & ~first["static_prefix"].contains(candidate)
+        return F.when(F.coalesce(counts, F.lit(False)), F.length(candidate)).otherwise(0)
+
+    g = texts.groupBy(*keys).agg(
         F.count("*").alias("calls"),
         F.sum("cost").alias("cost"),
         F.sum("cache_read").alias("cache_reads"),
@@ -87,49 +103,18 @@ def run_profile(calls: DataFrame, keys: list[str]) -> DataFrame:
         F.sum((F.col("attempt") > 1).cast("int")).alias("retries"),
         F.sum(F.when(F.col("attempt") > 1, F.col("cost")).otherwise(0)).alias("retry_cost"),
         F.sum(F.col("error").isNotNull().cast("int")).alias("failures"),
-        F.min_by(F.struct("system_text", "user_text", "static_prefix"), "order").alias("first"),
-    ]
-    return shared_text(calls, keys, text, measures)
-
-
-def repeated_block(calls: DataFrame, profile: DataFrame, keys: list[str]) -> DataFrame:
-    """Length of the longest text of 400 or more characters present in every call of the run and
-    outside its first call's prefix; 0 when there is none.
-
-    Candidates are four texts per run; each call is tested against them by ``contains``.
-    """
-    candidates = profile.select(
-        *keys,
-        F.array(
-            F.col("first.system_text"),
-            F.col("first.user_text"),
-            F.col("shared_prefix"),
-            F.col("shared_suffix"),
-        ).alias("_texts"),
-        F.col("first.static_prefix").alias("_prefix"),
-    )
-    text = F.concat_ws("\n", "system_text", "user_text")
-    tested = calls.join(broadcast_if_small(candidates, RUNS_BROADCAST), keys).select(
-        *keys,
-        "_texts",
-        "_prefix",
-        *[text.contains(F.col("_texts")[i]).alias(f"_in{i}") for i in range(4)],
+        F.min(F.when(text.contains(first["system_text"]), outside(first["system_text"])).otherwise(0)).alias("_system"),
+        F.min(F.when(text.contains(first["user_text"]), outside(first["user_text"])).otherwise(0)).alias("_user"),
+        *common_lengths(text, F.col("_first")),
     )
-    held = tested.groupBy(*keys).agg(
-        F.first("_texts").alias("_texts"),
-        F.first("_prefix").alias("_prefix"),
-        *[F.bool_and(f"_in{i}").alias(f"_all{i}") for i in range(4)],
-    )
-    lengths = [
-        F.when(
-            F.col(f"_all{i}")
-            & (F.length(F.col("_texts")[i]) >= fixed.REPEATED_BLOCK_CHARS)
-            & ~F.col("_prefix").contains(F.col("_texts")[i]),
-            F.length(F.col("_texts")[i]),
-        ).otherwise(0)
-        for i in range(4)
-    ]
-    return held.select(*keys, F.greatest(*lengths).alias("repeated_chars"))
+    opening = whole(first["system_text"], first["user_text"])
+    start = F.left(opening, F.col("prefix_chars"))
+    end = F.when(F.col("suffix_chars") > 0, F.right(opening, F.col("suffix_chars"))).otherwise("")
+    return g.join(firsts, keys).select(
+        *g.columns,
+        (first["static_prefix"] != "").alias("has_prefix"),
+        F.greatest("_system", "_user", outside(start), outside(end)).alias("repeated_chars"),
+    ).drop("_system", "_user")
 
 
 def _finding(rule: str, group: str, fires: Column, amount: Column, confidence: str, evidence: Column) -> Column:
@@ -153,19 +138,16 @@ def workload_findings(
     ``runs``: keys, ``task_count, needed_output_tokens, latency_sensitive, total_cost`` and the price
     columns. ``scale`` turns ``tokens x rate`` into money (1e-6 for dollars per million tokens).
     """
-    profile = run_profile(calls, keys)
-    joined = (
-        profile.join(repeated_block(calls, profile, keys), keys).join(runs, keys)
-    )
+    joined = run_profile(calls, keys).join(runs, keys)
     k = F.lit(float(scale))
     saving = (F.col("input") - F.col("cache_read_rate")).cast("double") * k
     per_task = F.when(F.col("task_count") > 0, F.lit(1000.0) / F.col("task_count")).otherwise(0.0)
     mean_input = F.floor("mean_input")
     shared_tokens = F.floor(
-        mean_input * F.length("shared_prefix") / F.when(F.col("mean_chars") > 0, F.col("mean_chars")).otherwise(1.0)
+        mean_input * F.col("prefix_chars") / F.when(F.col("mean_chars") > 0, F.col("mean_chars")).otherwise(1.0)
     )
     strandable = F.greatest(F.lit(0), mean_input - shared_tokens)
-    has_prefix = F.col("first.static_prefix") != ""
+    has_prefix = F.col("has_prefix")
     moving = has_prefix & (
         F.col("prefixes") > F.greatest(F.lit(1), F.floor(F.col("calls") / 10))
     )
@@ -255,6 +237,6 @@ def scale_to_1k(amount: Column, tasks: Column) -> Column:
 
 
 __all__ = [
-    "FINDING_COLUMNS", "cheaper_tier", "rank", "repeated_block", "run_profile", "scale_to_1k",
+    "FINDING_COLUMNS", "cheaper_tier", "rank", "run_profile", "scale_to_1k",
     "shared_text", "stats", "total_projected", "weighted", "workload_findings",
 ]

@@ -199,7 +199,7 @@ def _staged(table: DataFrame) -> DataFrame:
         ).alias("_before"),
         all_spans(F.col("_front"), fixed.VOLATILE_PHRASE, *fixed.STAMP_PATTERNS).alias("_front_spans"),
         all_spans(F.col("_sys"), fixed.VAGUE_VERBS).alias("_vague"),
-        all_spans(F.col("_templates"), *[p for p, _ in fixed.HARDCODED]).alias("_specifics"),
+        all_spans(F.col("_templates"), *fixed.HARDCODED).alias("_specifics"),
         F.aggregate(
             "_filler", F.lit(0).cast("bigint"), lambda a, s: a + T.approx_tokens(s["text"])
         ).alias("_filler_tokens"),

@@ -135,10 +135,8 @@ def move_breakpoint_to_static_end(df: DataFrame) -> DataFrame:
 def strip_courtesy_text(text: Column) -> Column:
     """A text without filler phrases and the gaps they leave."""
     out = F.regexp_replace(text, rx(fixed.COURTESY), "")
-    out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    out = F.regexp_replace(out, rx(r"\n[ \t]*[.,!]\s*"), "\n")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[-*][ \t]*$", "")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    for pattern, replacement in fixed.COURTESY_GAPS:
+        out = F.regexp_replace(out, rx(pattern), replacement)
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 

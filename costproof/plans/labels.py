@@ -124,7 +124,21 @@ def annotation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("task_id", r6("weight").alias("weight"), r6(rate).alias("rate"))
 
 
-@query("annotation_allocation")
+@query(
+    "annotation_allocation",
+    f"""{ctes('judged').replace('WITH ', 'WITH RECURSIVE ', 1)},
+w AS (SELECT task_id, {WEIGHT_SQL} AS u, {DRAW_SQL} AS draw FROM judged),
+st AS (SELECT least(1.0::DOUBLE, greatest(0.05::DOUBLE, 60/0.5::DOUBLE/count(*))) AS target, avg(u) AS mu, count(*) AS n FROM w),
+lad AS (SELECT target/mu*pow(2.0, i) AS hi, (SELECT avg(least(1.0, greatest(0.05, u*target/mu*pow(2.0, i)))) FROM w) AS m, target FROM st, (SELECT unnest(range(0, 40)) AS i) q),
+b AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, min(hi)::DOUBLE AS hi FROM lad WHERE m >= target
+  UNION ALL
+  SELECT k + 1, CASE WHEN m < target THEN mid ELSE lo END, CASE WHEN m < target THEN hi ELSE mid END FROM (
+    SELECT b.k, b.lo, b.hi, (b.lo + b.hi)/2 AS mid, avg(least(1.0, greatest(0.05, w.u*(b.lo + b.hi)/2))) AS m
+    FROM b, w WHERE b.k < 60 GROUP BY b.k, b.lo, b.hi) z, st),
+r AS (SELECT *, least(1.0, greatest(0.05, u*(SELECT hi FROM b WHERE k = 60))) AS rate FROM w)
+SELECT count(*) AS n, CAST(sum(CASE WHEN draw < rate THEN 1 ELSE 0 END) AS BIGINT) AS n_sampled, round(avg(rate), 6) AS mean_rate,
+  round(min(rate), 6) AS min_rate, round(sum(rate)*0.5, 6) AS expected_cost, count(*)*0.05*0.5 > 60 AS floor_exceeds_budget FROM r""",
+)
 def annotation_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a budget buys: rates, draws, and the expected spend."""
     a = M.allocate(bind(spark, sf_dir, "judged"), budget=60.0, cost_per_item=0.5)

@@ -171,7 +171,12 @@ UNION ALL SELECT model, 'W05', round(total*0.5*1000.0/tasks, 3) FROM g
 UNION ALL SELECT model, 'W06', round(rc*1000.0/tasks, 3) FROM g WHERE retries > 0 OR failures > 0""",
 )
 def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long output, unused batch discount, and retries by run."""
+    """Every rule that the priced calls break; they read their caches, so only ``prefix_findings`` breaks the others."""
+    return run_rules(spark, sf_dir).select("model", "rule", F.round("per_1k", 3).alias("per_1k"))
+
+
+def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over priced calls, by model."""
     calls = S.real_calls(priced(spark, sf_dir)).select(
         "*",
         F.lit("Rules.").alias("system_text"),
@@ -188,25 +193,52 @@ def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cache_write_5m").alias("cache_write_5m_rate"), F.lit(0.5).alias("batch_discount"),
         F.lit(40).alias("needed_output_tokens"), F.lit(False).alias("latency_sensitive"),
     )
-    out = FI.workload_findings(calls, runs.join(F.broadcast(rates), "model"), ["model"])
-    return out.where(F.col("rule").isin("W03", "W05", "W06")).select(
-        "model", "rule", F.round("per_1k", 3).alias("per_1k")
-    )
+    return FI.workload_findings(calls, runs.join(F.broadcast(rates), "model"), ["model"])
+
+
+RULES = "Shared rules. " * 40
 
 
-@query("prefix_findings")
+@query(
+    "prefix_findings",
+    f"""WITH d AS (SELECT doc_id, source, n_chars, coalesce(text, '') AS text, CAST(substr(source, 4) AS INTEGER) % 4 AS kind FROM documents),
+c AS (SELECT source, kind, doc_id, doc_id % 50 = 7 AS again, doc_id % 90 = 4 AS failed, n_chars % 3000 AS fresh,
+  CASE WHEN kind < 2 THEN 500 ELSE 0 END AS written,
+  CASE kind WHEN 2 THEN '{RULES}' ELSE text END AS system_text,
+  CASE kind WHEN 2 THEN text WHEN 3 THEN '{RULES}' ELSE CAST(doc_id AS VARCHAR) || '?' END AS user_text,
+  CASE kind WHEN 0 THEN text WHEN 1 THEN '{RULES}' ELSE '' END AS prefix FROM d),
+t AS (SELECT *, system_text || chr(10) || user_text AS whole FROM c),
+e AS (SELECT source, min(whole) AS a, max(whole) AS b FROM t GROUP BY 1),
+l AS (SELECT source, coalesce((SELECT min(i) FROM (SELECT unnest(range(1, least(length(a), length(b)) + 1)) AS i) q WHERE substr(a, i, 1) <> substr(b, i, 1)) - 1, least(length(a), length(b))) AS lcp FROM e),
+g AS (SELECT source, kind, count(*) AS n, CAST(sum(written) AS BIGINT) AS writes, floor(avg(fresh + written)) AS mi,
+  avg(length(system_text) + length(user_text) + 1) AS chars, count(DISTINCT CASE WHEN prefix <> '' THEN prefix END) AS prefixes,
+  CAST(sum(fresh) AS BIGINT) AS cost, CAST(sum(CASE WHEN again THEN fresh ELSE 0 END) AS BIGINT) AS rc, count(*) FILTER (again) AS retries,
+  count(*) FILTER (failed) AS failures, arg_min(prefix, doc_id) <> '' AS has FROM t GROUP BY 1, 2),
+s AS (SELECT *, greatest(0, mi - floor(mi*lcp/chars)) AS stranded, floor(mi*lcp/chars) AS shared FROM g JOIN l USING (source)),
+w AS (SELECT *, has AND prefixes > greatest(1, n//10) AS moving, has AND prefixes = 1 AND writes > 0 AS unread,
+  stranded > shared AND stranded > 500 AS early FROM s)
+SELECT source AS pipeline, 'W01' AS rule, round(mi*4500*1000, 3) AS per_1k, 'repeated' AS branch FROM w WHERE kind >= 2
+UNION ALL SELECT source, 'W02', round(CASE WHEN moving OR unread THEN writes*6250.0*(1000.0/n) ELSE stranded*4500*1000 END, 3),
+  CASE WHEN moving THEN 'moving' WHEN unread THEN 'unread' ELSE 'early' END FROM w WHERE moving OR unread OR early
+UNION ALL SELECT source, 'W03', round(20*25000.0*1000, 3), 'long' FROM w
+UNION ALL SELECT source, 'W05', round(cost*0.5*(1000.0/n), 3), 'batch' FROM w
+UNION ALL SELECT source, 'W06', round(rc*(1000.0/n), 3), 'retry' FROM w WHERE retries > 0 OR failures > 0""",
+)
 def prefix_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated uncached text and unread prefixes, by source of the documents."""
-    d = bind(spark, sf_dir, "prompts")
-    rules = F.lit("Shared rules. " * 40)
+    """Every run rule over the documents' sources: prefixes that move, are never read, or come too late,
+    and rules repeated in every call in front of or behind the document."""
+    d = bind(spark, sf_dir, "prompts").withColumn("text", F.coalesce("text", F.lit("")))
+    kind, rules = F.substr(F.col("pipeline"), F.lit(4)).cast("int") % 4, F.lit(RULES)
+    asked = F.concat(F.col("request_id").cast("string"), F.lit("?"))
     calls = d.select(
-        "pipeline", F.col("request_id").alias("task_id"), F.lit(1).alias("attempt"),
-        F.lit(None).cast("string").alias("error"),
-        F.when(F.col("pipeline").isin("web", "code"), F.concat(rules, F.col("lang"))).otherwise(F.col("text")).alias("system_text"),
-        F.concat(F.col("request_id").cast("string"), F.lit("?")).alias("user_text"),
-        F.when(F.col("pipeline") == "web", F.col("text")).otherwise(F.lit("")).alias("static_prefix"),
+        "pipeline", F.col("request_id").alias("task_id"),
+        F.when(F.col("request_id") % 50 == 7, 2).otherwise(1).alias("attempt"),
+        F.when(F.col("request_id") % 90 == 4, "failed").alias("error"),
+        F.when(kind == 2, rules).otherwise(F.col("text")).alias("system_text"),
+        F.when(kind == 2, F.col("text")).when(kind == 3, rules).otherwise(asked).alias("user_text"),
+        F.when(kind == 0, F.col("text")).when(kind == 1, rules).otherwise("").alias("static_prefix"),
         (F.col("n_chars") % 3000).alias("input_uncached"),
-        F.when(F.col("pipeline") == "web", 500).otherwise(0).alias("cache_write_5m"),
+        F.when(kind < 2, 500).otherwise(0).alias("cache_write_5m"),
         F.lit(0).alias("cache_write_1h"), F.lit(0).alias("cache_read"),
         F.lit(30).alias("output_visible"), F.lit(0).alias("output_reasoning"),
         (F.col("n_chars") % 3000).alias("cost"), F.col("request_id").alias("order"),
@@ -214,10 +246,32 @@ def prefix_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = calls.groupBy("pipeline").agg(
         F.count("*").alias("task_count"), F.sum("cost").alias("total_cost")
     ).select(
-        "*", *[F.lit(v).alias(k) for k, v in (("input", 5000), ("output", 25000), ("cache_read_rate", 500), ("cache_write_5m_rate", 6250), ("batch_discount", 0.0), ("needed_output_tokens", 40))],
-        F.lit(True).alias("latency_sensitive"),
+        "*", *[F.lit(v).alias(k) for k, v in (("input", 5000), ("output", 25000), ("cache_read_rate", 500), ("cache_write_5m_rate", 6250), ("batch_discount", 0.5), ("needed_output_tokens", 10))],
+        F.lit(False).alias("latency_sensitive"),
+    )
+    said = {"changes": "moving", "never read": "unread", "diverge": "early", "shared": "repeated", "mean output": "long", "no latency": "batch"}
+    branch = F.lit("retry")
+    for words, name in said.items():
+        branch = F.when(F.col("evidence").contains(words), name).otherwise(branch)
+    return FI.workload_findings(calls, runs, ["pipeline"]).select(
+        "pipeline", "rule", F.round("per_1k", 3).alias("per_1k"), branch.alias("branch")
     )
-    return FI.rank(FI.workload_findings(calls, runs, ["pipeline"]))
+
+
+@query(
+    "top_findings",
+    f"""{PRICED_SQL},
+g AS (SELECT model, CAST(count(DISTINCT task_id) AS BIGINT) AS tasks, avg(output_visible) AS mo, CAST(sum(cost) AS BIGINT) AS total,
+  count(*) FILTER (attempt > 1) AS retries, count(*) FILTER (failed) AS failures, CAST(sum(CASE WHEN attempt > 1 THEN cost ELSE 0 END) AS BIGINT) AS rc FROM priced WHERE NOT prewarm GROUP BY 1),
+f AS (SELECT g.model, 'W03' AS rule, round_even(mo - 40, 0)*p.output*1000 AS per_1k, 1.0 AS w FROM g JOIN prices p USING (model) WHERE mo > 80
+UNION ALL SELECT model, 'W05', total*0.5*1000.0/tasks, 0.7 FROM g
+UNION ALL SELECT model, 'W06', rc*1000.0/tasks, 1.0 FROM g WHERE retries > 0 OR failures > 0)
+SELECT model, rule, round(per_1k*w, 3) AS weighted FROM f QUALIFY row_number() OVER (PARTITION BY model ORDER BY per_1k*w DESC, rule) <= 2""",
+)
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two findings of each run that weigh most."""
+    out = FI.rank(run_rules(spark, sf_dir), ["model"], top=2)
+    return out.select("model", "rule", F.round("weighted", 3).alias("weighted"))
 
 
 @query(
@@ -229,13 +283,10 @@ SELECT g, (SELECT max(i) FROM (SELECT unnest(range(0, least(length(a), length(b)
 )
 def shared_run_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest prefix and suffix every text of a group shares."""
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("g"), "doc_id", "text")
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("g"), F.col("doc_id").alias("order"), "text")
     t = F.concat(F.lit("Rules for group "), F.col("g").cast("string"), F.lit(": "), F.col("text"))
-    out = FI.shared_text(d, ["g"], t)
-    return out.select(
-        "g", F.length("shared_prefix").cast("bigint").alias("prefix_chars"),
-        F.length("shared_suffix").cast("bigint").alias("suffix_chars"),
-    )
+    out = FI.shared_text(d.withColumn("text", t), ["g"], "text")
+    return out.select("g", *[F.col(c).cast("bigint").alias(c) for c in ("prefix_chars", "suffix_chars")])
 
 
 @query(
@@ -336,10 +387,63 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reaches_output(steps, edges, outputs).select("pipeline", "step_id", "reaches")
 
 
-@query("graph_waste")
+# Steps of the dense graphs: id, kind and tool.
+DENSE = (
+    ("s1", "tool", "lookup"), ("s2", "generate", ""), ("s3", "verify", ""), ("s4", "retry", ""), ("s5", "verify", ""),
+    ("s6", "tool", "lookup"), ("s7", "generate", ""),
+)
+DENSE_EDGES = (("s1", "s2"), ("s1", "s4"), ("s2", "s3"), ("s2", "s4"), ("s4", "s5"), ("s4", "s6"), ("s6", "s7"), ("s2", "s7"))
+NOTE = "kept for the whole of the graph " * 7
+
+
+def dense_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One graph of seven steps per order priority, every order traced through all of it.
+
+    The first step's long note is sent to three steps; both look-ups ask the same; the retry returns the
+    draft except on every nineteenth order; one verifier leads nowhere; the last step carries what it reads.
+    """
+    o = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderpriority").alias("pipeline"), F.col("o_orderkey").alias("task_id"))
+    names = o.select("pipeline").distinct()
+    named = lambda **parts: F.struct(*[F.lit(v).alias(c) for c, v in parts.items()])
+    steps = names.select("pipeline", F.inline(F.array(*[
+        named(step_id=s, position=i + 1, kind=kind, tool=tool, called=kind != "tool") for i, (s, kind, tool) in enumerate(DENSE)
+    ])))
+    edges = names.select("pipeline", F.inline(F.array(*[named(src=a, dst=b) for a, b in DENSE_EDGES])))
+    outputs = names.withColumn("output_step", F.lit("s7"))
+    k = F.col("task_id").cast("string")
+    note = F.concat(F.lit("Note "), k, F.lit(f": {NOTE}end"))
+    draft = F.concat(F.lit("draft "), k)
+    text = {"s1": note, "s2": draft, "s3": F.lit("fine"), "s4": F.when(F.col("task_id") % 19 == 0, F.concat(F.lit("new "), k)).otherwise(draft),
+            "s5": F.lit("fine too"), "s6": F.concat(F.lit("fact "), k), "s7": F.concat(F.lit("done "), k)}
+    asked = {"s2": note, "s3": draft, "s4": F.concat(note, F.lit(" again "), draft), "s5": F.lit("check"), "s7": F.concat(note, F.lit(" and "), F.concat(F.lit("fact "), k))}
+    nothing = F.lit(None).cast("string")
+    made = F.inline(F.array(*[
+        F.struct(F.lit(s).alias("step_id"), (F.concat(F.lit("order "), k) if kind == "tool" else nothing).alias("arguments"),
+                 text[s].alias("output"), (F.concat(F.lit("Given "), asked[s]) if s in asked else nothing).alias("request_text"))
+        for s, kind, _ in DENSE
+    ]))
+    return steps, edges, outputs, o.select("pipeline", "task_id", made)
+
+
+GRAPH_SQL = f"""WITH o AS (SELECT o_orderpriority AS p, o_orderkey AS task, CAST(o_orderkey AS VARCHAR) AS k FROM orders),
+l AS (SELECT *, length(k) AS n, 7 + length(k) + {len(NOTE) + 3} AS note, 6 + length(k) AS draft, 5 + length(k) AS fact FROM o),
+g AS (SELECT p, count(*) AS tasks, sum(note + 6) AS c2, sum(draft + 6) AS c3, sum(note + 7 + draft + 6) AS c4, sum(11) AS c5, sum(note + 5 + fact + 6) AS c7,
+  arg_min(note, task) AS first_note, arg_min(fact, task) AS first_fact, sum(CASE WHEN task % 19 = 0 THEN 0 ELSE 1 END) AS same FROM l GROUP BY p)"""
+
+
+@query(
+    "graph_waste",
+    f"""{GRAPH_SQL}
+SELECT p AS pipeline, 'G01' AS rule, 's1' AS step_id, round(CAST(first_note AS DOUBLE)*(3*5000.0 - 5000.0)*1000, 3) AS per_1k, 'measured' AS confidence FROM g WHERE first_note >= {fixed.SHARED_BLOCK_MIN_CHARS}
+UNION ALL SELECT p, 'G02', 's6', 0.0, 'measured' FROM g
+UNION ALL SELECT p, 'G03', 's3', round((c3*5000.0 + tasks*20*25000.0)*1000/tasks, 3), 'measured' FROM g
+UNION ALL SELECT p, 'G03', 's5', round((c5*5000.0 + tasks*20*25000.0)*1000/tasks, 3), 'measured' FROM g
+UNION ALL SELECT p, 'G04', 's4', round((c4*5000.0 + tasks*20*25000.0)*(CAST(same AS DOUBLE)/tasks)*1000/tasks, 3), 'measured' FROM g WHERE same >= {fixed.PREVALENCE}*tasks
+UNION ALL SELECT p, 'G05', 's7', round(CAST(first_fact AS DOUBLE)*5000*1000, 3), 'projected' FROM g""",
+)
 def graph_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every graph rule over every step graph."""
-    steps, edges, outputs, traces = graph_tables(spark, sf_dir)
+    steps, edges, outputs, traces = dense_graphs(spark, sf_dir)
     calls = traces.where(F.col("request_text").isNotNull()).select(
         "pipeline", "step_id", "request_text", F.lit("frontier").alias("model"),
         F.length("request_text").cast("bigint").alias("input_uncached"),
@@ -347,7 +451,8 @@ def graph_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(20).cast("bigint").alias("output_visible"),
         *[F.lit(v).cast("bigint").alias(f"p_{k}") for k, v in (("input", 5000), ("output", 25000), ("cache_write_5m", 6250), ("cache_write_1h", 10000), ("cache_read", 500))],
     )
-    return G.graph_findings(steps, edges, outputs, traces, G.step_stats(calls))
+    out = G.graph_findings(steps, edges, outputs, traces, G.step_stats(calls))
+    return out.select("pipeline", "rule", "step_id", F.round("per_1k", 3).alias("per_1k"), "confidence")
 
 
 # --------------------------------------------------------------------------- sources

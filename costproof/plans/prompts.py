@@ -88,7 +88,7 @@ def prompt_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_lint")
 def prompt_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single-request rule over every request, ranked by weighted dollars."""
-    return FI.rank(L.lint(requests(spark, sf_dir))).drop("spans")
+    return FI.rank(L.lint(requests(spark, sf_dir)), ["request_id"]).drop("spans")
 
 
 @query(
@@ -129,6 +129,92 @@ def prompt_wording_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "rule", "per_1k")
 
 
+JOBS = "Summarize the text.\nClassify it.\nExtract every name.\n" + "keep going with care " * 130
+ASK = ". Thank you, perhaps. See https://example.org/notes or write to desk@example.org about the whole of it."
+VOLATILE = [fixed.VOLATILE_PHRASE, *fixed.STAMP_PATTERNS]
+
+
+def rich_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests of five blocks, in which every rule of a single request finds something."""
+    d = spread(bind(spark, sf_dir, "prompts")).withColumn("text", F.coalesce("text", F.lit("")))
+    k = F.col("request_id")
+    header = F.when(k % 2 == 0, F.concat(F.lit("Notes of 2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))
+    examples = F.concat(F.lit("Example 1: "), "text", F.lit("\nExample 2: "), "text")
+    return d.select(
+        "request_id",
+        F.array(
+            B.block(F.coalesce(header, F.lit("You are a clerk. Be concise.")), F.when(k % 4 == 0, "5m")),
+            B.block(F.when(k % 6 == 1, F.lit(JOBS)).otherwise(F.lit("Task: answer."))),
+            B.block(F.col("text"), F.when(k % 3 == 0, "5m")),
+        ).alias("system"),
+        F.array(
+            B.block(F.concat(F.lit("Please answer question "), k.cast("string"), F.when(k % 7 == 2, " at length").otherwise(""), F.lit(ASK * 2))),
+            B.block(F.when(k % 5 == 0, examples).otherwise(F.lit("Input: none"))),
+        ).alias("user"),
+        F.when(k % 10 == 0, F.lit('[{"name": "lookup"}]')).alias("tools"),
+        F.lit(1024).alias("max_tokens"),
+        F.when(k % 5 == 0, F.lit(300.0)).alias("observed_output_tokens"),
+        F.when(k % 5 == 0, F.lit(40)).alias("needed_output_tokens"),
+        *[F.lit(v).cast("bigint").alias(f"p_{name}") for name, v in RATES.items()],
+    )
+
+
+def any_sql(text: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, {quoted(p)})" for p in patterns) + ")"
+
+
+RICH_SQL = f"""{ctes('prompts')},
+q AS (SELECT request_id AS k, coalesce(text, '') AS b2,
+  CASE WHEN request_id % 2 = 0 THEN 'Notes of 2024-01-' || lpad(CAST(request_id % 28 + 1 AS VARCHAR), 2, '0') ELSE 'You are a clerk. Be concise.' END AS b0,
+  CASE WHEN request_id % 6 = 1 THEN {quoted(JOBS)} ELSE 'Task: answer.' END AS b1,
+  'Please answer question ' || CAST(request_id AS VARCHAR) || CASE WHEN request_id % 7 = 2 THEN ' at length' ELSE '' END || {quoted(ASK * 2)} AS b3,
+  CASE WHEN request_id % 5 = 0 THEN 'Example 1: ' || coalesce(text, '') || chr(10) || 'Example 2: ' || coalesce(text, '') ELSE 'Input: none' END AS b4 FROM prompts),
+n AS (SELECT *, b0 || chr(10) || chr(10) || b1 || chr(10) || chr(10) || b2 AS sys,
+  b0 || chr(10) || chr(10) || b1 || chr(10) || chr(10) || b2 || chr(10) || chr(10) || b3 || chr(10) || chr(10) || b4 AS whole FROM q),
+x AS (SELECT *, CASE WHEN k % 3 = 0 THEN sys WHEN k % 4 = 0 THEN b0 ELSE '' END AS prefix FROM n),
+blk AS ({' UNION ALL '.join(f"SELECT k, {i} AS i, b{i} AS s, {'k % 4 = 0' if i == 0 else 'k % 3 = 0' if i == 2 else 'FALSE'} AS cached, prefix FROM x" for i in range(5))}),
+{tokens_sql('blk', 'k, i', 's', 'bt')},
+tb AS (SELECT k, coalesce(max(tokens) FILTER (i = 2), 0) AS t2 FROM bt GROUP BY k),
+other AS (SELECT k, 10 AS i, prefix AS s FROM x UNION ALL SELECT k, 11, sys FROM x UNION ALL SELECT k, 12, '[{{"name": "lookup"}}]' FROM x WHERE k % 10 = 0
+  UNION ALL SELECT k, 13, CASE WHEN coalesce(t2, 0) <= 1000 THEN sys ELSE b0 || chr(10) || chr(10) || b1 END FROM x LEFT JOIN tb USING (k)),
+filler AS (SELECT k, 100 + row_number() OVER (PARTITION BY k) AS i, s FROM (SELECT k, unnest(regexp_extract_all(s, {quoted(fixed.COURTESY)})) AS s FROM blk) f),
+{tokens_sql('other', 'k, i', 's', 'ot')}, {tokens_sql('filler', 'k, i', 's', 'ft')},
+b AS (SELECT blk.*, coalesce(tokens, 0) AS t, {any_sql('s', VOLATILE[:1])} OR (coalesce(tokens, 0) <= 120 AND {any_sql('s', VOLATILE[1:])}) AS vol FROM blk LEFT JOIN bt USING (k, i)),
+g AS (SELECT k, coalesce(max(tokens) FILTER (i = 10), 0) AS pt, coalesce(max(tokens) FILTER (i = 11), 0) + coalesce(max(tokens) FILTER (i = 12), 0) AS oh,
+  coalesce(max(tokens) FILTER (i = 13), 0) AS it FROM ot GROUP BY k),
+a AS (SELECT x.*, coalesce(pt, 0) AS pt, coalesce(oh, 0) AS oh, coalesce(it, 0) AS it FROM x LEFT JOIN g USING (k)),
+m AS (SELECT k, arg_max(t, length(s)*10 - i) AS lt, coalesce(min(i) FILTER (t > 500), 99) AS stable FROM b GROUP BY k),
+job AS (SELECT k, count(DISTINCT lower(trim(j))) AS n FROM (SELECT k, unnest(regexp_extract_all(
+  array_to_string([y FOR y IN [CASE WHEN t0 <= 1000 THEN b0 END, CASE WHEN t1 <= 1000 THEN b1 END, CASE WHEN t2 <= 1000 THEN b2 END] IF y IS NOT NULL], chr(10) || chr(10)),
+  {quoted(fixed.IMPERATIVE_CLAUSE)}, 1)) AS j FROM x JOIN (SELECT k, max(t) FILTER (i = 0) AS t0, max(t) FILTER (i = 1) AS t1, max(t) FILTER (i = 2) AS t2 FROM b GROUP BY k) USING (k)) GROUP BY k)"""
+
+
+@query(
+    "prompt_rules",
+    f"""{RICH_SQL}
+SELECT k AS request_id, 'PL01' AS rule, CAST(CASE WHEN pt > 0 THEN pt ELSE lt END*4500000 AS DOUBLE) AS per_1k FROM a JOIN m USING (k)
+  WHERE EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.vol AND (b.prefix = '' OR contains(b.prefix, b.s)))
+UNION ALL SELECT m.k, 'PL02', CAST(lt*4500000 AS DOUBLE) FROM m WHERE stable BETWEEN 1 AND 98 AND EXISTS (SELECT 1 FROM b WHERE b.k = m.k AND b.i < stable AND (b.vol OR b.t < 60))
+UNION ALL SELECT k, 'PL03', CAST(pt*4500000 AS DOUBLE) FROM a WHERE prefix <> '' AND pt < 1024
+UNION ALL SELECT k, 'PL04', CAST(t*4500000 AS DOUBLE) FROM b WHERE cached AND vol
+UNION ALL SELECT k, 'PL05', CAST(oh*4500000 AS DOUBLE) FROM a WHERE prefix = '' AND oh > 400
+UNION ALL SELECT k, 'PL06', CASE WHEN k % 5 = 0 THEN 260.0 ELSE 256.0 END*25000000.0::DOUBLE FROM a
+  WHERE NOT (regexp_matches(whole, {quoted(fixed.OUTPUT_CONTRACT_PATTERN)}) AND regexp_matches(whole, {quoted(fixed.LENGTH_CAP)}))
+UNION ALL SELECT k, 'PL08', CAST(sum(tokens)*CASE WHEN max(prefix) <> '' THEN 500 ELSE 5000 END*1000 AS DOUBLE) FROM ft JOIN a USING (k) GROUP BY k
+UNION ALL SELECT k, 'PL09', CAST(round_even(sum(t)*0.4::DOUBLE, 0)*5000000 AS DOUBLE) FROM b WHERE t > 150 AND len(regexp_extract_all(s, {quoted(fixed.EXAMPLE_MARKER)})) >= 2 GROUP BY k
+UNION ALL SELECT k, 'PL10', 0.0 FROM a WHERE NOT (regexp_matches(sys, {quoted(fixed.ROLE)}) AND regexp_matches(sys, {quoted(fixed.TASK_LINE)}) AND regexp_matches(sys, {quoted(fixed.SUCCESS)}))
+    OR regexp_matches(sys, {quoted(fixed.VAGUE_VERBS)})
+UNION ALL SELECT k, 'PL11', 0.0 FROM a WHERE {' OR '.join(f"(regexp_matches(whole, {quoted(c[0])}) AND regexp_matches(whole, {quoted(c[1])}))" for c in fixed.CONFLICT_PAIRS)}
+UNION ALL SELECT DISTINCT k, 'PL12', 0.0 FROM b WHERE t >= 250 AND NOT contains(s, '|') AND NOT regexp_matches(s, {quoted(fixed.STRUCTURE)})
+UNION ALL SELECT DISTINCT k, 'PL13', 0.0 FROM b WHERE t BETWEEN 40 AND 1000 AND {any_sql('s', list(fixed.HARDCODED))}
+UNION ALL SELECT k, 'PL14', 0.0 FROM a JOIN job USING (k) WHERE it > 500 AND n >= 3""",
+)
+def prompt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of every rule but the duplicate lines, which have their own query."""
+    out = L.lint(rich_requests(spark, sf_dir)).where("rule <> 'PL07'")
+    return out.select("request_id", "rule", "per_1k")
+
+
 DUP_SQL = r"""
 lines0 AS (SELECT request_id, unnest(list_zip(range(0, len(l)), l)) AS e FROM (
   SELECT request_id, list_concat(regexp_split_to_array(b0, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]'),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # A side is broadcast only when it is known to be at most this many rows.
 BROADCAST_ROWS = 50_000
@@ -65,6 +65,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+# A side is broadcast only when its rows are known to take at most this many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_below(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a sum of the rows' sizes in bytes; beyond it the join stays a shuffle join.
+
+    Reads ``df`` once more, so give it a table that is cheap to read, such as one that was cut.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a few large input splits over all cores, for per-row text work.
 
