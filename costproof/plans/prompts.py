@@ -189,10 +189,7 @@ job AS (SELECT k, count(DISTINCT lower(trim(j))) AS n FROM (SELECT k, unnest(reg
   {quoted(fixed.IMPERATIVE_CLAUSE)}, 1)) AS j FROM x JOIN (SELECT k, max(t) FILTER (i = 0) AS t0, max(t) FILTER (i = 1) AS t1, max(t) FILTER (i = 2) AS t2 FROM b GROUP BY k) USING (k)) GROUP BY k)"""
 
 
-@query(
-    "prompt_rules",
-    f"""{RICH_SQL}
-SELECT k AS request_id, 'PL01' AS rule, CAST(CASE WHEN pt > 0 THEN pt ELSE lt END*4500000 AS DOUBLE) AS per_1k FROM a JOIN m USING (k)
+RULE_ROWS = f"""SELECT k AS request_id, 'PL01' AS rule, CAST(CASE WHEN pt > 0 THEN pt ELSE lt END*4500000 AS DOUBLE) AS per_1k FROM a JOIN m USING (k)
   WHERE EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.vol AND (b.prefix = '' OR contains(b.prefix, b.s)))
 UNION ALL SELECT m.k, 'PL02', CAST(lt*4500000 AS DOUBLE) FROM m WHERE stable BETWEEN 1 AND 98 AND EXISTS (SELECT 1 FROM b WHERE b.k = m.k AND b.i < stable AND (b.vol OR b.t < 60))
 UNION ALL SELECT k, 'PL03', CAST(pt*4500000 AS DOUBLE) FROM a WHERE prefix <> '' AND pt < 1024
@@ -207,8 +204,10 @@ UNION ALL SELECT k, 'PL10', 0.0 FROM a WHERE NOT (regexp_matches(sys, {quoted(fi
 UNION ALL SELECT k, 'PL11', 0.0 FROM a WHERE {' OR '.join(f"(regexp_matches(whole, {quoted(c[0])}) AND regexp_matches(whole, {quoted(c[1])}))" for c in fixed.CONFLICT_PAIRS)}
 UNION ALL SELECT DISTINCT k, 'PL12', 0.0 FROM b WHERE t >= 250 AND NOT contains(s, '|') AND NOT regexp_matches(s, {quoted(fixed.STRUCTURE)})
 UNION ALL SELECT DISTINCT k, 'PL13', 0.0 FROM b WHERE t BETWEEN 40 AND 1000 AND {any_sql('s', list(fixed.HARDCODED))}
-UNION ALL SELECT k, 'PL14', 0.0 FROM a JOIN job USING (k) WHERE it > 500 AND n >= 3""",
-)
+UNION ALL SELECT k, 'PL14', 0.0 FROM a JOIN job USING (k) WHERE it > 500 AND n >= 3"""
+
+
+@query("prompt_rules", RICH_SQL + "\n" + RULE_ROWS)
 def prompt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every rule but the duplicate lines, which have their own query."""
     out = L.lint(rich_requests(spark, sf_dir)).where("rule <> 'PL07'")
@@ -240,9 +239,22 @@ def prompt_duplicate_instructions(spark: SparkSession, sf_dir: str) -> DataFrame
     return L.duplicate_instructions(requests(spark, sf_dir))
 
 
-@query("prompt_clear_scores")
+def _letter_sql(letter: str) -> str:
+    rules = ", ".join(f"'{r}'" for r, x in fixed.RULE_LETTER.items() if x == letter)
+    fired = f"count(*) FILTER (rule IN ({rules}))"
+    return f"CAST(CASE WHEN {fired} = 0 THEN 5 ELSE greatest(1, 4 - {fired}) END AS INTEGER) AS {letter}"
+
+
+@query(
+    "prompt_clear_scores",
+    f"""{RICH_SQL},
+r AS (SELECT k AS request_id, b0 || chr(10) || b1 AS b0, b2 AS b1, b3 || chr(10) || b4 AS b2 FROM x), {DUP_SQL},
+found AS ({RULE_ROWS} UNION ALL SELECT DISTINCT request_id, 'PL07', 0.0 FROM dup UNION ALL SELECT k, NULL, 0.0 FROM x)
+SELECT request_id, {', '.join(_letter_sql(letter) for letter in fixed.CLEAR_LETTERS)} FROM found GROUP BY request_id""",
+)
 def prompt_clear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = requests(spark, sf_dir)
+    """A score from one to five per letter for every request, from all rules."""
+    asked = rich_requests(spark, sf_dir)
     return L.clear_scores(L.lint(asked), requests=asked)
 
 
