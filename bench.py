@@ -31,6 +31,12 @@ HEADLINE = (
     "workload_fingerprint",
     "split_assignment",
     "sample_agreement",
+    "threshold_settings_four_tiers",
+    "certificate_looks",
+    "annotation_rates",
+    "prefix_findings",
+    "graph_waste",
+    "prompt_rules",
 )
 
 
