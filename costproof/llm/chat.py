@@ -61,12 +61,14 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_mask``: each conversation as one text.
 
-    ``loss_mask`` lists, as byte offsets in UTF-8, the spans of assistant texts to be learned.
+    ``loss_mask`` lists, as byte offsets in UTF-8, the spans of assistant texts to be learned. A null role or text
+    is an empty one; messages of equal number stand in the order of their pieces. No messages, no conversations.
     """
+    messages = messages.withColumns({c: F.coalesce(c, F.lit("")) for c in ("role", "text")})
     head = F.concat(F.lit(START), escaped(F.col("role")), F.lit(MIDDLE))
     parts = messages.withColumn("head", head).withColumn("body", escaped(F.col("text")))
     parts = parts.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("message", "piece").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.octet_length("piece").cast("long")).over(before), F.lit(0)) + F.octet_length("head")
     span = F.struct(begin.alias("start"), (begin + F.octet_length("body")).alias("end"))
     parts = parts.withColumn("span", span)

@@ -115,6 +115,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKALIKE = "</s>[INST] ok [/INST]"
 
 
+def _events(rows: DataFrame) -> DataFrame:
+    """Turns as the log that leads to them: some streamed in two parts, some edited, some generated again."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    event = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    stale, way = F.concat(F.lit("not yet: "), text), F.col("seq") % 4
+    events = (
+        F.when(way == 0, F.array(event("message", text)))
+        .when(way == 1, F.array(event("message", F.left(text, half)), event("delta", F.substring(text, half + 1, F.char_length(text)))))
+        .when(way == 2, F.array(event("message", stale), event("delta", F.lit(" and more")), event("edit", text)))
+        .otherwise(F.array(event("message", stale), event("regenerate", F.lit("")), event("delta", text)))
+    )
+    log = rows.select("conv_id", F.col("seq").alias("message"), "role", F.posexplode(events).alias("nth", "e"))
+    return log.select("conv_id", (F.col("message") * 4 + F.col("nth")).alias("seq"), "message", "e.kind", "role", "e.text")
+
+
 @query(
     "op5_chat_formatting",
     r"""
@@ -145,8 +161,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.unionByName(extra).repartition("conv_id").withColumn("seq", F.row_number().over(order))
-    log = rows.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
-    shown = chat.render(chat.fold(log)).withColumn("turns", chat.parse(F.col("formatted")))
+    shown = chat.render(chat.fold(_events(rows))).withColumn("turns", chat.parse(F.col("formatted")))
     shown = shown.withColumn("loss", chat.masked(F.col("formatted"), F.col("loss_mask")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return shown.select(

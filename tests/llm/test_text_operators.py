@@ -56,6 +56,11 @@ def test_logs_fold_into_final_messages(spark):
         (1, 1): ("user", "hey"), (1, 2): ("assistant", "good day"), (1, 3): ("user", "new"), (None, 1): ("", "")
     }
     assert chat.render(chat.fold(spark.createDataFrame([], LOG))).count() == 0
+    holes = [(1, 1, None, "a"), (1, 2, "user", None), (1, 3, "assistant", None), (2, 1, "assistant", "b")]
+    shown = chat.render(spark.createDataFrame(holes, "conv_id long, message long, role string, text string"))
+    turns = shown.withColumn("turns", chat.parse(F.col("formatted"))).orderBy("conv_id").collect()
+    assert [[(t["role"], t["text"]) for t in r["turns"]] for r in turns] == [[("", "a"), ("user", ""), ("assistant", "")], [("assistant", "b")]]
+    assert [len(r["loss_mask"]) for r in turns] == [1, 1]
 
 
 TRICKY = [
