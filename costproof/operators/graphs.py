@@ -92,7 +92,8 @@ def carried(traces: DataFrame) -> DataFrame:
     """Per (pipeline, source step, carrying step): tasks whose request contains the source's output.
 
     An equality join on the task, then a containment test; a task has as many rows as its graph has
-    steps.
+    steps. Joins of traces with themselves are sort-merge joins by hint: traces that are made by a
+    generator look as small as its input, and a side chosen by that size would pass through the driver.
     """
     source = traces.where(F.col("output") != "").select(
         "pipeline", "task_id", F.col("step_id").alias("source"), "output"
@@ -100,7 +101,7 @@ def carried(traces: DataFrame) -> DataFrame:
     target = traces.where(F.col("request_text").isNotNull()).select(
         "pipeline", "task_id", F.col("step_id").alias("carrier"), F.col("request_text").alias("_r")
     )
-    hit = source.join(target, ["pipeline", "task_id"]).where(
+    hit = source.join(target.hint("merge"), ["pipeline", "task_id"]).where(
         (F.col("source") != F.col("carrier")) & F.col("_r").contains(F.col("output"))
     )
     return hit.groupBy("pipeline", "source", "carrier").agg(
@@ -117,9 +118,12 @@ def _rows(df: DataFrame, rule: str, step: Column, amount: Column, confidence: st
     )
 
 
-def shared_context(traces: DataFrame, stats: DataFrame) -> DataFrame:
-    """The same long output sent to two or more steps: all copies but the cheapest are waste."""
-    held = carried(traces).join(_tasks(traces), "pipeline").where(
+def shared_context(traces: DataFrame, stats: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The same long output sent to two or more steps: all copies but the cheapest are waste.
+
+    ``held`` is ``carried(traces)`` where the caller has it already.
+    """
+    held = (carried(traces) if held is None else held).join(_tasks(traces), "pipeline").where(
         (F.col("tasks_carrying") >= fixed.PREVALENCE * F.col("tasks"))
         & (F.col("first_squashed") >= fixed.SHARED_BLOCK_MIN_CHARS)
     )
@@ -150,7 +154,7 @@ def duplicate_tool_calls(traces: DataFrame, steps: DataFrame) -> DataFrame:
     )
     a = rows.select("pipeline", "task_id", "_tool", "_args", F.col("step_id").alias("first"), F.col("position").alias("_p"))
     b = rows.select("pipeline", "task_id", "_tool", "_args", F.col("step_id").alias("second"), F.col("position").alias("_q"))
-    same = a.join(b, ["pipeline", "task_id", "_tool", "_args"]).where("_p < _q")
+    same = a.join(b.hint("merge"), ["pipeline", "task_id", "_tool", "_args"]).where("_p < _q")
     g = same.groupBy("pipeline", "first", "second").agg(F.count("*").alias("_n")).join(
         _tasks(traces), "pipeline"
     ).where(F.col("_n") >= fixed.PREVALENCE * F.col("tasks"))
@@ -164,7 +168,7 @@ def identical_to_prior(traces: DataFrame, steps: DataFrame, edges: DataFrame) ->
     out = traces.select("pipeline", "task_id", "step_id", F.md5(squash(F.col("output"))).alias("_o"))
     after = out.withColumnRenamed("step_id", "dst").join(broadcast_if_small(links), ["pipeline", "dst"])
     before = out.select("pipeline", "task_id", F.col("step_id").alias("src"), F.col("_o").alias("_b"))
-    joined = after.join(before, ["pipeline", "task_id", "src"])
+    joined = after.join(before.hint("merge"), ["pipeline", "task_id", "src"])
     return (
         joined.groupBy("pipeline", "dst", "src")
         .agg(F.sum((F.col("_o") == F.col("_b")).cast("int")).alias("same"))
@@ -209,7 +213,9 @@ def idle_verifiers(
     return _rows(priced, "G03", F.col("step_id"), cost, "measured")
 
 
-def compressible_input(traces: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
+def compressible_input(
+    traces: DataFrame, edges: DataFrame, stats: DataFrame, held: DataFrame | None = None
+) -> DataFrame:
     """Text of declared inputs carried by the step at the dearest model: a ceiling."""
     dearest = stats.groupBy("pipeline").agg(
         F.max_by(
@@ -219,7 +225,7 @@ def compressible_input(traces: DataFrame, edges: DataFrame, stats: DataFrame) ->
     ).select("pipeline", F.col("_d.step_id").alias("carrier"), F.col("_d.blended_rate").alias("_rate"), F.col("_d.tokens_per_char").alias("_tpc"))
     links = edges.select("pipeline", F.col("src").alias("source"), F.col("dst").alias("carrier"))
     held = (
-        carried(traces)
+        (carried(traces) if held is None else held)
         .join(_tasks(traces), "pipeline")
         .where(F.col("tasks_carrying") >= fixed.PREVALENCE * F.col("tasks"))
         .join(links, ["pipeline", "source", "carrier"], "left_semi")
@@ -235,13 +241,14 @@ def graph_findings(
     steps: DataFrame, edges: DataFrame, outputs: DataFrame, traces: DataFrame, stats: DataFrame
 ) -> DataFrame:
     """Every graph rule over every pipeline."""
-    same = identical_to_prior(traces, steps, edges)
+    # A few rows per graph, each read by two rules: written once.
+    same, held, stats = cut(identical_to_prior(traces, steps, edges)), cut(carried(traces)), cut(stats)
     parts = [
-        shared_context(traces, stats),
+        shared_context(traces, stats, held),
         duplicate_tool_calls(traces, steps),
         idle_verifiers(same, steps, edges, outputs, stats, traces),
         pointless_retries(same, steps, stats),
-        compressible_input(traces, edges, stats),
+        compressible_input(traces, edges, stats, held),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -386,6 +386,15 @@ def test_graph_rules(spark):
     assert (pairs["baseline"], pairs["removed"], pairs["candidate"]) == ("p", "check", "q")
 
 
+def test_traces_that_look_small_are_never_broadcast(spark):
+    made = F.inline(F.array(*[F.struct(F.lit(s).alias("step_id"), F.repeat(F.lit(s), 300).alias("output"), F.repeat(F.lit("ab"), 300).alias("request_text"), F.lit("x").alias("arguments")) for s in "ab"]))
+    traces = spark.range(50).select(F.lit("p").alias("pipeline"), F.col("id").alias("task_id"), made)
+    steps = spark.createDataFrame([("p", s, "generate", None, i, i == 1) for i, s in enumerate("ab")], "pipeline string, step_id string, kind string, tool string, position int, called boolean")
+    edges = spark.createDataFrame([("p", "b", "a")], "pipeline string, src string, dst string")
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (G.carried(traces), G.duplicate_tool_calls(traces, steps), G.identical_to_prior(traces, steps, edges))]
+    assert all("SortMergeJoin" in p for p in plans)
+
+
 # -------------------------------------------------------------------------- sources
 
 
