@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from costproof import fixed
+from costproof.functions.grading import let
 
 BLOCK_TYPE = "array<struct<text:string,cache:string>>"
 
@@ -62,17 +63,20 @@ def is_volatile(text: Column, tokens: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct lower-case word 3-grams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0))
-    count = F.size(words)
-    return F.when(
-        count >= 3,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(count - 2, F.lit(1))),
-                lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def of(words: Column) -> Column:
+        count = F.size(words)
+        return F.when(
+            count >= 3,
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(count - 2, F.lit(1))),
+                    lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))),
+                )
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0)), of)
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -14,20 +14,25 @@ from costproof import fixed
 
 
 def token_pieces(text: Column) -> Column:
-    """The pieces the counter charges for, in order."""
-    return F.regexp_extract_all(text, F.lit(fixed.PRETOKEN), F.lit(0))
+    """The pieces the counter charges for, in order; on ASCII text both patterns cut alike."""
+    plain = F.regexp_extract_all(text, F.lit(fixed.PRETOKEN.removeprefix("(?U)")), F.lit(0))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), plain).otherwise(
+        F.regexp_extract_all(text, F.lit(fixed.PRETOKEN), F.lit(0))
+    )
 
 
 def _piece_tokens(piece: Column) -> Column:
-    """Tokens of one piece. Cased letters and ASCII digits are told apart without a pattern; only
-    what is left (white space, punctuation, caseless letters) is matched."""
+    """Tokens of one piece. ASCII letters and digits and cased letters are told apart without a pattern;
+    only what is left (white space, punctuation, caseless letters) is matched."""
     bare = F.ltrim(piece)
     first, size = F.substring(bare, 1, 1), F.length(bare)
-    word = F.greatest(F.lit(1.0), F.bround(size / F.lit(fixed.ALPHA_CHARS_PER_TOKEN)))
+    # No length is half-way between two counts of 4.2, so rounding needs no exact decimals.
+    word = F.greatest(F.lit(1.0), F.floor(size / F.lit(fixed.ALPHA_CHARS_PER_TOKEN) + 0.5).cast("double"))
     gap = F.greatest(F.lit(1.0), F.bround(F.length(piece) / F.lit(fixed.SPACES_PER_TOKEN)))
     return (
-        F.when(F.upper(first) != F.lower(first), word)
+        F.when(first.between("a", "z") | first.between("A", "Z"), word)
         .when(first.between("0", "9"), F.lit(1.0))
+        .when(F.upper(first) != F.lower(first), word)
         .when(first.rlike(r"(?U)^\s|^$"), gap)
         .when(first.rlike(r"(?U)^\d"), F.lit(1.0))
         .when(first.rlike(r"^[\p{L}']"), word)

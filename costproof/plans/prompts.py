@@ -108,7 +108,7 @@ UNION ALL SELECT request_id, 'PL05', CAST((tp + tt)*4500000 AS DOUBLE) FROM big
 )
 def prompt_cache_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static text behind dynamic text, prefixes below the minimum, fixed overhead paid every call."""
-    out = L.lint(requests(spark, sf_dir)).where(F.col("rule").isin("PL02", "PL03", "PL05"))
+    out = L.row_findings(requests(spark, sf_dir)).where(F.col("rule").isin("PL02", "PL03", "PL05"))
     return out.select("request_id", "rule", "per_1k")
 
 
@@ -125,7 +125,7 @@ UNION ALL SELECT request_id, 'PL11', 0.0 FROM f WHERE {' OR '.join(f"(regexp_mat
 )
 def prompt_wording_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing output contract, missing role or task, conflicting instructions."""
-    out = L.lint(requests(spark, sf_dir)).where(F.col("rule").isin("PL06", "PL10", "PL11"))
+    out = L.row_findings(requests(spark, sf_dir)).where(F.col("rule").isin("PL06", "PL10", "PL11"))
     return out.select("request_id", "rule", "per_1k")
 
 
@@ -210,7 +210,7 @@ UNION ALL SELECT k, 'PL14', 0.0 FROM a JOIN job USING (k) WHERE it > 500 AND n >
 @query("prompt_rules", RICH_SQL + "\n" + RULE_ROWS)
 def prompt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of every rule but the duplicate lines, which have their own query."""
-    out = L.lint(rich_requests(spark, sf_dir)).where("rule <> 'PL07'")
+    out = L.row_findings(rich_requests(spark, sf_dir))
     return out.select("request_id", "rule", "per_1k")
 
 

@@ -353,6 +353,20 @@ def test_lint_rules_fire_where_they_should(spark):
     assert L.clear_scores(L.lint(r)).first()["E"] == 2
 
 
+def test_words_and_matches_of_a_text_are_found_once(spark):
+    text = spark.createDataFrame([("Please, please note a b c d e and thank you.",)], "t string")
+    plan = text.select(BL.trigrams(F.col("t")).alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+    block = F.struct(F.lit("user").alias("section"), F.lit(3).alias("index"), F.col("t").alias("text"))
+    found = text.select(L.spans(block, fixed.COURTESY).alias("s"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    got, whole = found.first()["s"], text.first()["t"]
+    assert [s["text"] for s in got] == ["Please", "please note", "thank you"]
+    assert all(whole[s["start"]:s["end"]] == s["text"] and s["block"] == 3 for s in got)
+    assert text.select(L.spans(block, "zz").alias("s")).first()["s"] == []
+    assert "Exchange" not in L.row_findings(request(spark, [("a", None)]))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicate_lines_are_counted_as_pairs(spark):
     line = "always answer with the exact value from the table"
     text = "\n".join([line] * 4 + ["- " + line + "!", "something else entirely that is quite different here"])
