@@ -277,6 +277,15 @@ def answer_key(output: Column) -> Column:
     )
 
 
+def whole_number(output: Column) -> Column:
+    """The answer of a one-line reply that states a plain whole number, else null.
+
+    Such answers are equal when their numbers are: two of them are never within the tolerance, and
+    neither reads as a word. One pattern tells them, so most replies need no full reading.
+    """
+    return F.regexp_extract(output, r"^(?:Final answer: )?(0|[1-9][0-9]{0,14})$", 1).try_cast("bigint")
+
+
 def same_answer(left: Column, right: Column) -> Column:
     """Whether two ``answer_key`` structs give the same answer; unreadable equals nothing."""
     numbers = left["number"].isNotNull() & right["number"].isNotNull()

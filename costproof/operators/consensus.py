@@ -63,6 +63,52 @@ def _ambiguous(shape: Column, margin: float) -> Column:
     return (shape["margin"] < margin) | (shape["uniformity"] >= fixed.UNIFORMITY_CUTOFF)
 
 
+SHAPE = ("margin", "uniformity", "support")
+
+
+def _pools(tiers: int, rules: LabelKind) -> dict[str, list[int]]:
+    """Which tiers vote in which pool: all of them, all but one, and one alone."""
+    pools = {"pool": list(range(tiers))}
+    if rules.leave_one_out and tiers > 1:
+        pools |= {f"rest{i}": [j for j in range(tiers) if j != i] for i in range(tiers)}
+    if rules.penalize_overconfidence:
+        pools |= {f"own{i}": [i] for i in range(tiers)}
+    return pools
+
+
+def _ranked(members: list[int]) -> Column:
+    """An answer's place in the vote of some tiers as one number: its draws, then how early it came."""
+    size, at = F.lit(0), F.lit(None).cast("bigint")
+    for i in reversed(members):
+        size = size + F.col(f"_n{i}")
+        at = F.coalesce(F.lit(i << 32) + F.col(f"_f{i}"), at)
+    place = size.cast("bigint") * F.lit(1 << 40) + (F.lit((1 << 40) - 1) - at)
+    return F.when(size > 0, place).otherwise(F.lit(0).cast("bigint"))
+
+
+def _size(ranked: Column) -> Column:
+    return F.shiftright(ranked, 40).cast("int")
+
+
+def _nats(size: Column, total: int) -> Column:
+    share = size / F.lit(float(total))
+    return -share * F.log(share)
+
+
+def _plain_shape(pool: str, total: int) -> Column:
+    """``struct(margin, uniformity, support, number, largest)`` of a pool of plain numbers."""
+    ranks = F.sort_array(F.col("_ranks")[f"_r_{pool}"], asc=False)
+    groups = F.size(F.filter(F.col("_ranks"), lambda r: r[f"_r_{pool}"] > 0))
+    first, second = _size(F.get(ranks, F.lit(0))), F.coalesce(_size(F.get(ranks, F.lit(1))), F.lit(0))
+    return F.struct(
+        ((first - second) / F.lit(float(total))).alias("margin"),
+        F.when(groups < 2, F.lit(0.0)).otherwise(F.col(f"_h_{pool}") / F.log(groups.cast("double"))).alias("uniformity"),
+        (first / F.lit(float(total))).alias("support"),
+        F.col(f"_top_{pool}").alias("number"),
+        first.alias("largest"),
+    )
+
+
 def consensus_labels(
     samples: DataFrame,
     tiers: list[str],
@@ -78,34 +124,72 @@ def consensus_labels(
     rules = label_kind(kind)
     order = F.array_position(F.array(*[F.lit(t) for t in tiers]), F.col("tier"))
     drawn = samples.where(F.col("tier").isin(*tiers)).select("task_id", order.alias("o"), "sample_index", "output")
-    # Equal outputs of a tier are merged, in the exchange that brings a task together, before any is read.
-    merged = drawn.repartition("task_id").groupBy("task_id", "o", "output").agg(
-        F.min("sample_index").alias("drawn"), F.count("*").cast("int").alias("size")
+    # Plain numbers are told before anything moves, and equal outputs are merged, in the exchange that
+    # brings a task together, before any is read.
+    number = grading.whole_number(F.col("output"))
+    told = drawn.select("task_id", "o", "sample_index", number.alias("number"), F.when(number.isNull(), F.col("output")).alias("other"))
+    mine = [F.col("o") == i + 1 for i in range(len(tiers))]
+    merged = told.repartition("task_id").groupBy("task_id", "number", "other").agg(
+        *[F.count(F.when(m, 1)).cast("int").alias(f"_n{i}") for i, m in enumerate(mine)],
+        *[F.min(F.when(m, F.col("sample_index"))).alias(f"_f{i}") for i, m in enumerate(mine)],
     )
-    item = F.struct("o", "drawn", "size", grading.answer_key(F.col("output")).alias("rep"))
-    pooled = merged.select("task_id", "o", "size", item.alias("_item")).groupBy("task_id").agg(
-        *[F.sum(F.when(F.col("o") == i + 1, F.col("size"))).alias(f"_n{i}") for i in range(len(tiers))],
-        F.sort_array(F.collect_list("_item")).alias("_all"),
+    pools = _pools(len(tiers), rules)
+    ranked = merged.select("*", *[_ranked(members).alias(f"_r_{name}") for name, members in pools.items()])
+    item = F.struct(
+        "number", "other", F.array(*[F.col(f"_n{i}") for i in range(len(tiers))]).alias("n"),
+        F.array(*[F.col(f"_f{i}") for i in range(len(tiers))]).alias("f"),
+    )
+    # A task of plain numbers is voted on by whole numbers alone; only others keep their replies for the folds.
+    pooled = ranked.groupBy("task_id").agg(
+        *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(tiers))],
+        F.bool_and(F.col("number").isNotNull()).alias("_plain"),
+        F.collect_list(item).alias("_items"),
+        F.collect_list(F.struct(*[f"_r_{name}" for name in pools])).alias("_ranks"),
+        *[F.max_by("number", f"_r_{name}").alias(f"_top_{name}") for name in pools],
+        *[F.min_by("number", f"_f{i}").alias(f"_own_first{i}") for i in range(len(tiers))],
+        *[
+            F.sum(F.when(_size(F.col(f"_r_{name}")) > 0, _nats(_size(F.col(f"_r_{name}")), depth * len(members)))).alias(f"_h_{name}")
+            for name, members in pools.items()
+        ],
     )
     even = F.lit(True)
     for i in range(len(tiers)):
         even = even & F.coalesce(F.col(f"_n{i}") == depth, F.lit(False))
+    plain = [_plain_shape(name, depth * len(members)).alias(f"_p_{name}") for name, members in pools.items()]
+    slow = F.when(~F.col("_plain"), F.sort_array(F.flatten(F.array(*[
+        F.transform(
+            F.filter("_items", (lambda i: lambda d: d["n"][i] > 0)(i)),
+            (lambda i: lambda d: F.struct(
+                F.lit(i + 1).alias("o"), d["f"][i].alias("drawn"), d["n"][i].alias("size"),
+                grading.answer_key(F.coalesce(d["other"], d["number"].cast("string"))).alias("rep"),
+            ))(i),
+        )
+        for i in range(len(tiers))
+    ]))))
+    pooled = pooled.select("*", *plain, slow.alias("_all"))
     placed = F.transform(
         "_all", lambda r, i: F.struct(r["o"].alias("o"), i.alias("first"), r["size"].alias("size"), r["rep"].alias("rep"))
     )
+    fast = ["_plain", *[f"_p_{name}" for name in pools], *[f"_own_first{i}" for i in range(len(tiers))]]
     pooled = pooled.select(
         "task_id",
         F.when(even, placed)
         .otherwise(F.raise_error(F.lit("the tiers were sampled to different depths")))
         .alias("_all"),
+        *fast,
     )
 
+    def shape_of(fold: str, pool: str) -> Column:
+        """A pool's shape: of whole numbers where a task has nothing else, else of the folded groups."""
+        return F.when(F.col("_plain"), F.struct(*[F.col(f"_p_{pool}")[x].alias(x) for x in SHAPE])).otherwise(_shape(F.col(fold)))
+
     def groups(keep) -> Column:
         return by_size(fit(apart(F.filter("_all", keep) if keep else F.col("_all"))))
 
     staged = pooled.select(
         "task_id",
         "_all",
+        *fast,
         groups(None).alias("_pool"),
         *[
             groups((lambda i: lambda r: r["o"] != i + 1)(i)).alias(f"_rest{i}")
@@ -118,6 +202,7 @@ def consensus_labels(
             if rules.penalize_overconfidence
         ],
     )
+    voters = lambda i: f"rest{i}" if f"rest{i}" in pools else "pool"
     reference = [
         F.when(F.size(f"_rest{i}") > 0, F.col(f"_rest{i}")).otherwise(F.col("_pool"))
         if rules.leave_one_out
@@ -126,9 +211,9 @@ def consensus_labels(
     ]
     shapes = staged.select(
         "*",
-        _shape(F.col("_pool")).alias("_shape"),
+        shape_of("_pool", "pool").alias("_shape"),
         *[r.alias(f"_ref{i}") for i, r in enumerate(reference)],
-    ).select("*", *[_shape(F.col(f"_ref{i}")).alias(f"_rs{i}") for i in range(len(tiers))])
+    ).select("*", *[shape_of(f"_ref{i}", voters(i)).alias(f"_rs{i}") for i in range(len(tiers))])
     excluded = F.lit(False)
     if rules.exclude_uniform:
         excluded = _ambiguous(F.col("_shape"), min_margin)
@@ -138,10 +223,14 @@ def consensus_labels(
     for i, tier in enumerate(tiers):
         top = F.element_at(f"_ref{i}", 1)
         first_own = F.element_at(F.filter("_all", (lambda i: lambda r: r["o"] == i + 1)(i)), 1)
-        agrees = grading.same_answer(top["rep"], first_own["rep"])
+        voted = F.col(f"_p_{voters(i)}")["number"]
+        agrees = F.when(F.col("_plain"), voted == F.col(f"_own_first{i}")).otherwise(
+            grading.same_answer(top["rep"], first_own["rep"])
+        )
         penal = F.lit(False)
         if rules.penalize_overconfidence:
-            consistency = F.element_at(f"_own{i}", 1)["size"] / F.lit(float(depth))
+            largest = F.when(F.col("_plain"), F.col(f"_p_own{i}")["largest"]).otherwise(F.element_at(f"_own{i}", 1)["size"])
+            consistency = largest / F.lit(float(depth))
             penal = ~agrees & (consistency >= fixed.OVERCONFIDENT_CONSISTENCY)
         base = (
             F.greatest(F.lit(fixed.MIN_LABEL_WEIGHT), F.col(f"_rs{i}.margin"))
@@ -154,7 +243,7 @@ def consensus_labels(
                 agrees.cast("int").alias("label"),
                 (base * F.when(penal, 1.0 + fixed.OVERCONFIDENCE_PENALTY).otherwise(1.0)).alias("weight"),
                 penal.alias("penalized"),
-                top["rep"]["answer"].alias("reference"),
+                F.when(F.col("_plain"), voted.cast("string")).otherwise(top["rep"]["answer"]).alias("reference"),
                 F.col(f"_rs{i}.margin").alias("margin"),
                 excluded.alias("excluded"),
                 F.col("_shape.support").alias("support"),

@@ -409,6 +409,23 @@ def test_traces_that_look_small_are_never_broadcast(spark):
     assert all("SortMergeJoin" in p for p in plans)
 
 
+@pytest.mark.parametrize("kind", ["majority-vote", "penalized-v1"])
+def test_whole_numbers_are_voted_on_as_full_replies_are(spark, kind):
+    rng = random.Random(5)
+    draws = [(t, tier, k, rng.choice((7, 7, 7, 8, 12))) for t in range(60) for tier in "abc" for k in range(4)]
+    made = spark.createDataFrame(draws, "task_id int, tier string, sample_index int, v int")
+    plain = made.withColumn("output", F.concat(F.lit("Final answer: "), "v"))
+    full = made.withColumn("output", F.concat(F.lit("So it is.\nFinal answer: "), "v", F.lit(".")))
+    assert plain.where(GR.whole_number(F.col("output")).isNull()).count() == 0
+    assert full.where(GR.whole_number(F.col("output")).isNotNull()).count() == 0
+    got, want = ({(r["task_id"], r["tier"]): r for r in K.consensus_labels(x, ["a", "b", "c"], 4, kind).collect()} for x in (plain, full))
+    assert len(got) == 180 and got.keys() == want.keys()
+    for key, row in want.items():
+        for name in row.asDict():
+            same = got[key][name]
+            assert same == (pytest.approx(row[name]) if isinstance(row[name], float) else row[name])
+
+
 # -------------------------------------------------------------------------- sources
 
 
