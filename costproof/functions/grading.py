@@ -256,8 +256,19 @@ def _judge(p: Column) -> Column:
 def answer_key(output: Column) -> Column:
     """What two replies are compared by: ``struct(answer, bare number, yes/no, text)``.
 
-    Computed once per reply so that comparing k samples costs k parses and not k squared.
+    Computed once per reply so that comparing k samples costs k parses and not k squared. A plain whole
+    number is its own answer and text.
     """
+    number = whole_number(output)
+    stated = F.struct(
+        number.cast("string").alias("answer"), number.cast("decimal(28,8)").alias("number"),
+        F.lit(None).cast("string").alias("yes_no"), number.cast("string").alias("text"),
+    )
+    return F.when(number.isNotNull(), stated).otherwise(_read_key(output))
+
+
+def _read_key(output: Column) -> Column:
+    """``answer_key`` of any reply, by the whole grammar."""
     answer = extract_answer(output)
 
     def read(p: Column) -> Column:

@@ -409,6 +409,18 @@ def test_traces_that_look_small_are_never_broadcast(spark):
     assert all("SortMergeJoin" in p for p in plans)
 
 
+def test_whole_numbers_are_groups_only_when_they_differ(spark):
+    told = [(1, "5"), (1, "Final answer: 5"), (1, "Final answer: 6"), (1, "7"), (2, "3"), (2, "4"), (2, "3"), (2, "9"), (3, "5"), (3, "5.0"), (3, "yes"), (3, "5")]
+    rows = [(t, "a", i % 4, o, 1) for i, (t, o) in enumerate(told)]
+    s = spark.createDataFrame(rows, "task_id int, tier string, sample_index int, output string, cost int")
+    plain = {r["task_id"]: r["plain"] for r in S.distinct_draws(s, 4, ["task_id", "tier"]).collect()}
+    assert plain == {1: True, 2: True, 3: False}
+    got = {r["task_id"]: (r["sizes"], r["answer_index"], r["output"]) for r in S.agreement(s, 4).collect()}
+    assert got == {1: ([2, 1, 1], 0, "5"), 2: ([2, 1, 1], 0, "3"), 3: ([3, 1], 0, "5")}
+    key = s.select(GR.answer_key(F.col("output")).alias("k"), GR._read_key(F.col("output")).alias("f"))
+    assert all(r["k"] == r["f"] for r in key.collect())
+
+
 @pytest.mark.parametrize("kind", ["majority-vote", "penalized-v1"])
 def test_whole_numbers_are_voted_on_as_full_replies_are(spark, kind):
     rng = random.Random(5)
