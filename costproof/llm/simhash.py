@@ -11,8 +11,9 @@ the groups; points of a cell are compared by Manhattan distance first, then by t
 Dense groups don't give all their pairs: each cell first links its members to one of them; afterwards only
 members of different components are compared, the largest component of a cell against the rest.
 
-Removal of near-duplicates has another measure, the share of common shingles, and other cells for it: bands of least
-hashes of the shingles. What shares a cell is linked in the same two steps, by the texts themselves.
+Removal of near-duplicates links by the share of common shingles, counted on the texts. Its candidates are the groups of
+linked fingerprints and, as 64 bits miss most pairs at that share, bands of least hashes of the shingles beside them. What
+shares a group or a band is linked in the same two steps, by the texts themselves.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from costproof.llm.texts import chunks, utf8
 SEED = 42
 WORDS = 4
 BITS = 4
-# For removing near-duplicates: longer shingles, and bands of least hashes that make candidates.
+# For removing near-duplicates: longer shingles, and bands of least hashes that make further candidates.
 DEDUP_WORDS = 5
 BANDS, ROWS = 30, 5
 # Near-duplicates have ALIKE of OF shingles in common or more; places of the parity masks.
@@ -75,17 +76,29 @@ def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return hashes
 
 
+def _set_bits(hashes: np.ndarray, turns: int = 1) -> np.ndarray:
+    """How many of the hashes have each bit set, a row per turn."""
+    ones = np.zeros((turns, 64), np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        for turn in range(turns):
+            part = _mixed(hashes[i : i + (1 << 15)], turn).view(np.uint8).reshape(-1, 8)
+            ones[turn] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _majority(ones: np.ndarray, total: int) -> list[int]:
+    """The bits that are set in over half of ``total`` hashes, as signed numbers."""
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
 def fingerprint(text: bytes | None, words: int = WORDS, turns: int = 1) -> list[int]:
     """Signed 64-bit SimHashes of a text: a bit is set if it is set in over half the shingle hashes."""
     total, ones, short = 0, np.zeros((turns, 64), np.int64), []
 
     def count(hashes: np.ndarray) -> None:
-        nonlocal total
+        nonlocal total, ones
         total += len(hashes)
-        for i in range(0, len(hashes), 1 << 15):
-            for turn in range(turns):
-                part = _mixed(hashes[i : i + (1 << 15)], turn).view(np.uint8).reshape(-1, 8)
-                ones[turn] += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _set_bits(hashes, turns)
 
     for run in _word_runs(text or b"", words):
         if len(run) < words:
@@ -94,8 +107,7 @@ def fingerprint(text: bytes | None, words: int = WORDS, turns: int = 1) -> list[
             count(_shingle_hashes(run, words))
     if not total and short:
         count(_shingle_hashes(short, len(short)))
-    bits = np.packbits(ones * 2 > total, axis=1, bitorder="little")
-    return bits.view(np.int64).ravel().tolist() if total else [0] * turns
+    return _majority(ones, total)
 
 
 def fingerprints(text: Column, words: int = WORDS, turns: int = 1) -> Column:
@@ -205,13 +217,14 @@ def near_groups(
     )
 
 
-def _profile(text: bytes | None, words: int, factors: np.ndarray) -> tuple[int, list[int], list[int]]:
-    """Number of different shingles, the parity of how many fall to each of 512 places, and a cell per band.
+def _profile(text: bytes | None, words: int, factors: np.ndarray) -> tuple[int, list[int], list[int], int]:
+    """Number of different shingles, the parity of how many fall to each of 512 places, a cell per band, the SimHash.
 
     Two parity masks never differ in more bits than the sets of shingles have shingles of their own. A band's cell is
     ``ROWS`` least hashes, each under a factor of its own, so two texts share it with the power ``ROWS`` of their similarity.
     """
-    own = np.unique(_hashes(text, words))
+    hashes = _hashes(text, words)
+    own = np.unique(hashes)
     odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
     least = np.full(factors.shape[1], np.iinfo(np.uint64).max, np.uint64)
     mixed = own ^ (own >> np.uint64(31))
@@ -220,7 +233,8 @@ def _profile(text: bytes | None, words: int, factors: np.ndarray) -> tuple[int,
         least = np.minimum(least, part.min(axis=0))
     digest = xxhash.xxh64_intdigest
     cells = np.array([digest(band.tobytes(), i) for i, band in enumerate(least.reshape(-1, ROWS))], np.uint64)
-    return len(own), np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist(), cells.view(np.int64).tolist()
+    sketch = np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+    return len(own), sketch, cells.view(np.int64).tolist(), _majority(_set_bits(hashes), len(hashes))[0]
 
 
 def _hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -246,16 +260,16 @@ def shingles(text: bytes | None, words: int) -> set[bytes]:
 
 
 def profiles(text: Column, words: int, bands: int = BANDS) -> Column:
-    """``struct<n, sketch, cells>`` of a text column: what chooses the pairs that are compared."""
+    """``struct<n, sketch, cells, fp>`` of a text column: what chooses the pairs that are compared."""
 
-    @F.arrow_udf("n long, sketch array<bigint>, cells array<bigint>")
+    @F.arrow_udf("n long, sketch array<bigint>, cells array<bigint>, fp long")
     def of(column: pa.Array) -> pa.Array:
         factors = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, bands * ROWS), np.uint64)
         factors[0] |= np.uint64(1)
         rows = [_profile(t, words, factors) for t in utf8(column)]
         longs = pa.list_(pa.int64())
-        kinds = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), longs, longs))]
-        return pa.StructArray.from_arrays(kinds, ["n", "sketch", "cells"])
+        kinds = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), longs, longs, pa.int64()))]
+        return pa.StructArray.from_arrays(kinds, ["n", "sketch", "cells", "fp"])
 
     return of(text)
 
@@ -293,17 +307,21 @@ def _edges(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return stored(both.where(_similar(F.col("own"), F.col("theirs"), words)).select("a", "b"), "similar")
 
 
-def similar_groups(points: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int) -> DataFrame:
+def similar_groups(points: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, bits: int = BITS) -> DataFrame:
     """``node, root`` of every point that is similar to another one, over similar pairs that share a cell.
 
-    ``points`` has ``uid, n, sketch, cells``; ``texts_of`` gives ``uid, text`` of given points. Every cell first links its
-    points to one of them; then only points of different components are compared, the largest of a cell against the
-    rest. Cells and sketches choose what is compared; the texts decide.
+    ``points`` has ``uid, n, sketch, cells, fp``; ``texts_of`` gives ``uid, text`` of given points. A group of fingerprints
+    linked within ``bits`` is a cell, beside the bands. Every cell first links its points to one of them; then only points
+    of different components are compared, the largest of a cell against the rest. Cells and sketches choose what is
+    compared; the texts decide.
     """
-    cells = points.select("uid", F.explode("cells").alias("cell"))
+    prints = points.select("uid", "fp")
+    linked_prints = stored(linked(prints.select("fp").distinct(), bits), "fingerprint-roots")
+    groups = prints.join(linked_prints, "fp").select("uid", F.xxhash64(F.lit("fingerprints"), "root").alias("cell"))
+    cells = points.select("uid", F.explode("cells").alias("cell")).unionByName(groups)
     hubs = cells.groupBy("cell").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).where("hub <> last").drop("last")
     live = stored(cells.join(hubs, "cell"), "shared-cells")
-    marks = stored(points.drop("cells").join(live.select("uid"), "uid", "left_semi"), "shared-points")
+    marks = stored(points.drop("cells", "fp").join(live.select("uid"), "uid", "left_semi"), "shared-points")
     texts = stored(texts_of(marks), "shared-texts")
     marks = marks.select("uid", "n", "sketch")
     pairs = live.where("uid <> hub").select("uid", "hub").distinct()
@@ -334,11 +352,13 @@ def near_dedup(
     text: str = "text",
     words: int = DEDUP_WORDS,
     bands: int = BANDS,
+    bits: int = BITS,
 ) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; every column stays as it was.
 
     Rows link when their sets of ``words``-word shingles have Jaccard similarity 0.8 or more, which is counted on the
-    texts of candidates: rows that share one of ``bands`` cells of least hashes. Of a group the smallest id stays (null ids come last; of repeated ids the first row read). Null,
+    texts of candidates: rows whose SimHashes are linked within ``bits`` differing bits, and rows that share one of ``bands``
+    cells of least hashes. Of a group the smallest id stays (null ids come last; of repeated ids the first row read). Null,
     empty and word-free texts are one group. An empty table stays empty.
     """
     rows = stored(
@@ -355,7 +375,7 @@ def near_dedup(
         texts = docs.select(key_of(doc_id, text).alias("key"), F.col(text).alias("text"))
         return wanted.select("uid", "key").join(texts.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "key").select("uid", "text")
 
-    groups = similar_groups(points, texts_of, words)
+    groups = similar_groups(points, texts_of, words, bits)
     grouped = rows.select("uid", "key").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
     first = F.min(F.struct(F.col("key.id").isNull().alias("none"), F.col("key.id"), "uid", "key"))
     stay = grouped.groupBy(F.coalesce("root", "uid").alias("group")).agg(first.alias("f")).select("f.key")

@@ -76,3 +76,10 @@ def test_near_dedup_groups_match_all_pairs(spark):
     texts = near_texts(12, 30)
     group = groups_of(texts, 0.8)
     assert kept_ids(spark, texts) == set(group) and len(set(group)) < len(texts)
+
+
+def test_linked_fingerprints_are_candidates_without_any_band(spark):
+    base = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(reversed(base)), "a b c", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert {r["doc_id"] for r in simhash.near_dedup(rows, bands=0).collect()} == {0, 2, 3, 4}
