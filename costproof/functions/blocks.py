@@ -86,24 +86,57 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(both / either)
 
 
+# Texts are compared over this many characters at an end first; most differ there.
+NEAR = 64
+
+
+def _bisected(left: Column, right: Column) -> Column:
+    """Characters two texts share from the start, by bisection on equal prefixes; both are computed once."""
+
+    def search(both: Column) -> Column:
+        shortest = F.least(F.length(both["left"]), F.length(both["right"]))
+
+        def halve(state: Column, _: Column) -> Column:
+            middle = ((state["low"] + state["high"] + 1) / 2).cast("int")
+            same = F.substr(both["left"], F.lit(1), middle) == F.substr(both["right"], F.lit(1), middle)
+            done = state["low"] >= state["high"]
+            return F.struct(
+                F.when(done | ~same, state["low"]).otherwise(middle).alias("low"),
+                F.when(done | same, state["high"]).otherwise(middle - 1).alias("high"),
+            )
+
+        steps = F.ceil(F.log2(shortest + 2)).cast("int")
+        bounds = F.struct(F.lit(0).alias("low"), shortest.alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), steps), bounds, halve)["low"]
+
+    return let(F.struct(left.alias("left"), right.alias("right")), search)
+
+
 def common_prefix_length(left: Column, right: Column) -> Column:
-    """Characters two texts share from the start, by bisection on equal prefixes."""
+    """Characters two texts share from the start, or null; only texts with equal starts are compared whole."""
+    start = lambda t, n: F.substr(t, F.lit(1), F.lit(n))
+    shortest = F.least(F.length(left), F.length(right))
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("int"))
+        .when(start(left, 1) != start(right, 1), F.lit(0))
+        .when(start(left, NEAR) != start(right, NEAR), _bisected(start(left, NEAR), start(right, NEAR)))
+        .when(left == right, shortest)
+        .otherwise(_bisected(left, right))
+    )
+
+
+def common_suffix_length(left: Column, right: Column) -> Column:
+    """Characters two texts share from the end, or null; only texts with equal ends are turned round whole."""
+    end = lambda t, n: F.right(t, F.lit(n))
     shortest = F.least(F.length(left), F.length(right))
-    bounds = F.struct(F.lit(0).alias("low"), shortest.alias("high"))
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = ((state["low"] + state["high"] + 1) / 2).cast("int")
-        same = F.substr(left, F.lit(1), middle) == F.substr(right, F.lit(1), middle)
-        done = state["low"] >= state["high"]
-        return F.struct(
-            F.when(done | ~same, state["low"]).otherwise(middle).alias("low"),
-            F.when(done | same, state["high"]).otherwise(middle - 1).alias("high"),
-        )
-
-    steps = F.ceil(F.log2(shortest + 2)).cast("int")
-    bisected = F.aggregate(F.sequence(F.lit(1), steps), bounds, halve)["low"]
-    differ = F.substr(left, F.lit(1), F.lit(1)) != F.substr(right, F.lit(1), F.lit(1))
-    return F.when(differ, F.lit(0)).when(left == right, shortest).otherwise(bisected)
+    near = _bisected(F.reverse(end(left, NEAR)), F.reverse(end(right, NEAR)))
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("int"))
+        .when(end(left, 1) != end(right, 1), F.lit(0))
+        .when(end(left, NEAR) != end(right, NEAR), near)
+        .when(left == right, shortest)
+        .otherwise(_bisected(F.reverse(left), F.reverse(right)))
+    )
 
 
 def common_prefix(left: Column, right: Column) -> Column:

@@ -57,7 +57,7 @@ def common_lengths(text: Column, first: Column) -> list[Column]:
     """Aggregates: characters that every text of a group shares with its first one, from either end."""
     return [
         F.min(blocks.common_prefix_length(text, first)).alias("prefix_chars"),
-        F.min(blocks.common_prefix_length(F.reverse(text), F.reverse(first))).alias("suffix_chars"),
+        F.min(blocks.common_suffix_length(text, first)).alias("suffix_chars"),
     ]
 
 
