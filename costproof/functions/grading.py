@@ -112,9 +112,13 @@ def _json_has(body: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(body), key), F.lit(False))
 
 
+_PLAIN_REPLY = r"\AFinal answer: [0-9]+\z"
+
+
 def extract_answer(output: Column) -> Column:
     """The answer of a reply: JSON ``answer``, else the last ``Final answer:`` line, else a short
-    one-line reply as it stands. JSON without ``answer`` is no answer."""
+    one-line reply as it stands. JSON without ``answer`` is no answer. A reply that is nothing but such a line with a
+    whole number is told by one pattern."""
 
     def read(p: Column) -> Column:
         whole, body, line = p["whole"], p["body"], p["line"]
@@ -134,7 +138,7 @@ def extract_answer(output: Column) -> Column:
         json_text(output).alias("body"),
         F.try_element_at(lines, F.lit(-1)).alias("line"),
     )
-    return let(parts, read)
+    return F.when(output.rlike(_PLAIN_REPLY), F.substr(output, F.lit(len("Final answer: ") + 1))).otherwise(let(parts, read))
 
 
 def parse_number(text: Column) -> Column:

@@ -523,3 +523,18 @@ def test_streamed_turns_equal_the_batch_fold(spark, tmp_path):
     batch = SE.price_turns(turns.withColumn("at_seconds", F.unix_timestamp("ts").cast("double")).withColumn("label", F.lit("")), minimum=3)
     key = lambda df: sorted((r["session_id"], r["turn_index"], r["event"], r["cost"]) for r in df.collect())
     assert key(live) == key(batch)
+
+
+def test_meaning_clusters_of_nested_judgements_match_rows(spark):
+    rng = random.Random(5)
+    answers, rows, nested = [], [], []
+    for task in range(60):
+        answers += [(task, "a", i, rng.choice(["x", "y", "z", None])) for i in range(3)]
+        said = {(i, j): rng.choice([True, False, None]) for i in range(3) for j in range(3) if i != j}
+        rows += [(task, "a", i, j, v) for (i, j), v in said.items()]
+        nested.append((task, "a", {f"{i}>{j}": v for (i, j), v in said.items()}))
+    draws = spark.createDataFrame(answers, "task_id int, tier string, sample_index int, answer string")
+    pairs = spark.createDataFrame(rows, "task_id int, tier string, premise int, hypothesis int, entails boolean")
+    maps = spark.createDataFrame(nested, "task_id int, tier string, verdicts map<string,boolean>")
+    one, two = (sorted(map(str, S.entailment_clusters(draws, j).collect())) for j in (pairs, maps))
+    assert one == two and len(one) == 60
