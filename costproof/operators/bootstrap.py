@@ -2,8 +2,9 @@
 
 Each task gets a Poisson(1) weight per replicate. A weight is a function of (seed, task key,
 replicate) and never of the partition layout, so a retried or repartitioned job gives the same
-interval. A task of the job multiplies the weights of a batch of rows with their values and adds the
-products up; what leaves it is one row per group and replicate, however many rows it has read.
+interval. A task of the job draws the weights of a block of keys once for all groups, multiplies them with
+their rows' values and adds the products up; what leaves it is one row per group and replicate, however
+many rows it has read.
 
 Weights are a public 32-bit integer mixer applied to both halves of the key: plain arithmetic, so that any
 engine can check them.
@@ -27,7 +28,8 @@ SHIFTS, FACTORS = (16, 15, 15), (0x21F0AAAD, 0x735A2D97)
 STEP = 0x61C88647
 # Weights are resolved to this many bits of a draw.
 DRAW_BITS = 16
-ROWS_AT_ONCE = 256
+# Draws of so many keys stay in a core's cache.
+KEYS_AT_ONCE = 64
 GROUPS_HELD = 64
 
 
@@ -42,13 +44,16 @@ def _poisson_cuts() -> list[int]:
 
 
 CUTS = _poisson_cuts()
+_WEIGHT_OF = np.searchsorted(CUTS, np.arange(1 << DRAW_BITS), side="right").astype(np.int8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """The mixer on unsigned 32-bit integers."""
+    """The mixer on unsigned 32-bit integers, in place."""
+    moved = np.empty_like(x)
     for shift, factor in zip(SHIFTS, FACTORS, strict=False):
-        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
-    return x ^ (x >> np.uint32(SHIFTS[-1]))
+        np.bitwise_xor(x, np.right_shift(x, np.uint32(shift), out=moved), out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    return np.bitwise_xor(x, np.right_shift(x, np.uint32(SHIFTS[-1]), out=moved), out=x)
 
 
 def key_halves(keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +67,10 @@ def key_halves(keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def weights(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     """Poisson(1) weights: a row per key, a column per replicate."""
     first, second = key_halves(keys, seed)
-    table = np.searchsorted(CUTS, np.arange(1 << DRAW_BITS), side="right").astype(np.int8)
     steps = np.arange(1, resamples + 1, dtype=np.uint32) * np.uint32(STEP)
-    draws = mixed(mixed(first[:, None] + steps[None, :]) ^ second[:, None])
-    return table[draws >> np.uint32(32 - DRAW_BITS)]
+    draws = mixed(first[:, None] + steps[None, :])
+    draws = mixed(np.bitwise_xor(draws, second[:, None], out=draws))
+    return np.take(_WEIGHT_OF, np.right_shift(draws, np.uint32(32 - DRAW_BITS), out=draws), mode="clip")
 
 
 def task_key(task: Column) -> Column:
@@ -91,22 +96,31 @@ def _summed(keys: int, sums: int, resamples: int, seed: int, schema: pa.Schema):
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:keys]]
-            members: dict[tuple, list[int]] = {}
-            for i, group in enumerate(zip(*columns, strict=True) if columns else [()] * len(batch)):
-                members.setdefault(group, []).append(i)
+            groups = list(zip(*columns, strict=True)) if columns else [()] * len(batch)
             ids = batch.column(keys).to_numpy(zero_copy_only=False)
             values = np.ones((sums + 1, len(batch)))
             for n in range(sums):
                 values[n + 1] = np.nan_to_num(batch.column(keys + 1 + n).to_numpy(zero_copy_only=False))
-            for group, rows in members.items():
-                totals = held.setdefault(group, np.zeros((sums + 1, resamples + 1)))
-                for at in range(0, len(rows), ROWS_AT_ONCE):
-                    part = rows[at : at + ROWS_AT_ONCE]
-                    totals[:, 0] += values[:, part].sum(axis=1)
-                    totals[:, 1:] += values[:, part] @ weights(ids[part], resamples, seed).astype(np.float64)
-            if len(held) > GROUPS_HELD:
-                yield from emit(held)
-                held = {}
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+            ends = np.append(firsts[1:], len(ids))
+            for at in range(0, len(firsts), KEYS_AT_ONCE):
+                own = slice(at, at + KEYS_AT_ONCE)
+                rows = order[firsts[at] : ends[own][-1]]
+                place = np.repeat(np.arange(len(firsts[own])), ends[own] - firsts[own])
+                members: dict[tuple, list[int]] = {}
+                for i, row in enumerate(rows.tolist()):
+                    members.setdefault(groups[row], []).append(i)
+                drawn = weights(ids[firsts[own]], resamples, seed).astype(np.float64)
+                for group, among in members.items():
+                    totals = held.setdefault(group, np.zeros((sums + 1, resamples + 1)))
+                    at_keys = [np.bincount(place[among], v[rows[among]], len(drawn)) for v in values]
+                    totals[:, 0] += values[:, rows[among]].sum(axis=1)
+                    totals[:, 1:] += np.stack(at_keys) @ drawn
+                if len(held) > GROUPS_HELD:
+                    yield from emit(held)
+                    held = {}
         yield from emit(held)
 
     return run
@@ -135,7 +149,8 @@ def replicate_sums(
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # The work is rows x replicates, so few bytes must still reach every worker.
-    spread = rows.repartition(tasks, "_key")
+    # Rows of a key come one after another: its weights are drawn once for all its groups.
+    spread = rows.repartition(tasks, "_key").sortWithinPartitions("_key")
     partial = spread.mapInArrow(_summed(len(keys), len(sums), resamples, seed, to_arrow_schema(out)), out)
     return partial.groupBy(*keys, "replicate").agg(
         F.sum("weight").cast("bigint").alias("weight"), *[F.sum(n).alias(n) for n in sums]

@@ -538,3 +538,22 @@ def test_meaning_clusters_of_nested_judgements_match_rows(spark):
     maps = spark.createDataFrame(nested, "task_id int, tier string, verdicts map<string,boolean>")
     one, two = (sorted(map(str, S.entailment_clusters(draws, j).collect())) for j in (pairs, maps))
     assert one == two and len(one) == 60
+
+
+def test_weights_of_a_key_are_drawn_once_for_all_groups(monkeypatch):
+    import pyarrow as pa
+
+    drawn = []
+    monkeypatch.setattr(B, "weights", lambda keys, *rest, own=B.weights: drawn.extend(keys.tolist()) or own(keys, *rest))
+    ids = np.repeat(np.arange(150), 2)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["p", "q"] * 150), pa.array(ids), pa.array((ids % 7 + np.tile([0, 3], 150)).astype(float))], ["g", "k", "v"]
+    )
+    schema = pa.schema([("g", pa.string()), ("replicate", pa.int32()), ("weight", pa.float64()), ("v", pa.float64())])
+    got = {b.column(0)[0].as_py(): b for b in B._summed(1, 1, 30, 9, schema)(iter([batch]))}
+    assert sorted(drawn) == list(range(150)) and set(got) == {"p", "q"}
+    w = B.weights(np.arange(150), 30, 9).astype(float)
+    for group, more in (("p", 0), ("q", 3)):
+        want = (np.arange(150) % 7 + more) @ w
+        assert got[group].column("v").to_pylist()[1:] == want.tolist() and got[group].column("weight").to_pylist()[1:] == w.sum(axis=0).tolist()
+        assert got[group].column("v")[0].as_py() == (np.arange(150) % 7 + more).sum()
