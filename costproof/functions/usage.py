@@ -36,87 +36,70 @@ def _whole(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0)).cast("bigint")
 
 
-def _usage_struct(error: Column, estimated_5m: Column | None = None, **buckets: Column) -> Column:
-    fields = [
-        buckets.get(name, F.lit(0).cast("bigint")).alias(name) for name in fixed.BUCKETS
-    ]
-    fields.append(error.alias("error"))
-    fields.append((F.lit(False) if estimated_5m is None else estimated_5m).alias("estimated_5m"))
-    return F.struct(*fields)
-
-
 def _first_error(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
 
 
-def _exclusive(p: Column) -> Column:
+# What the three shapes call the same numbers; a shape without one has none of it.
+_EXCLUSIVE, _INCLUSIVE, _HIT_MISS = 1, 2, 3
+
+
+def _read(p: Column, shape: Column) -> dict[str, Column]:
+    """The payload's numbers by their part in any shape, as whole numbers."""
+
+    def by_shape(exclusive: Column | None, inclusive: Column | None, hit_miss: Column | None) -> Column:
+        picked = F.when(shape == _EXCLUSIVE, exclusive if exclusive is not None else F.lit(0.0))
+        picked = picked.when(shape == _INCLUSIVE, inclusive if inclusive is not None else F.lit(0.0))
+        return _whole(picked.when(shape == _HIT_MISS, hit_miss if hit_miss is not None else F.lit(0.0)))
+
+    completion, reasoning = p["completion_tokens"], p["completion_tokens_details"]["reasoning_tokens"]
+    split = (shape == _EXCLUSIVE) & p["cache_creation"].isNotNull()
+    return {
+        "_usage_input": by_shape(p["input_tokens"], p["prompt_tokens"], p["prompt_cache_miss_tokens"]),
+        "_usage_cached": by_shape(p["cache_read_input_tokens"], p["prompt_tokens_details"]["cached_tokens"], p["prompt_cache_hit_tokens"]),
+        "_usage_created": by_shape(p["cache_creation_input_tokens"], None, None),
+        "_usage_five": _whole(F.when(split, p["cache_creation"]["ephemeral_5m_input_tokens"])),
+        "_usage_hour": _whole(F.when(split, p["cache_creation"]["ephemeral_1h_input_tokens"])),
+        "_usage_parts": F.coalesce(split, F.lit(False)),
+        "_usage_stated": F.when(shape == _HIT_MISS, p["prompt_tokens"]).cast("bigint"),
+        "_usage_out": by_shape(p["output_tokens"], completion, completion),
+        "_usage_thought": by_shape(None, reasoning, reasoning),
+    }
+
+
+def _exclusive_error() -> Column:
     """Input counts only what follows the last breakpoint; writes may be split by lifetime."""
-    plain, read = _whole(p["input_tokens"]), _whole(p["cache_read_input_tokens"])
-    created, out = _whole(p["cache_creation_input_tokens"]), _whole(p["output_tokens"])
-    split = p["cache_creation"].isNotNull()
-    five = F.when(split, _whole(p["cache_creation"]["ephemeral_5m_input_tokens"])).otherwise(created)
-    hour = F.when(split, _whole(p["cache_creation"]["ephemeral_1h_input_tokens"])).otherwise(
-        F.lit(0).cast("bigint")
-    )
-    error = _first_error(
-        (plain < 0, "input_uncached is negative"),
-        (read < 0, "cache_read is negative"),
+    created = F.col("_usage_created")
+    return _first_error(
+        (F.col("_usage_input") < 0, "input_uncached is negative"),
+        (F.col("_usage_cached") < 0, "cache_read is negative"),
         (created < 0, "cache_creation_input_tokens is negative"),
-        (split & (created != 0) & (five + hour != created), "cache write split does not add up"),
-        (out < 0, "output_visible is negative"),
-    )
-    return _usage_struct(
-        error,
-        estimated_5m=~split & (created != 0),
-        input_uncached=plain,
-        cache_write_5m=five,
-        cache_write_1h=hour,
-        cache_read=read,
-        output_visible=out,
+        (F.col("_usage_parts") & (created != 0) & (F.col("_usage_five") + F.col("_usage_hour") != created), "cache write split does not add up"),
+        (F.col("_usage_out") < 0, "output_visible is negative"),
     )
 
 
-def _inclusive(p: Column) -> Column:
+def _inclusive_error() -> Column:
     """Prompt includes the cached part and completion includes reasoning: subtract both."""
-    prompt, completion = _whole(p["prompt_tokens"]), _whole(p["completion_tokens"])
-    cached = _whole(p["prompt_tokens_details"]["cached_tokens"])
-    reasoning = _whole(p["completion_tokens_details"]["reasoning_tokens"])
-    error = _first_error(
-        (prompt < 0, "prompt_tokens is negative"),
-        (completion < 0, "completion_tokens is negative"),
-        (prompt - cached < 0, "cached_tokens exceeds prompt_tokens"),
-        (completion - reasoning < 0, "reasoning_tokens exceeds completion_tokens"),
-    )
-    return _usage_struct(
-        error,
-        input_uncached=prompt - cached,
-        cache_read=cached,
-        output_visible=completion - reasoning,
-        output_reasoning=reasoning,
+    return _first_error(
+        (F.col("_usage_input") < 0, "prompt_tokens is negative"),
+        (F.col("_usage_out") < 0, "completion_tokens is negative"),
+        (F.col("_usage_input") - F.col("_usage_cached") < 0, "cached_tokens exceeds prompt_tokens"),
+        (F.col("_usage_out") - F.col("_usage_thought") < 0, "reasoning_tokens exceeds completion_tokens"),
     )
 
 
-def _hit_miss(p: Column, has_split: Column) -> Column:
-    """Hits and misses partition the prompt; without either field the inclusive shape applies."""
-    hit, miss = _whole(p["prompt_cache_hit_tokens"]), _whole(p["prompt_cache_miss_tokens"])
-    prompt = F.coalesce(p["prompt_tokens"].cast("bigint"), hit + miss)
-    completion = _whole(p["completion_tokens"])
-    reasoning = _whole(p["completion_tokens_details"]["reasoning_tokens"])
-    error = _first_error(
-        (hit < 0, "prompt_cache_hit_tokens is negative"),
-        (miss < 0, "prompt_cache_miss_tokens is negative"),
-        ((prompt != 0) & (hit + miss != prompt), "hits and misses do not sum to prompt_tokens"),
-        (completion < 0, "completion_tokens is negative"),
-        (completion - reasoning < 0, "output_visible is negative"),
+def _hit_miss_error() -> Column:
+    """Hits and misses partition the prompt."""
+    parts = F.col("_usage_cached") + F.col("_usage_input")
+    prompt = F.coalesce("_usage_stated", parts)
+    return _first_error(
+        (F.col("_usage_cached") < 0, "prompt_cache_hit_tokens is negative"),
+        (F.col("_usage_input") < 0, "prompt_cache_miss_tokens is negative"),
+        ((prompt != 0) & (parts != prompt), "hits and misses do not sum to prompt_tokens"),
+        (F.col("_usage_out") < 0, "completion_tokens is negative"),
+        (F.col("_usage_out") - F.col("_usage_thought") < 0, "output_visible is negative"),
     )
-    split = _usage_struct(
-        error,
-        input_uncached=miss,
-        cache_read=hit,
-        output_visible=completion - reasoning,
-        output_reasoning=reasoning,
-    )
-    return F.when(has_split, split).otherwise(_inclusive(p))
 
 
 def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -> DataFrame:
@@ -124,38 +107,49 @@ def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -
 
     ``mapping`` names the payload shape of each row, so one scan serves every provider.
     """
-    p = F.col("_payload")
+    p, shape = F.col("_payload"), F.col("_usage_shape")
     # A field that is there but null still makes the shape; only one mapping asks.
     named = F.arrays_overlap(
         F.json_object_keys(F.col(raw)),
         F.array(F.lit("prompt_cache_hit_tokens"), F.lit("prompt_cache_miss_tokens")),
     )
-    split_shape = F.when(F.col(mapping) == "deepseek", F.coalesce(named, F.lit(False)))
-    has_split = F.col("_split")
-    usage = (
-        F.when(F.col(mapping) == "anthropic", _exclusive(p))
-        .when(F.col(mapping).isin("openai", "openrouter"), _inclusive(p))
-        .when(F.col(mapping) == "deepseek", _hit_miss(p, has_split))
+    kind = (
+        F.when(F.col(mapping) == "anthropic", _EXCLUSIVE)
+        .when(F.col(mapping).isin("openai", "openrouter"), _INCLUSIVE)
+        .when(F.col(mapping) == "deepseek", F.when(named, _HIT_MISS).otherwise(_INCLUSIVE))
     )
     own_cost = F.when(F.col(mapping) == "openrouter", F.get_json_object(F.col(raw), "$.cost"))
-    parsed = df.withColumns(
-        {"_payload": F.from_json(F.col(raw), _SCHEMA), "_split": split_shape, "_cost": own_cost}
-    ).withColumn("_usage", usage)
-    cost_text = F.col("_cost")
-    u = F.col("_usage")
+    # Numbers, then errors, then buckets: each step's code stays below the 8,000 bytes that the JVM compiles.
+    parsed = df.withColumns({"_payload": F.from_json(F.col(raw), _SCHEMA), "_usage_shape": kind, "_cost": own_cost})
+    parsed = parsed.withColumns(
+        {
+            **_read(p, shape),
+            "_usage_unread": F.col(raw).isNull() | p["_corrupt_record"].isNotNull(),
+            "_usage_dollars": F.col("_cost").try_cast("decimal(24,12)"),
+        }
+    )
     error = (
-        F.when(~F.coalesce(F.col(mapping).isin(*MAPPINGS), F.lit(False)), F.lit("unknown mapping"))
-        .when(F.col(raw).isNull() | (p["_corrupt_record"].isNotNull()), F.lit("malformed payload"))
-        .when(
-            cost_text.isNotNull() & cost_text.try_cast("decimal(24,12)").isNull(),
-            F.lit("cost is not a number"),
-        )
-        .otherwise(u["error"])
+        F.when(shape.isNull(), F.lit("unknown mapping"))
+        .when(F.col("_usage_unread"), F.lit("malformed payload"))
+        .when(F.col("_cost").isNotNull() & F.col("_usage_dollars").isNull(), F.lit("cost is not a number"))
+        .when(shape == _EXCLUSIVE, _exclusive_error())
+        .when(shape == _INCLUSIVE, _inclusive_error())
+        .otherwise(_hit_miss_error())
     )
     out = parsed.withColumn("usage_error", error)
     clean = F.col("usage_error").isNull()
-    for name in fixed.BUCKETS:
-        out = out.withColumn(name, F.when(clean, u[name]))
+    less = lambda whole, part: F.col(whole) - F.when(shape == _INCLUSIVE, F.col(part)).otherwise(0)
+    buckets = {
+        "input_uncached": less("_usage_input", "_usage_cached"),
+        "cache_write_5m": F.when(F.col("_usage_parts"), F.col("_usage_five")).otherwise(F.col("_usage_created")),
+        "cache_write_1h": F.col("_usage_hour"),
+        "cache_read": F.col("_usage_cached"),
+        "output_visible": F.col("_usage_out") - F.col("_usage_thought"),
+        "output_reasoning": F.col("_usage_thought"),
+    }
+    none = F.lit(0).cast("bigint")
+    out = out.withColumns({name: F.when(clean, buckets.get(name, none)) for name in fixed.BUCKETS})
+    estimated = ~F.col("_usage_parts")
     source = F.map_from_entries(
         F.filter(
             F.array(
@@ -165,7 +159,7 @@ def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -
                         F.struct(
                             F.lit(name).alias("key"),
                             (
-                                F.when(u["estimated_5m"], F.lit("estimated")).otherwise(
+                                F.when(estimated, F.lit("estimated")).otherwise(
                                     F.lit("provider")
                                 )
                                 if name == "cache_write_5m"
@@ -180,9 +174,9 @@ def normalize_usage(df: DataFrame, mapping: str = "mapping", raw: str = "raw") -
         )
     )
     out = out.withColumn("usage_sources", F.when(clean, source)).withColumn(
-        "provider_cost_usd", F.when(clean, cost_text.try_cast("decimal(24,12)"))
+        "provider_cost_usd", F.when(clean, F.col("_usage_dollars"))
     )
-    return out.drop("_payload", "_usage", "_split", "_cost")
+    return out.drop("_payload", "_usage_shape", "_cost", "_usage_unread", "_usage_dollars", *_read(p, shape))
 
 
 def require_clean(df: DataFrame) -> DataFrame:
