@@ -2,7 +2,7 @@
 
 Every string of ``length`` bytes has an anchor: of its 64-byte grams the one with the smallest hash, the leftmost
 of equals. Equal strings have equal anchors at equal offsets, so they meet where anchors are dealt out by
-their hash. What surrounds an anchor, as far as a string that holds it can reach, is its context.
+their hash. The strings that have an anchor in common follow each other; what they cover is its context.
 
 1. Anchors are dealt out by hash with a digest of their context, copies counted before the shuffle. A context
    that occurs twice is covered as a whole. An anchor hash with several contexts needs their bytes.
@@ -79,10 +79,10 @@ def _window_minima(keys: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(ahead[: n - size + 1], behind[size - 1 : n])
 
 
-def _anchors(parts: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, places and hashes of all anchors in parts ``(document, begin, strings, bytes)``.
+def _anchors(parts: list[tuple[int, int, int, bytes]], length: int) -> np.ndarray:
+    """Rows of documents, places, begins and ends of contexts, and hashes of all anchors in parts ``(document, begin, strings, bytes)``.
 
-    ``strings`` tells how many strings start in the part.
+    ``strings`` tells how many strings start in the part. A context runs from the first string of its anchor to the last one's end.
     """
     data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     sizes = np.array([len(p[3]) for p in parts])
@@ -94,11 +94,26 @@ def _anchors(parts: list[tuple[int, int, int, bytes]], length: int) -> tuple[np.
     total = int(strings.sum())
     own = np.repeat(np.arange(len(parts)), strings)
     at = np.arange(total) - np.repeat(np.cumsum(strings) - strings, strings) + np.repeat(starts, strings)
-    found, first = np.unique((minima[at] & low).astype(np.int64), return_index=True)
+    found = (minima[at] & low).astype(np.int64)
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    last = np.append(first[1:], total) - 1
     part = own[first]
     docs = np.array([p[0] for p in parts])[part]
-    places = found - starts[part] + np.array([p[1] for p in parts])[part]
-    return docs, places, hashes[found].view(np.int64)
+    shift = np.array([p[1] for p in parts])[part] - starts[part]
+    return np.stack([docs, found[first] + shift, at[first] + shift, at[last] + length + shift, hashes[found[first]].view(np.int64)])
+
+
+def _joined(texts: list[bytes], length: int) -> Iterator[np.ndarray]:
+    """The anchors of texts, in order; a context that two parts of a text share is whole again."""
+    held = np.empty((5, 0), np.int64)
+    for group in _parts(texts, length):
+        found = np.concatenate([held, _anchors(group, length)], axis=1)
+        first = np.flatnonzero(np.append(True, (found[:2, 1:] != found[:2, :-1]).any(axis=0)))
+        whole = found[:, first]
+        whole[3] = found[3, np.append(first[1:], found.shape[1]) - 1]
+        held = whole[:, -1:]
+        yield whole[:, :-1]
+    yield held
 
 
 def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -120,39 +135,26 @@ def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int
 
 def _contexts(texts: list[bytes], length: int, wanted=None) -> Iterator[tuple]:
     """``(document, lo, hi, hash, digest)`` of the anchors of texts, or of those whose hash is wanted."""
-    reach = length - GRAM
-    for group in _parts(texts, length):
-        docs, places, hashes = _anchors(group, length)
+    for found in _joined(texts, length):
         if wanted is not None:
-            keep = wanted(hashes)
-            docs, places, hashes = docs[keep], places[keep], hashes[keep]
-        seen = set()
-        for doc, at, h in zip(docs.tolist(), places.tolist(), hashes.tolist(), strict=True):
-            if (doc, at) in seen:  # the overlap of two parts of one text
-                continue
-            seen.add((doc, at))
-            text = texts[doc]
-            lo, hi = max(0, at - reach), min(len(text), at + length)
-            yield doc, lo, hi, h, xxhash.xxh3_128_digest(text[lo:hi], seed=at - lo)
-
-
-def _counted(rows: Iterator[tuple], texts: list[bytes], uids: list[int], spans: list[tuple]) -> Iterator[tuple]:
-    """A row per hash and context with its number of occurrences; all of a context seen twice are covered here."""
-    found: dict[tuple[int, bytes], list] = {}
-    places = set()
-    for doc, lo, hi, h, digest in rows:
-        if (doc, lo, hi, h) in places:  # found from two neighbouring parts of one text
-            continue
-        places.add((doc, lo, hi, h))
-        row = found.setdefault((h, digest), [0, doc, lo, hi])
-        row[0] += 1
-        if row[0] == 2:
-            spans.append((uids[row[1]], row[2], row[3]))
-        if row[0] > 1:
-            spans.append((uids[doc], lo, hi))
-    for (h, digest), (n, doc, lo, hi) in found.items():
-        c1, c2 = np.frombuffer(digest, np.int64).tolist()
-        yield h, c1, c2, n, doc, lo, hi
+            found = found[:, wanted(found[4])]
+        for doc, at, lo, hi, h in zip(*found.tolist(), strict=True):
+            yield doc, lo, hi, h, xxhash.xxh3_128_digest(texts[doc][lo:hi], seed=at - lo)
+
+
+def _counted(rows: Iterator[tuple]) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
+    """``h, c1, c2, n, document, lo, hi``, once per hash and context, with its number of occurrences; and all of the contexts seen twice."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    doc, lo, hi, h = (np.array(c, np.int64) for c in columns[:4])
+    c1, c2 = np.frombuffer(b"".join(columns[4]), np.int64).reshape(-1, 2).T
+    order = np.lexsort((c2, c1, h))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(c[order]) != 0 for c in (h, c1, c2)], axis=0)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(order)))
+    one, twice = order[first], order[np.repeat(n > 1, n)]
+    spans = list(zip(doc[twice].tolist(), lo[twice].tolist(), hi[twice].tolist(), strict=True))
+    return (h[one], c1[one], c2[one], n, doc[one], lo[one], hi[one]), spans
 
 
 def _merged(spans: list[tuple]) -> list[tuple]:
@@ -166,9 +168,12 @@ def _merged(spans: list[tuple]) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
+def _columns(columns: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return _columns(tuple(zip(*rows, strict=True)) if rows else tuple([] for _ in schema), schema)
 
 
 def _texts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -192,12 +197,9 @@ def _scan(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uids, texts in _texts(batch, length):
-                spans: list[tuple] = []
-                rows = [
-                    (h, c1, c2, n, uids[doc], lo, hi)
-                    for h, c1, c2, n, doc, lo, hi in _counted(_contexts(texts, length), texts, uids, spans)
-                ]
-                rows += [(uid, None, None, None, uid, lo, hi) for uid, lo, hi in _merged(spans)]
+                (h, c1, c2, n, doc, lo, hi), spans = _counted(_contexts(texts, length))
+                yield _columns((h, c1, c2, n, np.array(uids)[doc], lo, hi), ANCHORS)
+                rows = [(uids[doc], None, None, None, uids[doc], lo, hi) for doc, lo, hi in _merged(spans)]
                 yield _batch(rows, ANCHORS)
 
     return run
@@ -231,11 +233,9 @@ def _fetch(length: int, packed, bits: int):
         wanted = _in_filter(packed.value, bits)
         for batch in batches:
             for uids, texts in _texts(batch, length):
-                rows = [
-                    (h, c1, c2, n, uids[doc], lo, texts[doc][lo:hi])
-                    for h, c1, c2, n, doc, lo, hi in _counted(_contexts(texts, length, wanted), texts, uids, [])
-                ]
-                yield _batch(rows, CONTEXTS)
+                (h, c1, c2, n, doc, lo, hi), _ = _counted(_contexts(texts, length, wanted))
+                data = [texts[d][a:b] for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                yield _columns((h, c1, c2, n, np.array(uids)[doc], lo, data), CONTEXTS)
 
     return run
 
@@ -248,7 +248,8 @@ def _fetch_strings(length: int, packed, bits: int):
         for batch in batches:
             for uids, texts in _texts(batch, length):
                 rows = []
-                for _, _, _, n, doc, lo, hi in _counted(_contexts(texts, length, wanted), texts, uids, []):
+                counted, _ = _counted(_contexts(texts, length, wanted))
+                for n, doc, lo, hi in zip(*(c.tolist() for c in counted[3:]), strict=True):
                     for at in range(lo, hi - length + 1):
                         digest = xxhash.xxh3_128_digest(texts[doc][at : at + length])
                         rows.append((*np.frombuffer(digest, np.int64).tolist(), n, uids[doc], at))
