@@ -61,22 +61,23 @@ def is_volatile(text: Column, tokens: Column) -> Column:
     )
 
 
+def words(text: Column) -> Column:
+    """Lower-case words of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0))
+
+
+def grams_of(of: Column) -> Column:
+    """Distinct 3-grams of an array of words."""
+    count = F.size(of)
+    at = lambda i: F.concat_ws(" ", F.get(of, i), F.get(of, i + 1), F.get(of, i + 2))
+    return F.when(
+        count >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count - 3, F.lit(0))), at))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct lower-case word 3-grams."""
-
-    def of(words: Column) -> Column:
-        count = F.size(words)
-        return F.when(
-            count >= 3,
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(count - 2, F.lit(1))),
-                    lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))),
-                )
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0)), of)
+    return let(words(text), grams_of)
 
 
 def jaccard(left: Column, right: Column) -> Column:

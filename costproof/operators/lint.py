@@ -22,9 +22,51 @@ from costproof.runtime import cut
 
 # Where a text breaks into lines.
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+# A break other than a line feed, or one of a few other control characters.
+OTHER_BREAKS = r"[\u000b-\u001e\u0085\u2028\u2029]"
 SPAN = "struct<section:string,block:int,start:int,end:int,text:string>"
 
 
+# Lower-case texts that every match of a pattern holds: one of each group. A plain search for them is much cheaper than
+# the pattern, the more so as they begin with rare letters; the pattern is asked where they are found, and alone decides.
+NEEDLES: dict[str, tuple[tuple[str, ...], ...]] = {
+    fixed.COURTESY: ((
+        "please", "hank", "ppreciate", "kindly", "f you", "feel free", "portant that", "job", "y your", "ber that",
+        "keep in mind", "hope", "perhaps", "ybe", "generally a", "what", "little", "bit", "sort of", "kind of", "best",
+        "whenever",
+    ),),
+    fixed.VAGUE_VERBS: ((
+        "p with", "p out", "k at", "handle", "deal with", "ke care", "work on", "mething", "what you can", "assist with",
+        "see to", "see about",
+    ),),
+    fixed.OUTPUT_CONTRACT_PATTERN: (
+        ("json", "one word", "one line", "one number", "one object", "exactly", "the following ", "{", "<"),
+        ("reply", "respond", "answer", "return", "output"),
+    ),
+    fixed.LENGTH_CAP: (
+        ("one", "1", "more than", "most", "under", "fewer than", "ximum of", "mit", "within", "gle"),
+        ("word", "token", "sentence", "character", "line", "item", "number", "json object"),
+    ),
+    fixed.ROLE: (("you are a", "you are the"),),
+    fixed.TASK_LINE: (("task", "objective", "goal"),),
+    fixed.SUCCESS: ((
+        "success criteria", "what good looks", "how to get it right", "a good answer", "you are correct", "done when",
+    ),),
+    fixed.EXAMPLE_MARKER: (("example", ":"),),
+    fixed.CONFLICT_PAIRS[0][0]: (("be concise",),),
+    fixed.CONFLICT_PAIRS[1][0]: (("be brief",),),
+    fixed.CONFLICT_PAIRS[2][0]: (("guess",), ("never",)),
+    fixed.CONFLICT_PAIRS[3][0]: (("only use", "only rely on"), ("provided",)),
+    fixed.CONFLICT_PAIRS[4][0]: (("do not explain",),),
+    fixed.HARDCODED[0]: (("http", "www."),),
+    fixed.HARDCODED[1]: (("@",),),
+    fixed.HARDCODED[3]: (("19", "20"), ("-",)),
+    fixed.HARDCODED[4]: (("$",),),
+}
+# The characters beyond ASCII that a pattern without case takes for a letter of ASCII; texts with any are always asked.
+FOLDED = "\u0130\u0131\u017f\u212a"
+
+
 def rx(pattern: str) -> str:
     """A pattern with Unicode-aware classes."""
     return "(?U)" + pattern
@@ -34,6 +76,29 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(0))
 
 
+def _any(text: Column, needles: tuple[str, ...]) -> Column:
+    found = text.contains(needles[0])
+    for needle in needles[1:]:
+        found = found | text.contains(needle)
+    return found
+
+
+def may_match(block: Column, pattern: str) -> Column:
+    """Whether a profiled block can hold a match of a pattern: false only where it holds none."""
+    found = F.lit(True)
+    for needles in NEEDLES.get(pattern, ()):
+        found = found & _any(block["lower"], needles)
+    return block["odd"] | found
+
+
+def holds(blocks: Column, text: Column, pattern: str) -> Column:
+    """Whether the blocks' joined text holds a match of a pattern; needles have no line break, so they lie in one block each."""
+    found = F.lit(True)
+    for needles in NEEDLES.get(pattern, ()):
+        found = found & F.exists(blocks, (lambda group: lambda b: b["odd"] | _any(b["lower"], group))(needles))
+    return F.when(text.isNotNull(), found & text.rlike(rx(pattern)))
+
+
 def spans(block: Column, pattern: str) -> Column:
     """Where a pattern matches in a block: array of spans, from the pieces between the matches.
 
@@ -74,10 +139,10 @@ def spans(block: Column, pattern: str) -> Column:
 
 
 def all_spans(blocks: Column, *patterns: str) -> Column:
-    """Spans of several patterns over several blocks, block by block."""
-    return F.flatten(
-        F.transform(blocks, lambda b: F.concat(*[spans(b, p) for p in patterns]))
-    )
+    """Spans of several patterns over several profiled blocks, block by block."""
+    nothing = F.array().cast(f"array<{SPAN}>")
+    asked = lambda b, p: F.when(may_match(b, p), spans(b, p)).otherwise(nothing)
+    return F.flatten(F.transform(blocks, lambda b: F.concat(*[asked(b, p) for p in patterns])))
 
 
 def whole_span(block: Column) -> Column:
@@ -91,6 +156,11 @@ def whole_span(block: Column) -> Column:
     )
 
 
+def counted(blocks: Column, whole: Column) -> Column:
+    """Tokens of profiled blocks joined, without counting their texts again."""
+    return T.joined_tokens(F.transform(blocks, lambda b: b["text"]), F.transform(blocks, lambda b: b["tokens"]), whole)
+
+
 def profiled(requests: DataFrame) -> DataFrame:
     """Blocks with tokens and volatility, the prefix, and the counts every rule reads."""
 
@@ -103,6 +173,8 @@ def profiled(requests: DataFrame) -> DataFrame:
                 b["text"].alias("text"),
                 b["cache"].alias("cache"),
                 T.approx_tokens(b["text"]).alias("tokens"),
+                F.coalesce(F.lower(b["text"]), F.lit("")).alias("lower"),
+                F.coalesce(_any(b["text"], tuple(FOLDED)), F.lit(False)).alias("odd"),
             ),
         )
 
@@ -121,10 +193,10 @@ def profiled(requests: DataFrame) -> DataFrame:
     overhead = F.coalesce(F.col("tool_overhead"), F.lit(0)) if "tool_overhead" in requests.columns else F.lit(0)
     return staged.select(
         "*",
-        T.approx_tokens(F.col("_prefix")).alias("_prefix_tokens"),
+        counted(F.slice("_b", F.lit(1), B.last_breakpoint(wire)), F.col("_prefix")).alias("_prefix_tokens"),
         largest["tokens"].alias("_largest_tokens"),
         (
-            T.approx_tokens(F.col("_system"))
+            counted(F.filter("_b", lambda b: b["section"] == "system"), F.col("_system"))
             + F.when(has_tools, T.approx_tokens(F.col("tools")) + overhead).otherwise(0)
         ).alias("_overhead"),
     )
@@ -168,25 +240,26 @@ def _staged(table: DataFrame) -> DataFrame:
             lambda b: (b["tokens"] <= fixed.DOCUMENT_TOKENS)
             & (b["tokens"] >= fixed.INSTRUCTION_MIN_TOKENS),
         ).alias("_templates"),
-        F.col("_full").rlike(rx(fixed.OUTPUT_CONTRACT_PATTERN)).alias("_contract"),
-        F.col("_full").rlike(rx(fixed.LENGTH_CAP)).alias("_cap"),
+        holds(blocks, F.col("_full"), fixed.OUTPUT_CONTRACT_PATTERN).alias("_contract"),
+        holds(blocks, F.col("_full"), fixed.LENGTH_CAP).alias("_cap"),
         all_spans(blocks, fixed.COURTESY).alias("_filler"),
         F.filter(
             blocks,
             lambda b: (b["tokens"] > fixed.FEWSHOT_EXAMPLE_TOKENS)
+            & may_match(b, fixed.EXAMPLE_MARKER)
             & (F.size(matches(b["text"], fixed.EXAMPLE_MARKER)) >= 2),
         ).alias("_examples"),
         F.array_compact(
             F.array(
-                F.when(~F.col("_system").rlike(rx(fixed.ROLE)), F.lit("role")),
-                F.when(~F.col("_system").rlike(rx(fixed.TASK_LINE)), F.lit("task statement")),
-                F.when(~F.col("_system").rlike(rx(fixed.SUCCESS)), F.lit("success criteria")),
+                F.when(~holds(blocks, F.col("_system"), fixed.ROLE), F.lit("role")),
+                F.when(~holds(blocks, F.col("_system"), fixed.TASK_LINE), F.lit("task statement")),
+                F.when(~holds(blocks, F.col("_system"), fixed.SUCCESS), F.lit("success criteria")),
             )
         ).alias("_missing"),
         F.array_compact(
             F.array(
                 *[
-                    F.when(F.col("_full").rlike(rx(a)) & F.col("_full").rlike(rx(b)), F.lit(label))
+                    F.when(holds(blocks, F.col("_full"), a) & F.col("_full").rlike(rx(b)), F.lit(label))
                     for a, b, label in fixed.CONFLICT_PAIRS
                 ]
             )
@@ -197,12 +270,8 @@ def _staged(table: DataFrame) -> DataFrame:
             & ~(b["text"].contains("|") | b["text"].rlike(rx(fixed.STRUCTURE))),
         ).alias("_walls"),
     )
-    instructions = F.array_join(
-        F.transform(
-            F.filter("_sys", lambda b: b["tokens"] <= fixed.DOCUMENT_TOKENS), lambda b: b["text"]
-        ),
-        "\n\n",
-    )
+    instructed = F.filter("_sys", lambda b: b["tokens"] <= fixed.DOCUMENT_TOKENS)
+    instructions = F.array_join(F.transform(instructed, lambda b: b["text"]), "\n\n")
     second = first.select(
         "*",
         F.filter(
@@ -221,15 +290,14 @@ def _staged(table: DataFrame) -> DataFrame:
         ).alias("_example_tokens"),
         instructions.alias("_instructions"),
     )
-    return second.select(
+    third = second.select("*", counted(instructed, F.col("_instructions")).alias("_instruction_tokens"))
+    clauses = F.regexp_extract_all("_instructions", F.lit(rx(fixed.IMPERATIVE_CLAUSE)), F.lit(1))
+    return third.select(
         "*",
-        T.approx_tokens(F.col("_instructions")).alias("_instruction_tokens"),
-        F.array_distinct(
-            F.transform(
-                F.regexp_extract_all("_instructions", F.lit(rx(fixed.IMPERATIVE_CLAUSE)), F.lit(1)),
-                lambda m: F.lower(F.trim(m)),
-            )
-        ).alias("_jobs"),
+        F.when(
+            F.col("_instruction_tokens") > fixed.COMPOSE_TOKENS,
+            F.array_distinct(F.transform(clauses, lambda m: F.lower(F.trim(m)))),
+        ).otherwise(F.array().cast("array<string>")).alias("_jobs"),
     )
 
 
@@ -335,23 +403,35 @@ def _row_rules(scale: float) -> tuple[list[Column], Column]:
 # ------------------------------------------------------------- duplicate instructions
 
 
+def lines_of(text: Column) -> Column:
+    """The lines of a text; where line feeds alone break it, which most texts, a plain split does."""
+    return F.when(text.rlike(OTHER_BREAKS), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+
+
+def bare_line(raw: Column) -> Column:
+    """A line without its marks and the white space around them; most lines have neither."""
+    ends = F.concat(F.left(raw, F.lit(1)), F.right(raw, F.lit(1)))
+    bare = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^[-*]+", ""), r"(?U)^\s+|\s+$", "")
+    return F.when(ends.rlike(r"(?U)^[^\s*-]\S"), raw).otherwise(bare)
+
+
 def instruction_lines(requests: DataFrame) -> DataFrame:
-    """Lines of 20 to 300 characters in wire order, with their 3-gram sets."""
+    """Lines of 20 to 300 characters in wire order, with their 3-gram sets.
+
+    Lines are read before they become rows: a filter on rows would be planned beside each step and repeat it.
+    """
     wire = F.concat(F.col("system"), F.col("user"))
-    lines = requests.select(
-        "request_id",
-        F.posexplode(
-            F.flatten(F.transform(wire, lambda b: F.split(b["text"], LINE_BREAK)))
-        ).alias("pos", "raw"),
-    )
-    bare = F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^[-*]+", ""), r"(?U)^\s+|\s+$", "")
-    kept = lines.where(F.length("raw") >= 20).select("request_id", "pos", bare.alias("line")).where(
-        F.length("line").between(20, 300)
-    )
-    # The same as a 3-gram set that is not empty, without building every set twice.
-    three = F.lower("line").rlike(r"[a-z0-9']+(?:[^a-z0-9']+[a-z0-9']+){2}")
-    return kept.where(three).withColumn("grams", F.sort_array(B.trigrams(F.col("line"))))
+    raws = F.flatten(F.transform(wire, lambda b: lines_of(b["text"])))
+
+    def told(line: Column, pos: Column) -> Column:
+        words = F.when(F.length(line).between(20, 300), B.words(line))
+        return F.struct(pos.alias("pos"), line.alias("line"), words.alias("words"))
+
+    lines = F.transform(raws, lambda raw, i: let(bare_line(raw), lambda line: told(line, i)))
+    kept = F.filter(lines, lambda e: F.size(e["words"]) >= 3)
+    rows = requests.select("request_id", F.inline(kept))
+    return rows.select("request_id", "pos", "line", F.sort_array(B.grams_of(F.col("words"))).alias("grams"))
 
 
 def similar_sets(

@@ -88,7 +88,7 @@ def prompt_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prompt_lint")
 def prompt_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single-request rule over every request, ranked by weighted dollars."""
-    return FI.rank(L.lint(requests(spark, sf_dir)), ["request_id"]).drop("spans")
+    return FI.rank(L.lint(requests(spark, sf_dir)).drop("spans"), ["request_id"])
 
 
 @query(
