@@ -14,7 +14,7 @@ from costproof.operators import arms as A
 from costproof.operators import cascade as C
 from costproof.operators import consensus as K
 from costproof.operators import scoring as S
-from costproof.runtime import cut
+from costproof.runtime import broadcast_if_small, cut, written
 
 
 def tier_runs(prepared: DataFrame, tiers: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def evaluate(
     return thresholds, floor, C.simulate(wide, thresholds, tiers, scarce)
 
 
-def _prepare(samples: DataFrame, kind: str, k: int) -> DataFrame:
+def _labelled(samples: DataFrame, kind: str, k: int) -> DataFrame:
     """Features from the router's view only; the returned sample's label and split come in afterwards."""
     ready = S.scorer_kind(kind).prepare(S.router_view(samples), k)
     if "answer_index" not in ready.columns:
@@ -53,9 +53,27 @@ def _prepare(samples: DataFrame, kind: str, k: int) -> DataFrame:
     labels = samples.select(
         "task_id", "tier", F.col("sample_index").cast("bigint").alias("answer_index"), "correct", "split"
     )
-    # One row per task and tier, read by every fit, search and evaluation: written once.
     keyed = ready.withColumn("answer_index", F.col("answer_index").cast("bigint"))
-    return cut(keyed.join(labels, ["task_id", "tier", "answer_index"]))
+    return keyed.join(labels, ["task_id", "tier", "answer_index"])
+
+
+def _prepare(samples: DataFrame, kind: str, k: int) -> DataFrame:
+    """One row per task and tier with what the fits, the search and the evaluation read: written once.
+
+    Where the scorer tells quickly read tasks, labels ride along with their draws, unread by any feature, so that
+    draws move once; only the other tasks are prepared in full.
+    """
+    scorer = S.scorer_kind(kind)
+    columns = ["task_id", "tier", "split", *scorer.features, F.col("cost").cast("decimal(38,12)").alias("cost"), "correct"]
+    if scorer.told is None:
+        return written(_labelled(samples, kind, k).select(*columns))
+    view = samples.select(*S.router_view(samples).columns, "correct", "split")
+    told = written(scorer.told(view, k, ["task_id", "tier", "split"]).select(*columns, "told"))
+    others = told.where(~F.col("told")).select("task_id", "tier")
+    if others.isEmpty():
+        return told.drop("told")
+    full = samples.join(broadcast_if_small(others), ["task_id", "tier"], "left_semi")
+    return told.where("told").drop("told").unionByName(written(_labelled(full, kind, k).select(*columns)))
 
 
 def compare_scorers(
@@ -68,7 +86,7 @@ def compare_scorers(
     base = first.where(F.col("tier") == baseline).select(
         F.lit(baseline).alias("pipeline"), "task_id", "correct", F.col("cost").cast("decimal(38,12)").alias("cost")
     )
-    rows, chosen = base, []
+    rows, chosen = written(base), []
     for kind, k in kinds:
         name = f"{kind}/k={k}"
         prepared = _prepare(samples, kind, k)
@@ -77,12 +95,11 @@ def compare_scorers(
         )
         thresholds, floor, outcome = evaluate(tier_runs(scored, tiers), tiers, scarce)
         chosen.append((name, kind, k, thresholds, floor, adoptable is None or name in adoptable))
-        rows = rows.unionByName(
-            outcome.select(
-                F.lit(name).alias("pipeline"), "task_id", "correct",
-                F.col("cost").cast("decimal(38,12)").alias("cost"),
-            )
+        answered = outcome.select(
+            F.lit(name).alias("pipeline"), "task_id", "correct", F.col("cost").cast("decimal(38,12)").alias("cost")
         )
+        # Read by the summary and by every branch of the pairing.
+        rows = rows.unionByName(written(answered))
     spark = samples.sparkSession
     settings = spark.createDataFrame(
         chosen,

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 # A side is broadcast only when it is known to be at most this many rows.
 BROADCAST_ROWS = 50_000
 
+# Whether the shuffle files of a query go when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "costproof", cpus: int | str = "*") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -53,6 +57,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as compressed columns in the checkpoint folder, where a checkpoint would hold whole rows.
+
+    Shuffle files that made it are given back as soon as it is written.
+    """
+    spark, path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit

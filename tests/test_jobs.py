@@ -19,6 +19,7 @@ from costproof.operators import cascade as C
 from costproof.operators import certificates as CE
 from costproof.operators import consensus as K
 from costproof.operators import drift as D
+from costproof.operators import evaluation as E
 from costproof.operators import findings as FI
 from costproof.operators import graphs as G
 from costproof.operators import lint as L
@@ -465,6 +466,45 @@ def test_whole_numbers_are_groups_only_when_they_differ(spark):
     assert all(r["k"] == r["f"] for r in key.collect())
 
 
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_scorers_read_whole_numbers_without_texts(spark, k):
+    rng = random.Random(k)
+    rows = [
+        (t, tier, i, rng.choice(("5", "Final answer: 5", "Final answer: 6", "7", "0")) if t < 60 else rng.choice(("5", "5.0", "yes", "", "6")), 10**9 + t + i, rng.choice((0, 1, None)), "test" if t % 3 else "calibration")
+        for t in range(70) for tier in "ab" for i in range(5)
+    ]
+    s = spark.createDataFrame(rows, "task_id int, tier string, sample_index int, output string, cost long, correct int, split string")
+    told = S.numbers_agreement(s, k, ["task_id", "tier", "split"])
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "collect_list" not in plan and "SortAggregate" not in plan
+    got = {(r["task_id"], r["tier"]): r for r in told.collect()}
+    want = {(r["task_id"], r["tier"]): r for r in S.agreement(s, k).collect()}
+    assert len(got) == 140 and all(got[key]["told"] for key in got if key[0] < 60) and not all(r["told"] for r in got.values())
+    for key, r in got.items():
+        if r["told"]:
+            assert all(r[name] == want[key][name] for name in ("entropy", "answer_index", "cost", "correct"))
+    columns = ["task_id", "tier", "split", "sample_entropy", "correct", F.col("cost").cast("decimal(38,12)").alias("cost")]
+    ready = E._prepare(s, "self-consistency-v1", k)
+    assert not any(name in ready.columns for name in ("output", "sizes"))
+    whole = E._labelled(s, "self-consistency-v1", k)
+    assert sorted(map(str, ready.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+    with pytest.raises(Exception, match="fewer than"):
+        S.numbers_agreement(s.where("not (task_id = 1 and sample_index = 1)"), k, ["task_id", "tier"]).collect()
+
+
+def test_written_tables_give_their_shuffles_back(spark):
+    from costproof.runtime import SHUFFLE_CLEANUP, written
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    made = spark.range(100).repartition(3).withColumn("d", F.lit("1.5").cast("decimal(38,12)"))
+    kept = written(made)
+    assert kept.dtypes == made.dtypes and kept.count() == 100 and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+    with pytest.raises(Exception):
+        written(made.withColumn("x", F.raise_error(F.lit("no")).cast("int")))
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+
+
 @pytest.mark.parametrize("kind", ["majority-vote", "penalized-v1"])
 def test_whole_numbers_are_voted_on_as_full_replies_are(spark, kind):
     rng = random.Random(5)
