@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from costproof import fixed
 from costproof.functions import blocks, pricing, stats, usage
-from costproof.runtime import broadcast_below, cut
+from costproof.runtime import broadcast_below, cut, written
 
 FINDING_COLUMNS = ("rule", "group", "per_1k", "confidence", "evidence")
 
@@ -30,7 +30,7 @@ def rank(findings: DataFrame, keys: list[str] | None = None, top: int | None = N
     scored = findings.withColumn("weighted", weighted(F.col("per_1k"), F.col("confidence")))
     if top is None:
         # A sort of a whole table reads it twice, for the bounds of its ranges and for the rows; findings are costly to make.
-        return cut(scored).orderBy(F.col("weighted").desc(), "rule", *(keys or []))
+        return written(scored).orderBy(F.col("weighted").desc(), "rule", *(keys or []))
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("weighted").desc(), "rule", F.col("evidence"))
     # A ranked filter: Spark keeps ``top`` rows of a group before it moves any.
     return scored.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top).drop("_place")

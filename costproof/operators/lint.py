@@ -18,7 +18,7 @@ from costproof import fixed
 from costproof.functions import blocks as B
 from costproof.functions import tokens as T
 from costproof.functions.grading import let
-from costproof.runtime import cut
+from costproof.runtime import written
 
 # Where a text breaks into lines.
 LINE_BREAK = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
@@ -473,7 +473,7 @@ def duplicate_instructions(requests: DataFrame) -> DataFrame:
     across classes, so a line repeated many times never becomes all of its pairs.
     """
     # Read by five branches below and costly to build: written once.
-    lines = cut(
+    lines = written(
         instruction_lines(requests).select(
             "*",
             F.xxhash64(F.concat_ws("\u0001", "grams")).alias("set_id"),
